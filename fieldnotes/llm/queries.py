@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.llm import decontaminate, mixing, simhash
+from fieldnotes.llm import decontaminate, langid, linededup, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_line_dedup": linededup.op7_line_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_langid": langid.op10_langid,
 }
 
 SQL: dict[str, Callable[[], str]] = {
