@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 
 from fieldnotes.llm import scratch
 
-#: Rows a file of an edge table should have.
-FILE_ROWS = 1_000_000
-
-
-def _write(edges: DataFrame, name: str, rows: int) -> DataFrame:
-    return scratch.cut(edges.coalesce(max(1, min(rows // FILE_ROWS + 1, 4096))), name)
-
-
 def _star(pairs: DataFrame) -> DataFrame:
     """(node, other) pairs -> the same with the least of the node and its others in ``m``."""
     least = pairs.groupBy("node").agg(F.min("other").alias("m")).select(F.col("node").alias("n"), F.least("node", "m").alias("m"))
@@ -38,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = _star(both).filter("other > node AND other <> m").select(F.col("other").alias("node"), F.col("m").alias("other")).distinct()
         small = _star(large)
         nxt = small.filter("other <> m").select(F.col("other").alias("v"), "m").unionAll(small.select(F.col("node").alias("v"), "m")).filter("v <> m").distinct()
-        now = _write(nxt, "edges", rows)
+        now = scratch.cut(nxt, "edges")
         was = (rows, total)
         rows, total = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if was == (rows, total):
             break
-    return now.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))
+    labels = now.groupBy(F.col("v").alias("node")).agg(F.min("m").alias("component"))
+    return labels.unionAll(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
