@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.llm import decontaminate, langid, linededup, mixing, simhash
+from fieldnotes.llm import decontaminate, langid, licenses, linededup, lmscore, mixing, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_licenses": licenses.op6_licenses,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_lm_scoring": lmscore.op8_lm_scoring,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
 }
 
 SQL: dict[str, Callable[[], str]] = {
+    "op1_topk": topk.op1_sql,
     "op2_mixing": mixing.op2_sql,
     "op4_decontaminate": decontaminate.op4_sql,
+    "op6_licenses": licenses.op6_sql,
 }
 
 
