@@ -38,12 +38,16 @@ SAMPLE = 400
 TABLE_BYTES = 64_000_000
 UNKNOWN = "und"
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 #: Byte -> byte: digits, controls and ASCII punctuation become blanks.
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _START = b" " * ORDER
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text))
+
+
 def symbols_of(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_BLANK)
 
@@ -176,7 +180,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
         model = shared.value
         names = np.array(model.langs, object)
         for texts in batches:
-            known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+            known = np.array([has_letter(t) for t in texts], bool)
             bits = model.lengths([symbols_of(t) for t, k in zip(texts, known, strict=True) if k])
             lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
             if len(bits):

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.llm import decontaminate, langid, licenses, linededup, lmscore, mixing, simhash, topk, toxicity
+from fieldnotes.llm import decontaminate, langid, licenses, linededup, lmscore, mixing, pii, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_pii": pii.op5_pii,
     "op6_licenses": licenses.op6_licenses,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_lm_scoring": lmscore.op8_lm_scoring,
