@@ -233,6 +233,10 @@ def find(docs: DataFrame) -> DataFrame:
     return decide(found, fit(found))
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -244,5 +248,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scratch.cut(candidates(docs).select("doc_id", "candidates"), "candidates")
     spans = decide(found, fit(found))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [_count(base, i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
