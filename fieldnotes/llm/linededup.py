@@ -25,7 +25,7 @@ Defined cases: null texts have no lines; blank lines and lines shorter than the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import graphs, scratch
@@ -40,7 +40,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\x0B\f\r]", " "))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -83,9 +83,8 @@ def probe_keys(line: Column, length: Column) -> Column:
         for i in range(EDITS + 1):
             start, size = _bounds(other, i)
             for shift in range(max(-i, d - (EDITS - i)), min(i, d + (EDITS - i)) + 1):
-                at = start + shift
-                lists.append(F.when((at >= 0) & (at + size <= length), _key(other, i, F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*lists)))
+                lists.append(_key(other, i, F.substring(line, start + shift + 1, size)))
+    return F.array(*lists)
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -93,10 +92,13 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     Bit d + edits of word e: the first i characters of a can become the first i + d of b by e edits.
     """
-    xs, ys = F.split(a, ""), F.split(b, "")
     la, lb = F.length(a), F.length(b)
     width = 2 * edits + 1
     full = (1 << width) - 1
+    blank = F.array_repeat(F.lit(""), edits)
+    padded = F.concat(blank, F.split(b, ""), blank, blank)
+    # an entry for each character of a: itself, and the characters of b on the diagonals
+    band = F.arrays_zip(F.split(a, "").alias("x"), *[F.slice(padded, k + 1, F.greatest(la, F.lit(1))).alias(f"y{k}") for k in range(width)])
 
     def closed(words: list[Column]) -> list[Column]:
         out = [words[0]]
@@ -104,11 +106,10 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
             out.append(w.bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(full))
         return out
 
-    def step(state: Column, i: Column) -> Column:
+    def step(state: Column, at: Column) -> Column:
         mask = F.lit(0)
-        for d in range(-edits, edits + 1):
-            here = F.get(ys, i + d) == F.get(xs, i)
-            mask = mask.bitwiseOR(F.when(here, 1 << (d + edits)).otherwise(0))
+        for k in range(width):
+            mask = mask.bitwiseOR(F.when(at[f"y{k}"] == at["x"], 1 << k).otherwise(0))
         old = [F.get(state, e) for e in range(edits + 1)]
         new = [old[0].bitwiseAND(mask)]
         for e in range(1, edits + 1):
@@ -116,33 +117,28 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.array(*closed(new))
 
     start = F.array(*closed([F.lit(1 << edits) if e == 0 else F.lit(0) for e in range(edits + 1)]))
-    steps = F.when(la > 0, F.sequence(F.lit(0), la - 1)).otherwise(F.array().cast("array<int>"))
-    final = F.aggregate(steps, start, step)
-    goal = lb - la + edits
-    ok = F.get(final, edits).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), goal + 1)) != 0
-    return F.when(F.abs(lb - la) > edits, F.lit(False)).otherwise(ok)
+    final = F.aggregate(band, start, step)
+    goal = F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), lb - la + edits + 1)
+    ok = F.get(final, edits).bitwiseAND(goal) != 0
+    return F.when(F.abs(lb - la) > edits, F.lit(False)).when((la == 0) | (lb == 0), F.lit(True)).otherwise(ok)
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """Edges (u, v) between hashes h1 of different lines within EDITS edits."""
-    unique = lines.select("line", F.length("line").alias("length"), "h1").filter(F.col("length") >= MIN_CHARS)
-    unique = unique.groupBy("h1").agg(F.min("line").alias("line"), F.min("length").alias("length"))
-    tagged = F.flatten(
-        F.array(
-            F.transform(index_keys(F.col("line"), F.col("length")), lambda k: F.struct(k.alias("key"), F.lit(True).alias("indexed"))),
-            F.transform(probe_keys(F.col("line"), F.col("length")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("indexed"))),
-        )
-    )
-    keyed = scratch.cut(unique.select("h1", F.explode(tagged).alias("k")).select("k.key", "k.indexed", "h1"), "segments")
-    a, b = keyed.filter("indexed").select("key", F.col("h1").alias("u")), keyed.filter("NOT indexed").select("key", F.col("h1").alias("v"))
+    unique = lines.select("line").filter(F.length("line") >= MIN_CHARS).distinct()
+    line, length = F.col("line"), F.length("line")
+    a = unique.select(F.explode(index_keys(line, length)).alias("key"), F.xxhash64("line").alias("u"))
+    b = unique.select(F.explode(probe_keys(line, length)).alias("key"), F.xxhash64("line").alias("v"))
     pairs = a.join(b, "key").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = scratch.cut(pairs, "candidates")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     few = ids.count() <= BROADCAST_ROWS
     wanted = F.broadcast(ids) if few else ids
-    texts = lines.select("h1", "line").join(wanted, F.col("h1") == F.col("id"), "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
+    texts = lines.select("h1", "line").join(wanted, F.col("h1") == F.col("id"), "left_semi").distinct()
     x, y = texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), texts.select(F.col("h1").alias("v"), F.col("line").alias("b"))
-    return pairs.join(x, "u").join(y, "v").filter(within_edits(F.col("a"), F.col("b"))).select("u", "v")
+    # rows are few but each is costly: a number of partitions that isn't lowered by their size
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(x, "u").join(y, "v").repartition(parts).filter(within_edits(F.col("a"), F.col("b"))).select("u", "v")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -150,7 +146,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs.select("doc_id", "text"))
     classes = scratch.cut(graphs.components(scratch.cut(near_lines(lines), "links")), "classes")
     spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    narrow = lines.select("h1", "h2", "doc_id", "line_no", spot.alias("spot"))
+    narrow = scratch.cut(lines.select("h1", "h2", "doc_id", "line_no"), "lines").withColumn("spot", spot)
     groups = narrow.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     linked = groups.join(classes, groups["h1"] == classes["node"]).select("h1", "h2", "first", "component")
     least = linked.groupBy("component").agg(F.min("first").alias("stays"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.plans import costs, relations
+from fieldnotes.plans import costs, flows, relations, web
 
-MODULES = (costs, relations)
+MODULES = (costs, relations, web, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

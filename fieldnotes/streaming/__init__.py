@@ -1,0 +1,65 @@
+"""Structured Streaming twins of batch operators: the same rows from a growing log."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+WATERMARK = "10 minutes"
+
+
+def cost_daily(calls: DataFrame, late: str = "1 day") -> DataFrame:
+    """Cost by company and day over a stream of calls, with a watermark so that state is dropped."""
+    return calls.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", "1 day").alias("w"), "company_id").agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd")).select(F.col("w.start").alias("day"), "company_id", "calls", "cost_usd")
+
+
+def dedup(events: DataFrame, key: str = "event_id", late: str = WATERMARK) -> DataFrame:
+    """Each event once, while repeats come within the watermark."""
+    return events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark([key])
+
+
+def fan_in(events: DataFrame, types: list[str], timeout_minutes: int = 10, late: str = WATERMARK) -> DataFrame:
+    """A row per correlation once every type was seen, or one with ``timed_out`` when the watermark
+    passes the timeout from its first event.  State is the types' first times, then a mark that the
+    key is done, kept until the watermark passes it, so a replay within that time isn't emitted again."""
+    need = set(types)
+    out = "correlation_id string, completed_at timestamp, timed_out boolean"
+    state = "types array<string>, times array<long>, done boolean"
+
+    def step(key: tuple[str], batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+        first: dict[str, int] = {}
+        done = False
+        if s.exists:
+            names, times, done = s.get
+            first = dict(zip(names, times, strict=True))
+        if s.hasTimedOut:
+            s.remove()
+            if not done:
+                at = pd.Timestamp(min(first.values()), unit="us") + pd.Timedelta(minutes=timeout_minutes)
+                yield pd.DataFrame({"correlation_id": [key[0]], "completed_at": [at], "timed_out": [True]})
+            return
+        for batch in batches:
+            for kind, at in zip(batch["type"], batch["occurred_at"], strict=True):
+                us = pd.Timestamp(at).value // 1000
+                first[kind] = min(first.get(kind, us), us)
+        if not done and need <= first.keys():
+            done = True
+            yield pd.DataFrame({"correlation_id": [key[0]], "completed_at": [pd.Timestamp(max(first.values()), unit="us")], "timed_out": [False]})
+        s.update((list(first), list(first.values()), done))
+        deadline = min(first.values()) // 1000 + timeout_minutes * 60_000
+        s.setTimeoutTimestamp(max(deadline, s.getCurrentWatermarkMs() + 1))
+
+    wanted = events.filter(F.col("type").isin(types)).select("correlation_id", "type", "occurred_at").withWatermark("occurred_at", late)
+    return wanted.groupBy("correlation_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Run a stream to the end of what its source has, into a table in memory; for tests and reports."""
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
