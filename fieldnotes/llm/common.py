@@ -19,6 +19,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those that a result replaces."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the ids that no model may learn from; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2

@@ -169,26 +169,26 @@ def _finder(key: int, shared):
     return F.pandas_udf(find, _FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``leak``.
+def contamination(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES, into: str = "leak") -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``leak`` (or ``into``).
 
-    ``leak`` has n_words, hits (spans of word numbers, end exclusive), items (the item_ids whose
+    It has n_words, hits (spans of word numbers, end exclusive), items (the item_ids whose
     windows occur, sorted as strings) and n_hit.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-size // slice_bytes) or 1
-    out = docs.withColumn("leak", F.lit(None).cast(f"struct<n_words:bigint,hits:{_HITS},items:array<string>>"))
+    out = docs.withColumn(into, F.lit(None).cast(f"struct<n_words:bigint,hits:{_HITS},items:array<string>>"))
     for i in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
-        out = out.withColumn("leak", _finder(shared._jbroadcast.id(), shared)(F.col("text"), F.col("leak.hits"), F.col("leak.items")))
+        out = out.withColumn(into, _finder(shared._jbroadcast.id(), shared)(F.col("text"), F.col(f"{into}.hits"), F.col(f"{into}.items")))
         if slices > 1:
             out = scratch.cut(out, f"leak-{i}")
             shared.destroy()
-    n_hit = F.aggregate("leak.hits", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
-    return out.withColumn("leak", F.struct("leak.n_words", "leak.hits", "leak.items", n_hit.alias("n_hit")))
+    n_hit = F.aggregate(f"{into}.hits", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return out.withColumn(into, F.struct(f"{into}.n_words", f"{into}.hits", f"{into}.items", n_hit.alias("n_hit")))
 
 
 def items_digest(items: Column) -> Column:

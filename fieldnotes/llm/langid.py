@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldnotes.llm.common import held_out, read, small_batches, uniform
+from fieldnotes.llm.common import free_name, held_out, read, small_batches, uniform
 
 ORDER = 3
 SAMPLE = 400
@@ -167,13 +167,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int = TABLE_BYTES)
 _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
-def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``language``: lang_pred, score.
+def identify(docs: DataFrame, trees: Trees | None, into: str = "language") -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``language`` (or ``into``): lang_pred, score.
 
     The score is the posterior probability of the predicted language under equal priors.
     """
     if trees is None:
-        return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
+        return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -189,13 +189,14 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
                 score[known] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("language", F.pandas_udf(predict, _RESULT)(F.col("text")))
+    return docs.withColumn(into, F.pandas_udf(predict, _RESULT)(F.col("text")))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is in some language: `und` goes, everything else stays."""
     small_batches(docs.sparkSession)
-    return identify(docs, train(docs)).filter(F.col("language.lang_pred") != UNKNOWN).drop("language")
+    found = free_name(docs, "language")
+    return identify(docs, train(docs), found).filter(F.col(f"{found}.lang_pred") != UNKNOWN).drop(found)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

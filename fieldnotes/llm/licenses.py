@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.common import read
+from fieldnotes.llm.common import free_name, others, read
 
 BROADCAST_ROWS = 256
 
@@ -103,26 +103,32 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     table = names.agg(F.count("*").alias("n")).first()["n"]
     if table > BROADCAST_ROWS:
         return _scan_joined(docs, names)
-    whole = F.broadcast(names.select("known", F.array_join("names", ",").alias("whole")))
+    digests, each, key, whole, table = (free_name(docs, n) for n in ("license_digest", "license_lines", "license_key", "license_whole", "license_table"))
     held = F.when(F.col("text").rlike(TELLING), F.filter(F.split("text", "\n"), lambda x: x.rlike(TELLING)))
-    marked = docs.withColumn("licenses", F.struct(digest(F.col("text")).alias("digest"), F.transform(held, digest).alias("each")))
+    entire = F.broadcast(names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole)))
     by_digest = names.agg(F.map_from_entries(F.collect_list(F.struct("known", "names")))).scalar()
-    joined = marked.join(whole, F.col("licenses.digest") == F.col("known"), "left").withColumn("known_map", by_digest)
-    found = F.filter(F.transform(F.coalesce("licenses.each", F.array().cast("array<string>")), lambda d: F.try_element_at(F.col("known_map"), d)), lambda x: x.isNotNull())
-    result = F.struct("licenses.digest", "whole", F.array_sort(F.array_distinct(F.flatten(found))).alias("lines"), F.size(found).cast("long").alias("n_lines"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("licenses"))
+    marked = docs.withColumn(digests, digest(F.col("text"))).withColumn(each, F.coalesce(F.transform(held, digest), F.array().cast("array<string>")))
+    joined = marked.join(entire, F.col(digests) == F.col(key), "left").withColumn(table, by_digest)
+    found = F.filter(F.transform(each, lambda d: F.try_element_at(F.col(table), d)), lambda x: x.isNotNull())
+    return joined.select(*others(docs, "licenses"), _result(F.col(digests), F.col(whole), found).alias("licenses"))
+
+
+def _result(whole_digest: Column, whole: Column, found: Column) -> Column:
+    names = F.array_sort(F.array_distinct(F.flatten(found)))
+    return F.struct(whole_digest.alias("digest"), whole.alias("whole"), names.alias("lines"), F.size(found).cast("long").alias("n_lines"))
 
 
 def _scan_joined(docs: DataFrame, names: DataFrame) -> DataFrame:
     """The same for a catalogue too large to broadcast: digests are joined, not texts."""
-    row = docs.withColumn("row_digest", digest(F.col("text"))).withColumn("row_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = row.select("row_key", "text").dropDuplicates(["row_key"])
-    lines = texts.select("row_key", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TELLING)), digest)).alias("known"))
-    hits = lines.join(names, "known").groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("lines"), F.count("*").alias("n_lines"))
-    whole = names.select("known", F.array_join("names", ",").alias("whole"))
-    joined = row.join(whole, F.col("row_digest") == F.col("known"), "left").join(hits, "row_key", "left")
-    result = F.struct(F.col("row_digest").alias("digest"), "whole", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias("licenses"))
+    digests, row, key, hit, whole, found = (free_name(docs, n) for n in ("license_digest", "license_row", "license_key", "license_hit", "license_whole", "license_found"))
+    rows = docs.withColumn(digests, digest(F.col("text"))).withColumn(row, F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = rows.select(F.col(row).alias("row"), "text").groupBy("row").agg(F.min("text").alias("text"))
+    lines = texts.filter(F.col("text").rlike(TELLING)).select("row", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TELLING)), digest)).alias("known"))
+    hits = lines.join(names, "known").groupBy("row").agg(F.collect_list("names").alias("names")).select(F.col("row").alias(hit), F.col("names").alias(found))
+    entire = names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole))
+    joined = rows.join(entire, F.col(digests) == F.col(key), "left").join(hits, F.col(row) == F.col(hit), "left")
+    none = F.array().cast("array<array<string>>")
+    return joined.select(*others(docs, "licenses"), _result(F.col(digests), F.col(whole), F.coalesce(found, none)).alias("licenses"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

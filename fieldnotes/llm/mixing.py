@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.common import read, uniform
+from fieldnotes.llm.common import free_name, others, read, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -57,25 +57,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     return level.select("source", "source_size", F.coalesce(share, F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``mix``: size, source_size, target, copies, taken."""
-    sized = docs.withColumn("mix", word_count(F.col("text")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, into: str = "mix") -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``mix`` (or ``into``): size, source_size, target, copies, taken."""
+    size, source, of = (free_name(docs, n) for n in ("mix_size", "mix_source", "mix_target"))
     totals = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(totals, weights, max_repeat).select(F.col("source").alias("mix_source"), F.struct("source_size", "target").alias("mix_target"))
-    rate = F.when(F.col("mix_target.source_size") > 0, F.col("mix_target.target") / F.col("mix_target.source_size")).otherwise(F.lit(0.0))
-    copies = (F.floor(rate) + (uniform(F.lit(seed), F.col("doc_id")) < rate - F.floor(rate)).cast("long")).alias("copies")
-    return (
-        sized.join(t, sized["source"].eqNullSafe(t["mix_source"]))
-        .withColumn("mix", F.struct(F.col("mix").alias("size"), "mix_target.source_size", "mix_target.target", copies))
-        .withColumn("mix", F.col("mix").withField("taken", F.col("mix.size") * F.col("mix.copies")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "mix")
-    )
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row per copy, numbered from 1 in ``copy``."""
-    kept = [F.col(f"`{c}`") for c in mixed.columns if c != "mix"]
-    return mixed.filter("mix.copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))).alias("copy"))
+    t = targets(totals, weights, max_repeat).select(F.col("source").alias(source), F.struct("source_size", "target").alias(of))
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    joined = sized.join(t, sized["source"].eqNullSafe(t[source]))
+    whole, target = F.col(f"{of}.source_size"), F.col(f"{of}.target")
+    rate = F.when(whole > 0, target / whole).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + (uniform(F.lit(seed), F.col("doc_id")) < rate - F.floor(rate)).cast("long")
+    result = F.struct(F.col(size).alias("size"), whole.alias("source_size"), target.alias("target"), copies.alias("copies"), (F.col(size) * copies).alias("taken"))
+    return joined.select(*others(docs, into), result.alias(into))
+
+
+def emit(mixed: DataFrame, mix: str = "mix", into: str = "copy") -> DataFrame:
+    """The mix itself: a row per copy, numbered from 1 in ``copy`` (or ``into``)."""
+    return mixed.filter(f"{mix}.copies > 0").select(*others(mixed, mix, into), F.explode(F.sequence(F.lit(1), F.col(f"{mix}.copies").cast("int"))).alias(into))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
