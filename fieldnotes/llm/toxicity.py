@@ -3,9 +3,9 @@
 The chain has two tags, clean and toxic.  A token's potential is the sum of the weights of its
 features (the word and its prefixes of 3 to 6 characters); transitions are learned too.  Documents
 carry only a label, so the labelled tokens are derived from it: a token of a toxic document is
-toxic if one of its features occurs in toxic documents and (nearly) never in clean ones, more often
-than chance allows for all features tried (near copies count once); all others are clean.  Weights maximise the conditional likelihood of these tags (L2-regularised);
-forward-backward gives the gradient.
+toxic if one of its features is used in toxic documents far more than in clean ones, and more than
+chance allows for all features tried (near copies count once); all others are clean.  Weights maximise
+the conditional likelihood of these tags (L2-regularised); forward-backward gives the gradient.
 
 A document is scored from the marginals: their greatest and their sum (the expected number of
 toxic tokens), mapped to a probability by a logistic curve fitted on the training documents.
@@ -15,8 +15,8 @@ Only features that lean to toxic carry a weight, so nearly all tokens of a text
 potential.  Between the others the chain is advanced by a power of one 2 x 2 matrix, taken from its
 spectrum: exact, and linear in the few tokens that matter, however long the text.
 
-Training is bounded: about ``SAMPLE`` toxic and ``CLEAN * SAMPLE`` clean documents, drawn by a hash of the id, of texts up to
-``TRAIN_CHARS`` characters.  Scoring reads whole texts, in Arrow batches, without a shuffle.
+Training is bounded: about ``SAMPLE`` toxic and ``CLEAN * SAMPLE`` clean documents, drawn by a hash
+of the id, of texts up to ``TRAIN_CHARS`` characters.  Scoring reads whole texts, in Arrow batches, without a shuffle.
 
 Defined cases: null and empty texts score like a text without toxic tokens; repeated labels of a
 document count once (the least); without labels of both kinds every score is 0.
@@ -45,6 +45,8 @@ SEED_SHARE = 0.9
 SEED_DOCS = 3
 #: How far, in nats beyond the number of candidates, its documents must be from chance.
 MARGIN = 3.0
+#: A document counts for a feature by its uses, up to so many.
+USES = 4
 #: Clean documents in the sample for each toxic one.
 CLEAN = 3
 CACHE = 400_000
@@ -66,6 +68,15 @@ def _copy(words: list[str], known: set[tuple[int, int]]) -> bool:
     return found
 
 
+def _uses(words: list[str]) -> Counter:
+    """How often each feature occurs in a document, up to ``USES``."""
+    out: Counter = Counter()
+    for w, k in Counter(words).items():
+        for f in features_of(w):
+            out[f] += k
+    return Counter({f: min(k, USES) for f, k in out.items()})
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -77,16 +88,18 @@ class Crf:
         docs = [[m.group().lower() for m in _TOKEN.finditer(t)] for t in texts]
         y = np.array(toxic)
         n = [max(1, int((y == k).sum())) for k in (0, 1)]
-        bad, good, word_docs = Counter(), Counter(), Counter()
+        bad, good, bad_docs, word_uses = Counter(), Counter(), Counter(), Counter()
         known: set[tuple[int, int]] = set()
         for words, label in zip(docs, toxic, strict=True):
             if label and not _copy(words, known):
-                bad.update({f for w in set(words) for f in features_of(w)})
-                word_docs.update(set(words))
-        bad = Counter({f: k for f, k in bad.items() if k >= SEED_DOCS})
+                uses = _uses(words)
+                bad.update(uses)
+                bad_docs.update(uses.keys())
+                word_uses.update({f: k for f, k in uses.items() if not f.endswith("*")})
+        bad = Counter({f: k for f, k in bad.items() if bad_docs[f] >= SEED_DOCS})
         for words, label in zip(docs, toxic, strict=True):
             if not label:
-                good.update({f for w in set(words) for f in features_of(w) if f in bad})
+                good.update({f: k for f, k in _uses(words).items() if f in bad})
         base, chance = n[1] / sum(n), np.log(max(1, len(bad))) + MARGIN
 
         def seed(f: str) -> bool:
@@ -94,11 +107,11 @@ class Crf:
             if (k / n[1]) / (k / n[1] + g / n[0]) < seed_share:
                 return False
             gain = k * np.log(k / (k + g) / base) + (g * np.log(g / (k + g) / (1 - base)) if g else 0.0)
-            return gain > chance
+            return gain * bad_docs[f] / k > chance  # uses within a document aren't independent
 
         # a prefix must stand for several words: where one makes up most of it, the word will do
         most = Counter()
-        for w, k in word_docs.items():
+        for w, k in word_uses.items():
             for f in features_of(w)[1:]:
                 most[f] = max(most[f], k)
         seeds = {f for f in bad if 2 * most[f] <= bad[f] and seed(f)}
@@ -216,9 +229,9 @@ class Crf:
         found = [self.tag(t)[1:] for t in texts]
         x = np.array([(1.0, top, np.log1p(total)) for top, total in found])
         w = np.zeros(3)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        weight = 1 / max(1, len(y))
         for _ in range(2000):
-            w += 2.0 * (x.T @ (weight * (y - _sigmoid(x @ w))) - 0.0005 * w)
+            w += 4.0 * (weight * (x.T @ (y - _sigmoid(x @ w))) - 0.0005 * w)
         self.curve = w
 
     def score(self, top: float, total: float) -> float:
