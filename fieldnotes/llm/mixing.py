@@ -6,9 +6,9 @@ which a source's documents are repeated: every document is emitted floor(rate) t
 more if a number seeded by its id falls below the fraction.
 
 Plan: one aggregate over (source, word count) with partial sums, closed-form water-filling over
-one row per source, and a join of the documents to those rows (small, so adaptive execution
-broadcasts it; a sort-merge join with skew splitting otherwise).  Texts are never shuffled
-unless adaptive execution finds the table of sources too large to broadcast.
+one row per source, kept in the shared folder, and a join of the documents to those rows: broadcast up to
+``BROADCAST_SOURCES`` of them, so that texts aren't shuffled, and a sort-merge join, whose skewed
+sources adaptive execution splits, beyond.
 
 Defined cases: a null or empty text has size 0; null is a source of its own, ranked last; a
 source of size 0 has target 0; repeated rows with one id share one draw; a null id draws as ''.
@@ -19,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldnotes.llm import scratch
 from fieldnotes.llm.common import free_name, others, read, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 17
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,7 +63,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     """All rows and columns of ``docs`` with a struct ``mix`` (or ``into``): size, source_size, target, copies, taken."""
     size, source, of = (free_name(docs, n) for n in ("mix_size", "mix_source", "mix_target"))
     totals = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(totals, weights, max_repeat).select(F.col("source").alias(source), F.struct("source_size", "target").alias(of))
+    t = scratch.cut(targets(totals, weights, max_repeat).select(F.col("source").alias(source), F.struct("source_size", "target").alias(of)), "targets")
+    t = F.broadcast(t) if t.count() <= BROADCAST_SOURCES else t
     sized = docs.withColumn(size, word_count(F.col("text")))
     joined = sized.join(t, sized["source"].eqNullSafe(t[source]))
     whole, target = F.col(f"{of}.source_size"), F.col(f"{of}.target")
