@@ -97,3 +97,14 @@ def rank_opportunities(rows: DataFrame, catalogue: DataFrame, least: int = 3, mo
 def size_rules(rows: DataFrame, rules: dict[str, tuple[int, int]]) -> DataFrame:
     """Array columns within their bounds, a boolean column each."""
     return rows.select(*[c for c in rows.columns if c not in rules], *[F.size(c).between(*b).alias(f"{c}_ok") for c, b in rules.items()])
+
+
+def guards(audits: DataFrame) -> DataFrame:
+    """What a site's numbers call for: a headless retry, a human look, a rebuild, search fixes."""
+    return audits.select(
+        "site",
+        (F.col("total_words") < 200).alias("empty_extraction"),
+        (F.col("confidence") < 0.5).alias("low_confidence"),
+        (F.col("performance") < 50).alias("rebuild"),
+        (F.col("seo") < 70).alias("search_fixes"),
+    )

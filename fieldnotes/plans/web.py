@@ -81,6 +81,7 @@ ESTIMATES = Rows(
 )
 OFFERS = Rows("company_id string, id string, priority_score double, evidence long", *[(c, s, round(0.9 - 0.1 * (i % 4), 2), 1 + i % 3) for c, n in (("c1", 11), ("c2", 3), ("c3", 2)) for i, s in enumerate([*SERVICES, "hologram"][-n:])])
 QUOTES = Rows("lead_id string, floor_usd double, ceiling_usd double, ups long, downs long, asked double", ("a", 5000.0, 25000.0, 0, 0, 0.1), ("b", 5000.0, 25000.0, 2, 0, 0.5), ("c", 500.0, 1500.0, 0, 2, -0.1), ("d", 1500.0, 5000.0, 1, 1, 0.2))
+AUDITS = Rows("site string, total_words long, confidence double, performance double, seo double", ("a", 199, 0.5, 49.9, 70.0), ("b", 200, 0.49, 50.0, 69.9), ("c", None, None, 90.0, None))
 BUDGET_PAGES, BUDGET_BYTES = 25, 40_000
 TEMPLATE = "Dear {{ name }}, we read {{host}} in {{ city }} for {{ unknown }}."
 LANGUAGE = "en"
@@ -146,6 +147,8 @@ QUERIES = {
     "email_compliance": lambda s, d: v.email_compliance(DRAFTS.df(s)),
     "whatsapp_compliance": lambda s, d: v.whatsapp_compliance(DRAFTS.df(s)),
     "verbatim_quotes": lambda s, d: v.verbatim_quotes(DRAFTS.df(s)).select("draft_id", "quoted"),
+    "contract_sizes": lambda s, d: v.size_rules(DRAFTS.df(s).select("draft_id", "anchors", "phrases"), {"anchors": (1, 2), "phrases": (1, 3)}),
+    "threshold_guards": lambda s, d: v.guards(AUDITS.df(s)),
     "roi_payback": lambda s, d: v.roi_payback(ESTIMATES.df(s)),
     "roi_bounds": lambda s, d: v.roi_bounds(ESTIMATES.df(s)),
     "price_quote": lambda s, d: QUOTES.df(s).select("lead_id", money.quote(F.col("floor_usd"), F.col("ceiling_usd"), F.col("ups"), F.col("downs")).alias("price"), money.discounted(F.col("ceiling_usd"), F.col("asked")).alias("discounted"), money.convert(F.col("floor_usd"), F.lit(3.6725)).alias("floor_aed")),
@@ -289,6 +292,8 @@ SELECT *, words <= 120 AND subject_words <= 7 AND anchors >= 2 AND banned = '' A
 SELECT *, words <= 40 AND NOT has_url AND emojis <= 1 AND anchors >= 1 AS ok FROM (
   SELECT draft_id, {_count("body")} AS words, regexp_matches(body, '{v.URL}') AS has_url, CAST(len(regexp_extract_all(body, '{_EMOJI}')) AS BIGINT) AS emojis, {_ANCHORS} AS anchors FROM {DRAFTS.sql})""",
     "verbatim_quotes": f"SELECT draft_id, len(list_filter(phrases, lambda q: contains(body, q))) > 0 AS quoted FROM {DRAFTS.sql}",
+    "contract_sizes": f"SELECT draft_id, len(anchors) BETWEEN 1 AND 2 AS anchors_ok, len(phrases) BETWEEN 1 AND 3 AS phrases_ok FROM {DRAFTS.sql}",
+    "threshold_guards": f"SELECT site, total_words < 200 AS empty_extraction, confidence < 0.5 AS low_confidence, performance < 50 AS rebuild, seo < 70 AS search_fixes FROM {AUDITS.sql}",
     "roi_payback": f"SELECT opportunity_id, round(CASE WHEN expected - run_cost > 0 THEN setup / (expected - run_cost) END, 4) AS payback_months FROM {ESTIMATES.sql}",
     "roi_bounds": f"""
 SELECT *, ordered AND bounded AND enough_assumptions AS ok FROM (SELECT opportunity_id, low <= expected AND expected <= high AS ordered, expected <= 50000 AS bounded,
