@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from fieldnotes import streaming
 from fieldnotes.operators import cost, events as ev, relational, retrieval as rv, sequencer as sq
 from fieldnotes.plans.costs import AS_OF, at
 from fieldnotes.plans.inline import Rows
+from fieldnotes.session import shared_folder
 from fieldnotes.sources import tables as t
 
 LOG = t.EVENT_LOG_SQL
@@ -110,9 +110,8 @@ def _is_folder(s, path: str) -> bool:
 
 def drained(s, stream, name: str, mode: str = "append"):
     """The rows of a stream over all that its source has; checkpoints go to the shared folder."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldnotes-")
     unique = f"{name}_{uuid.uuid4().hex[:8]}"
-    return streaming.drain(stream, unique, mode, f"{base}/{unique}")
+    return streaming.drain(stream, unique, mode, f"{shared_folder(s)}/{unique}")
 
 
 QUERIES = {

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_local: list[str] = []
+
 #: UTC everywhere; adaptive plans coalesce, split skewed joins and demote sorts to hashes.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,3 +26,19 @@ def session(name: str = "fieldnotes", **extra: str) -> SparkSession:
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables and stream checkpoints go: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, a cluster's executors share the warehouse; only a session whose executors
+    are threads of this process gets a temporary folder.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="fieldnotes-"))
+    return _local[0]
