@@ -1,35 +1,25 @@
 """Tables that cut lineage: written once into the shared folder, then read like any input.
 
-The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset (tests, a
-laptop) a local temporary folder is taken.  A written table survives the loss of executors.
+The folder is ``spark.checkpoint.dir`` of the session (see ``shared_folder`` where that is unset).
+A written table survives the loss of executors.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-_local: list[str] = []
-
+from fieldnotes.session import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="fieldnotes-"))
-    return _local[0]
+_made: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and return a DataFrame that reads the files."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/fieldnotes-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/fieldnotes-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if not _made:
         atexit.register(clear)
