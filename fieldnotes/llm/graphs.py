@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from fieldnotes.llm import scratch
 
+#: Edges a file of an edge table should have.
+FILE_ROWS = 500_000
+
+
 def _star(pairs: DataFrame) -> DataFrame:
     """(node, other) pairs -> the same with the least of the node and its others in ``m``."""
     least = pairs.groupBy("node").agg(F.min("other").alias("m")).select(F.col("node").alias("n"), F.least("node", "m").alias("m"))
@@ -30,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _star(both).filter("other > node AND other <> m").select(F.col("other").alias("node"), F.col("m").alias("other")).distinct()
         small = _star(large)
         nxt = small.filter("other <> m").select(F.col("other").alias("v"), "m").unionAll(small.select(F.col("node").alias("v"), "m")).filter("v <> m").distinct()
-        now = scratch.cut(nxt, "edges")
+        # few edges go to few files, so that later rounds run few tasks
+        now = scratch.cut(nxt.repartition(rows // FILE_ROWS + 1), "edges")
         was = (rows, total)
         rows, total = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if was == (rows, total):

@@ -1,6 +1,6 @@
 """Line deduplication by a segment-partition edit join, in DataFrame operations only.
 
-Lines are compared trimmed, in lower case, with runs of blanks as one.  Equal lines are one class.
+Lines are compared trimmed, with runs of blanks as one.  Equal lines are one class.
 Two lines of at least ``MIN_CHARS`` characters within ``EDITS`` = 2 edits of each other are linked,
 and classes are what links reach.  Of each class the first line stays (least doc_id, then line
 number); the others are removed.
@@ -9,15 +9,16 @@ The join: a line is cut into EDITS + 1 even segments.  If two lines are within E
 segment of one occurs in the other unchanged, at a position shifted by what the edits around it
 allow.  So every distinct line is indexed by (length, number of the segment, segment), and it
 probes, for its own length and up to EDITS less, only the substrings that can match there: of
-those, the positions given by the multi-match-aware bounds from both ends.  Candidates are verified
-by an automaton over the 2 * EDITS + 1 diagonals of the band, one bit each, a word per number of
-edits, advanced by a few bit operations a character.
+those, the positions given by the multi-match-aware bounds from both ends.  A pair whose counts of
+frequent letters differ by more than the edits can explain is dropped inside the join.  Candidates are
+verified, between their common prefix and suffix, by an automaton over the 2 * EDITS + 1 diagonals of
+the band, one bit each, a word per number of edits, advanced by a few bit operations a character.
 
 Plan: lines are exploded from one scan with whole-stage code.  A shuffle makes them distinct
-(partial aggregation meets hot lines before it), a second brings segment hashes together; rows
-there are two longs.  Only candidate pairs meet texts again, by a second scan that is filtered
-by the candidates' hashes (broadcast up to ``BROADCAST_ROWS`` of them, joined beyond).  Texts
-are never shuffled as documents.
+(partial aggregation meets hot lines before it); a second, of two longs a row, brings keys together,
+and drops in the same stage all that meet nothing.  Only lines that meet another fetch their texts and
+letter counts, by a second scan filtered by their ids (broadcast up to ``BROADCAST_ROWS`` of them,
+joined beyond).  Texts are never shuffled as documents.
 
 Defined cases: null texts have no lines; blank lines and lines shorter than the least length
 (after normalising) are never removed; rows with one doc_id are one document; null ids come last.
@@ -25,11 +26,11 @@ Defined cases: null texts have no lines; blank lines and lines shorter than the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import graphs, scratch
-from fieldnotes.llm.common import read
+from fieldnotes.llm.common import free_name, others, read
 
 EDITS = 2
 #: Least length for near-equal lines; shorter ones must be equal.
@@ -37,10 +38,16 @@ MIN_CHARS = 40
 #: Lines that are shorter, once normalised, aren't removed at all.
 LEAST = 1
 BROADCAST_ROWS = 1_000_000
+#: Letters whose counts rule out candidates; any choice is right, frequent ones rule out most.
+LETTERS = "etaoinsrhludcmgb"
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[\t\x0B\f\r]", " "))
+    """The line without blanks at its ends, runs of blanks as one."""
+    odd = line.contains("  ")
+    for blank in "\t\x0b\f\r":
+        odd = odd | line.contains(blank)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,6 +56,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).filter(F.length("line") >= LEAST).select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("#"), "line").alias("h2"))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of the frequent letters occurs, modulo 16, four bits each in a long."""
+    packed = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(15).cast("long"), 4 * i))
+    return packed
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum over the letters of how far the counts are apart at least; an edit adds 2 at most."""
+    part = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(15)
+    out = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        d = (part(a, i) - part(b, i)).bitwiseAND(15)
+        out = out + F.least(d, 16 - d)
+    return out
+
+
 def _bounds(length: Column, i: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a line: the last ones are one longer."""
     parts = EDITS + 1
@@ -62,36 +88,68 @@ def _key(length: Column, i: int, part: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), part)
 
 
-def index_keys(line: Column, length: Column) -> Column:
+def _part(wide: Column, start: Column, size: Column) -> Column:
+    """Characters of a text in UTF-32, four bytes each, so that a position needs no scan."""
+    return F.substring(wide, start * 4 + 1, size * 4)
+
+
+def index_keys(wide: Column, length: Column) -> list[Column]:
     """Keys of the segments of a line."""
     keys = []
     for i in range(EDITS + 1):
         start, size = _bounds(length, i)
-        keys.append(_key(length, i, F.substring(line, start + 1, size)))
-    return F.array(*keys)
+        keys.append(_key(length, i, _part(wide, start, size)))
+    return keys
 
 
-def probe_keys(line: Column, length: Column) -> Column:
-    """Keys of the substrings of a line by which an indexed line, no longer than it, can match.
+def probe_keys(wide: Column, length: Column) -> list[Column]:
+    """Keys of the substrings of a line by which an indexed line, no longer than it, can match, but
+    for its own segments' keys.
 
     For a segment i that starts at p in a line shorter by d, the start s in this line obeys
     |s - p| <= i (edits before it) and |s - p - d| <= EDITS - i (edits after it).
     """
-    lists = []
+    keys = []
     for d in range(EDITS + 1):
         other = length - d
         for i in range(EDITS + 1):
             start, size = _bounds(other, i)
             for shift in range(max(-i, d - (EDITS - i)), min(i, d + (EDITS - i)) + 1):
-                lists.append(_key(other, i, F.substring(line, start + shift + 1, size)))
-    return F.array(*lists)
+                if d or shift:
+                    keys.append(_key(other, i, _part(wide, start + shift, size)))
+    return keys
+
+
+def _strip(pair: Column) -> Column:
+    """A struct (a, b, lo) without the common prefix of a and b, found by halving; both reversed, so
+    that the next call strips the suffix.  All that steps read is in the state: an expression from
+    outside would be computed anew for every step."""
+
+    def longer(s: Column, step: Column) -> Column:
+        end = s["lo"] + step
+        same = (end <= F.least(F.length(s["a"]), F.length(s["b"]))) & (F.substring(s["a"], s["lo"] + 1, step) == F.substring(s["b"], s["lo"] + 1, step))
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), F.when(same, end).otherwise(s["lo"]).alias("lo"))
+
+    def rest(s: Column) -> Column:
+        a, b = F.substr(s["a"], s["lo"] + 1), F.substr(s["b"], s["lo"] + 1)
+        return F.struct(F.reverse(a).alias("a"), F.reverse(b).alias("b"), F.lit(0).alias("lo"))
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(25, -1, -1)]), pair, longer, rest)
 
 
 def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """True if the edit distance of two texts is at most ``edits``: the banded automaton.
+    """True if the edit distance of two texts is at most ``edits``.
 
-    Bit d + edits of word e: the first i characters of a can become the first i + d of b by e edits.
+    Common prefix and suffix, which edits needn't touch, go first; the rest is for the automaton.
     """
+    pair = F.struct(F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b"), F.lit(0).alias("lo"))
+    middle = _strip(_strip(pair))
+    return F.get(F.transform(F.array(middle), lambda m: _automaton(m["a"], m["b"], edits)), 0)
+
+
+def _automaton(a: Column, b: Column, edits: int) -> Column:
+    """The banded automaton.  Bit d + edits of word e: the first i characters of a can become the
+    first i + d of b by e edits."""
     la, lb = F.length(a), F.length(b)
     width = 2 * edits + 1
     full = (1 << width) - 1
@@ -123,35 +181,67 @@ def within_edits(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(lb - la) > edits, F.lit(False)).when((la == 0) | (lb == 0), F.lit(True)).otherwise(ok)
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """Edges (u, v) between hashes h1 of different lines within EDITS edits."""
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """(key, id, indexed) of the keys by which an indexed line meets another line.  All rows probe;
+    those of a line's own segments are indexed too.
+
+    Rows are two longs: the flag is the lowest bit of the second, which else holds a line's id.  What
+    stands alone in its key, nearly all, goes in the same stage that sorts by key.
+    """
     unique = lines.select("line").filter(F.length("line") >= MIN_CHARS).distinct()
-    line, length = F.col("line"), F.length("line")
-    a = unique.select(F.explode(index_keys(line, length)).alias("key"), F.xxhash64("line").alias("u"))
-    b = unique.select(F.explode(probe_keys(line, length)).alias("key"), F.xxhash64("line").alias("v"))
-    pairs = a.join(b, "key").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = scratch.cut(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(ids) if few else ids
-    texts = lines.select("h1", "line").join(wanted, F.col("h1") == F.col("id"), "left_semi").distinct()
-    x, y = texts.select(F.col("h1").alias("u"), F.col("line").alias("a")), texts.select(F.col("h1").alias("v"), F.col("line").alias("b"))
+    coded = unique.select(F.encode("line", "UTF-32").alias("wide"), line_id(F.xxhash64("line")).alias("id"))
+    sized = coded.select("wide", (F.octet_length("wide") / 4).cast("int").alias("n"), "id")
+    # keys as columns: a projection shares the expressions they have in common, a generator doesn't
+    keys = [*index_keys(F.col("wide"), F.col("n")), *probe_keys(F.col("wide"), F.col("n"))]
+    names = [f"key{i}" for i in range(len(keys))]
+    keyed = sized.select("id", *[k.alias(name) for k, name in zip(keys, names, strict=True)])
+    both = F.col("id").bitwiseOR((F.col("at") <= EDITS).cast("long"))
+    rows = keyed.select("id", F.posexplode(F.array(*names)).alias("at", "key")).select("key", both.alias("row"))
+    w = Window.partitionBy("key")
+    met = rows.select("key", "row", F.min(line_id(F.col("row"))).over(w).alias("least"), F.max(line_id(F.col("row"))).over(w).alias("most"), F.max(F.col("row").bitwiseAND(1)).over(w).alias("any"))
+    met = met.filter((F.col("least") != F.col("most")) & (F.col("any") == 1))
+    return met.select("key", line_id(F.col("row")).alias("id"), (F.col("row").bitwiseAND(1) == 1).alias("indexed"))
+
+
+def line_id(h: Column) -> Column:
+    return h.bitwiseAND(-2)
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
+    """Edges (u, v) between ids of different lines within EDITS edits."""
+    met = scratch.cut(shared_keys(lines), "keys")
+    ids = scratch.cut(met.select("id").distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = lines.select(line_id(F.col("h1")).alias("id"), "line").filter(F.length("line") >= MIN_CHARS).join(wanted, "id", "left_semi").distinct()
+    texts = scratch.cut(texts.select("id", "line", letter_counts(F.col("line")).alias("counts")), "texts")
+    signed = met.join(texts.select("id", "counts"), "id")
+    a = signed.filter("indexed").select("key", F.col("id").alias("u"), F.col("counts").alias("cu"))
+    b = signed.select("key", F.col("id").alias("v"), F.col("counts").alias("cv"))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") != F.col("v")) & (counts_apart(F.col("cu"), F.col("cv")) <= 2 * EDITS))
+    pairs = scratch.cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    x, y = texts.select(F.col("id").alias("u"), F.col("line").alias("a")), texts.select(F.col("id").alias("v"), F.col("line").alias("b"))
     # rows are few but each is costly: a number of partitions that isn't lowered by their size
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.join(x, "u").join(y, "v").repartition(parts).filter(within_edits(F.col("a"), F.col("b"))).select("u", "v")
+    return pairs.join(x, "u").join(y, "v").repartition(parts).filter(within_edits(F.col("a"), F.col("b"))).select("u", "v").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line that isn't the first of its class."""
     lines = lines_of(docs.select("doc_id", "text"))
     classes = scratch.cut(graphs.components(scratch.cut(near_lines(lines), "links")), "classes")
-    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        # one number, which a hash aggregate can hold; null ids come last
+        wide = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+        spot = (F.coalesce(wide, F.lit("1" + "0" * 33).cast("decimal(34,0)")) + F.col("line_no")).cast("decimal(38,0)")
+    else:
+        spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     narrow = scratch.cut(lines.select("h1", "h2", "doc_id", "line_no"), "lines").withColumn("spot", spot)
     groups = narrow.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
-    linked = groups.join(classes, groups["h1"] == classes["node"]).select("h1", "h2", "first", "component")
+    same = line_id(groups["h1"]) == classes["node"]
+    linked = groups.join(classes, same).select("h1", "h2", "first", "component")
     least = linked.groupBy("component").agg(F.min("first").alias("stays"))
     linked = linked.join(least, "component").select("h1", "h2", "stays")
-    single = groups.join(classes, groups["h1"] == classes["node"], "left_anti").filter("n > 1").select("h1", "h2", F.col("first").alias("stays"))
+    single = groups.join(classes, same, "left_anti").filter("n > 1").select("h1", "h2", F.col("first").alias("stays"))
     stays = linked.unionAll(single)
     return narrow.join(stays, ["h1", "h2"]).filter(F.col("spot") != F.col("stays")).select("doc_id", "line_no")
 
@@ -161,15 +251,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A text all of whose lines go is empty; its document stays.  A column n_chars follows.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    parts = F.split(joined["text"], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), joined["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    key, lines = free_name(docs, "gone_id"), free_name(docs, "gone")
+    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias(lines)).select(F.col("doc_id").alias(key), lines)
+    split = free_name(docs, "gone_parts")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left").withColumn(split, F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(lines).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*others(docs))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
