@@ -20,8 +20,8 @@ and drops in the same stage all that meet nothing.  Only lines that meet another
 letter counts, by a second scan filtered by their ids (broadcast up to ``BROADCAST_ROWS`` of them,
 joined beyond).  Texts are never shuffled as documents.
 
-Defined cases: null texts have no lines; blank lines and lines shorter than the least length
-(after normalising) are never removed; rows with one doc_id are one document; null ids come last.
+Defined cases: null texts have no lines; blank lines are never removed; rows with one doc_id are one
+document; null ids come last.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ from fieldnotes.llm.common import free_name, others, read
 EDITS = 2
 #: Least length for near-equal lines; shorter ones must be equal.
 MIN_CHARS = 40
-#: Lines that are shorter, once normalised, aren't removed at all.
-LEAST = 1
 BROADCAST_ROWS = 1_000_000
 #: Letters whose counts rule out candidates; any choice is right, frequent ones rule out most.
 LETTERS = "etaoinsrhludcmgb"
@@ -53,7 +51,9 @@ def normal(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2): the normalised lines that count, with 128 bits of hash."""
     one = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return one.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).filter(F.length("line") >= LEAST).select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("#"), "line").alias("h2"))
+    # on the raw line, so that normalising isn't done once for the filter and once for the result
+    one = one.filter(F.trim("raw", F.lit(" \t\x0b\f\r")) != "")
+    return one.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("#"), "line").alias("h2"))
 
 
 def letter_counts(line: Column) -> Column:
