@@ -62,9 +62,9 @@ def reap_fail(jobs: DataFrame, as_of: Column) -> DataFrame:
     return jobs.filter(expired(as_of) & (F.col("attempt_count") >= F.col("max_attempts"))).withColumns({"status": F.lit("failed"), "finished_at": as_of})
 
 
-def heartbeat(jobs: DataFrame, ids: list[int], as_of: Column) -> DataFrame:
-    """Running jobs of a worker with their lease extended."""
-    return jobs.filter(F.col("id").isin(ids) & (F.col("status") == "running")).withColumn("leased_until", as_of + F.expr(f"interval {LEASE}"))
+def heartbeat(jobs: DataFrame, mine: Column, as_of: Column) -> DataFrame:
+    """Running jobs of a worker, told by a condition, with their lease extended."""
+    return jobs.filter(mine & (F.col("status") == "running")).withColumn("leased_until", as_of + F.expr(f"interval {LEASE}"))
 
 
 def backoff_ms(attempt: Column, base: float = 2000.0, multiplier: float = 3.0, most: float = 300_000.0) -> Column:

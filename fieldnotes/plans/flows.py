@@ -58,7 +58,8 @@ OBJECTIONS = Rows(
 # The outreach cadence (day of the sequence, channel).
 CADENCE = Rows("cadence string, step_index long, day_offset long, channel string", *[("default", i, day - 1, c) for i, (day, c) in enumerate(((1, "email"), (2, "linkedin"), (4, "whatsapp"), (7, "email"), (10, "linkedin"), (15, "email")))])
 DUE_AT = "2024-01-20 07:00:00"
-EVERY = 25
+#: A search's queries: every row whose id is divisible by this, against all rows.
+EVERY = 20
 
 
 def caused(s, d):

@@ -51,7 +51,7 @@ def enqueued(s, d):
 
 def hosts(s, d):
     p = t.table(s, d, "pages").select(F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("host"))
-    return r.new_by_host(p.unionByName(t.companies(s, d).filter("company_id % 2 = 0").select("host")), t.companies(s, d))
+    return r.new_by_host(p.unionByName(t.companies(s, d).select("host")), t.companies(s, d))
 
 
 def bundle(s, d):
@@ -89,7 +89,7 @@ QUERIES = {
     "queue_claim_permits": lambda s, d: queue.claim_permits(t.jobs(s, d), at(JOBS_AS_OF), PERMITS).select(*CLAIMED, "rank"),
     "queue_reap_requeue": lambda s, d: queue.reap_requeue(t.jobs(s, d), at(JOBS_AS_OF)).select("id", "status", "leased_until", "attempt_count", "last_error"),
     "queue_reap_fail": lambda s, d: queue.reap_fail(t.jobs(s, d), at(JOBS_AS_OF)).select("id", "status", "finished_at", "attempt_count"),
-    "queue_heartbeat": lambda s, d: queue.heartbeat(t.jobs(s, d), list(range(1, 400)), at(JOBS_AS_OF)).select("id", "leased_until"),
+    "queue_heartbeat": lambda s, d: queue.heartbeat(t.jobs(s, d), F.col("agent_name") == "agent-1", at(JOBS_AS_OF)).select("id", "leased_until"),
     "queue_after_claim": lambda s, d: queue.apply(t.jobs(s, d), queue.claim(t.jobs(s, d), at(JOBS_AS_OF), 4)).groupBy("status").agg(F.count("*").alias("jobs"), F.sum("attempt_count").alias("attempts")),
     "backoff_schedule": lambda s, d: queue.retry(t.jobs(s, d), at(JOBS_AS_OF)).select("id", "status", F.round(queue.backoff_ms(F.col("attempt_count")), 3).alias("delay_ms"), "available_at"),
 }
@@ -113,7 +113,7 @@ LEFT JOIN (SELECT conversation_id AS company_id, count(*) AS messages FROM ({MES
     "cache_hits": f"SELECT * FROM ({ASKED}) q WHERE EXISTS (SELECT 1 FROM ({ARTIFACTS}) a WHERE a.agent_name = q.agent_name AND a.agent_version = q.agent_version AND a.input_hash = q.input_hash)",
     "cache_misses": f"SELECT * FROM ({ASKED}) q WHERE NOT EXISTS (SELECT 1 FROM ({ARTIFACTS}) a WHERE a.agent_name = q.agent_name AND a.agent_version = q.agent_version AND a.input_hash = q.input_hash)",
     "dedupe_by_host": f"""
-SELECT DISTINCT host FROM (SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages UNION ALL SELECT host FROM ({COMPANIES}) WHERE company_id % 2 = 0)
+SELECT DISTINCT host FROM (SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages UNION ALL SELECT host FROM ({COMPANIES}))
 WHERE host <> '' AND host NOT IN (SELECT host FROM ({COMPANIES}))""",
     "catalogue_semi": f"SELECT company_id, id, CAST(priority_score AS DOUBLE) AS priority_score FROM {PROPOSED} WHERE id IN ({', '.join(repr(x) for x in SERVICES)})",
     "thread_order": f"""
@@ -147,7 +147,7 @@ SELECT id, agent_name, {_CLAIM}, k AS rank FROM (SELECT *, row_number() OVER (PA
 WHERE k <= CASE agent_name {" ".join(f"WHEN '{a}' THEN {n}" for a, n in PERMITS.items())} ELSE 0 END""",
     "queue_reap_requeue": f"SELECT id, 'queued' AS status, CAST(NULL AS TIMESTAMP) AS leased_until, attempt_count, COALESCE(last_error, 'lease expired') AS last_error {_EXPIRED} AND attempt_count < max_attempts",
     "queue_reap_fail": f"SELECT id, 'failed' AS status, TIMESTAMP '{JOBS_AS_OF}' AS finished_at, attempt_count {_EXPIRED} AND attempt_count >= max_attempts",
-    "queue_heartbeat": f"SELECT id, TIMESTAMP '{JOBS_AS_OF}' + INTERVAL 5 MINUTE AS leased_until FROM ({JOBS}) WHERE status = 'running' AND id BETWEEN 1 AND 399",
+    "queue_heartbeat": f"SELECT id, TIMESTAMP '{JOBS_AS_OF}' + INTERVAL 5 MINUTE AS leased_until FROM ({JOBS}) WHERE status = 'running' AND agent_name = 'agent-1'",
     "queue_after_claim": f"""
 WITH c AS (SELECT id {_FREE} ORDER BY priority, available_at, id LIMIT 4)
 SELECT CASE WHEN c.id IS NULL THEN j.status ELSE 'running' END AS status, count(*) AS jobs, CAST(sum(attempt_count + CASE WHEN c.id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS attempts

@@ -68,7 +68,7 @@ def test_reaping_is_idempotent_and_splits_by_attempts(jobs):
 
 def test_permits_and_heartbeat_and_backoff(spark, jobs):
     assert sorted(ids(queue.claim_permits(jobs, at(), {"a": 1}))) == [1]
-    assert ids(queue.heartbeat(jobs, [5, 8], at())) == [5]
+    assert ids(queue.heartbeat(jobs, F.col("id").isin(5, 8), at())) == [5]
     delays = spark.range(6).select(queue.backoff_ms(F.col("id")).alias("d")).collect()
     assert [r["d"] for r in delays] == [2000, 6000, 18000, 54000, 162000, 300000]
     assert queue.retry(jobs, at()).first()["available_at"] == T0 + datetime.timedelta(seconds=18)
