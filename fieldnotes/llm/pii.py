@@ -42,7 +42,8 @@ _MAIL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_MAIL})){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # runs of fewer than 13 digits can't pass, and don't shift where a longer run begins
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
@@ -51,7 +52,7 @@ WIDE = {
     "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)|00[1-9][0-9]{0,2}|[0-9]{3})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: A text without this has no span of the kind.
-NEEDS = {"email": "@|[\\(\\[]at[\\)\\]]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9][\x20().-]+[0-9]|\+[0-9]"}
+NEEDS = {"email": "@|[\\(\\[]at[\\)\\]]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"[0-9][\x20().-]+[0-9]|\+[0-9]"}
 
 # Top-level domains that vouch for an address.
 DOMAINS = "com org net edu gov mil int info biz io co ai dev app me example test eu de fr es it nl be at ch uk us ca au nz jp cn in br mx ru pl se no fi dk pt ie cz gr tr ae".split()
