@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldnotes.llm import graphs, scratch
+from fieldnotes.llm import graphs, scratch, similar
 from fieldnotes.llm.common import read, small_batches
 
 BITS = 2
@@ -125,16 +125,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return scratch.cut(docs.select("doc_id", fingerprint("text").alias("fp")), "documents")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component.
+def keep_one(docs: DataFrame, words: int = similar.WORDS, similarity: tuple[int, int] = similar.SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their class of near-duplicates (see ``similar``):
+    ``WORDS`` and ``BITS`` bind fingerprints alone, which miss most pairs of that similarity.
 
-    Rows with a null id are a component's least only if it has no other; repeated rows of the
-    least id all stay, as one document.
+    Rows with a null id are a class's least only if it has no other; repeated rows of the least id
+    all stay, as one document.
     """
     small_batches(docs.sparkSession)
-    prints = fingerprints(docs)
-    classes = near_duplicates(prints)
-    marked = prints.join(classes, "fp")
+    texts = scratch.cut(docs.select("doc_id", "text"), "texts")
+    made = similar.prints(texts, words, similarity)
+    marked = made.select("doc_id", "node").join(similar.classes(texts, made, words, similarity), "node")
     drop = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("drop_id")).distinct()
     return docs.join(drop, docs["doc_id"].eqNullSafe(drop["drop_id"]), "left_anti")
 
