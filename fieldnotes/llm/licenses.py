@@ -6,9 +6,8 @@ looked up among the digests of known licence texts by a hash join.  Entire texts
 first the whole document, then each of its lines, by which a one-line notice is found.
 
 Plan: one scan, no shuffle: the catalogue is a few dozen rows given by the caller, and is broadcast
-only while it has at most ``BROADCAST_ROWS`` rows (it is joined by digest beyond).  Lines are
-canonicalised only in texts that hold one of the catalogue's tell-tale words at all, and only the
-lines that hold one themselves.
+only while it has at most ``BROADCAST_ROWS`` rows (it is joined by digest beyond).  Every line is
+canonicalised: no word is common to all notices, less so to those a caller adds.
 
 Defined cases: null and empty texts match nothing, and so do texts that are blank in canonical form;
 catalogue rows with one digest are reported together, the names in order; repeated rows each
@@ -40,7 +39,7 @@ SPELLINGS = (
 
 #: A line that states a copyright: it begins with the word or the sign, and gives a year or a name.
 COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(copyright|\(c\)|©)[^\n]*$"
-#: Words one of which every notice of the catalogue holds.
+#: Words that most notices hold; only the SQL looks for them, so it misses the CC0 notice as a line.
 TELLING = r"(?i)licen[cs]|public domain|permission|redistribution"
 
 # One-line notices and the short licences' texts, by SPDX identifier.
@@ -88,6 +87,11 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def line_digest(text: Column) -> Column:
+    """The same for a line; an empty form isn't singled out, since the catalogue holds none."""
+    return F.sha2(canonical(text), 256)
+
+
 def catalogue(spark: SparkSession, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """(license, text) of the notices known here; a caller may add rows of its own."""
     return spark.createDataFrame(list(notices), "license string, text string")
@@ -104,10 +108,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     if table > BROADCAST_ROWS:
         return _scan_joined(docs, names)
     digests, each, key, whole, table = (free_name(docs, n) for n in ("license_digest", "license_lines", "license_key", "license_whole", "license_table"))
-    held = F.when(F.col("text").rlike(TELLING), F.filter(F.split("text", "\n"), lambda x: x.rlike(TELLING)))
     entire = F.broadcast(names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole)))
     by_digest = names.agg(F.map_from_entries(F.collect_list(F.struct("known", "names")))).scalar()
-    marked = docs.withColumn(digests, digest(F.col("text"))).withColumn(each, F.coalesce(F.transform(held, digest), F.array().cast("array<string>")))
+    marked = docs.withColumn(digests, digest(F.col("text"))).withColumn(each, F.coalesce(F.transform(F.split("text", "\n"), line_digest), F.array().cast("array<string>")))
     joined = marked.join(entire, F.col(digests) == F.col(key), "left").withColumn(table, by_digest)
     found = F.filter(F.transform(each, lambda d: F.try_element_at(F.col(table), d)), lambda x: x.isNotNull())
     return joined.select(*others(docs, "licenses"), _result(F.col(digests), F.col(whole), found).alias("licenses"))
@@ -123,7 +126,7 @@ def _scan_joined(docs: DataFrame, names: DataFrame) -> DataFrame:
     digests, row, key, hit, whole, found = (free_name(docs, n) for n in ("license_digest", "license_row", "license_key", "license_hit", "license_whole", "license_found"))
     rows = docs.withColumn(digests, digest(F.col("text"))).withColumn(row, F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = rows.select(F.col(row).alias("row"), "text").groupBy("row").agg(F.min("text").alias("text"))
-    lines = texts.filter(F.col("text").rlike(TELLING)).select("row", F.explode(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(TELLING)), digest)).alias("known"))
+    lines = texts.select("row", F.explode(F.transform(F.split("text", "\n"), line_digest)).alias("known"))
     hits = lines.join(names, "known").groupBy("row").agg(F.collect_list("names").alias("names")).select(F.col("row").alias(hit), F.col("names").alias(found))
     entire = names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole))
     joined = rows.join(entire, F.col(digests) == F.col(key), "left").join(hits, F.col(row) == F.col(hit), "left")
