@@ -195,8 +195,16 @@ def identify(docs: DataFrame, trees: Trees | None, into: str = "language") -> Da
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text is in some language: `und` goes, everything else stays."""
     small_batches(docs.sparkSession)
+    trees = train(docs)
+    if trees is None:  # no model to reject a text that has a letter
+
+        def lettered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([has_letter(t) for t in texts], dtype=bool)
+
+        return docs.filter(F.pandas_udf(lettered, "boolean")(F.col("text")))
     found = free_name(docs, "language")
-    return identify(docs, train(docs), found).filter(F.col(f"{found}.lang_pred") != UNKNOWN).drop(found)
+    return identify(docs, trees, found).filter(F.col(f"{found}.lang_pred") != UNKNOWN).drop(found)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
