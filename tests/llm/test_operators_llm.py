@@ -268,74 +268,6 @@ def test_whole_texts_and_equivalents(spark, monkeypatch):
     assert {r["doc_id"]: r for r in licenses.scan(docs, licenses.catalogue(spark)).select("doc_id", "known", "licenses.*").collect()} == rows
 
 
-# -- 7 lines ----------------------------------------------------------------------------------
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
-def mutate(rng, s, n):
-    for _ in range(n):
-        i, c = rng.randrange(len(s) + 1), rng.choice("abé ")
-        s = rng.choice([s[:i] + c + s[i:], s[:i] + s[i + 1 :], s[:i] + c + s[i + 1 :]])
-    return s
-
-
-def test_banded_automaton_equals_edit_distance(spark):
-    rng = random.Random(7)
-    pairs = [("", ""), ("", "ab"), ("abc", ""), ("", "abc"), ("ab", "ba"), ("aaa", "aaaa")]
-    for _ in range(150):
-        a = "".join(rng.choice("abé") for _ in range(rng.randrange(12)))
-        pairs.append((a, mutate(rng, a, rng.randrange(5)) if a else "b"))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within_edits(F.col("a"), F.col("b")).alias("ok")).collect()
-    assert {(r["a"], r["b"]): r["ok"] for r in got} == {(a, b): distance(a, b) <= 2 for a, b in pairs}
-
-
-def brute_lines(docs, least=linededup.MIN_CHARS):
-    spots = collections.defaultdict(list)
-    for i, text in docs:
-        for n, raw in enumerate((text or "").split("\n")) if text is not None else ():
-            line = re.sub(r"[ \t\n\x0b\f\r]+", " ", raw).strip(" ")
-            if line:
-                spots[line].append((i is None, i if i is not None else 0, n))
-    root = {x: x for x in spots}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    long = sorted((x for x in spots if len(x) >= least), key=len)
-    for a, b in itertools.combinations(long, 2):
-        if len(b) - len(a) <= 2 and distance(a, b) <= 2:
-            root[find(a)] = find(b)
-    classes = collections.defaultdict(list)
-    for x, s in spots.items():
-        classes[find(x)] += s
-    return {s for c in classes.values() for s in c if s != min(c)}
-
-
-def test_line_join_equals_brute_force(spark):
-    rng = random.Random(11)
-    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(38, 60))) for _ in range(12)]
-    docs = []
-    for i in range(60):
-        docs.append((i, "\n".join(mutate(rng, rng.choice(base), rng.randrange(4)) if rng.random() < 0.7 else rng.choice(["x", " ", "", "\t y  z"]) for _ in range(rng.randrange(5)))))
-    docs += [(70, None), (71, ""), (None, base[0]), (None, base[0] + "\n" + base[1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r["doc_id"] is None, r["doc_id"] or 0, r["line_no"]) for r in linededup.removed_lines(df).collect()}
-    assert got == brute_lines(docs)
-    kept = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).filter("doc_id IS NOT NULL").collect()}
-    for i, text in docs:
-        if i is not None and text is not None:
-            assert kept[i] == "\n".join(x for n, x in enumerate(text.split("\n")) if (False, i, n) not in got)
-    assert kept[70] is None
-
-
 # -- 8 pseudo-likelihood ----------------------------------------------------------------------
 def test_order_matters_and_pieces_add_up(spark, monkeypatch):
     small_batches(spark)

@@ -3,7 +3,9 @@
 import corpus_pipeline
 from oracle import SMALL
 from pyspark.sql import functions as F
-from test_operators_llm import DOCS, brute_components, brute_leaks, brute_lines, brute_print
+from test_linededup import brute_texts
+from test_operators_llm import DOCS, brute_leaks
+from test_similar import brute_kept
 
 from fieldnotes.llm import mixing
 
@@ -24,10 +26,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     docs = {i: t for i, t in docs.items() if t and any(c.isalpha() for c in t)}
-    gone = brute_lines(list(docs.items()))
-    docs = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (False, i, n) not in gone) for i, t in docs.items()}
-    parts = brute_components({i: brute_print(t) for i, t in docs.items()})
-    docs = {i: t for i, t in docs.items() if parts[i] == i}
+    docs = dict(brute_texts(list(docs.items())))
+    kept = brute_kept(docs)
+    docs = {i: t for i, t in docs.items() if i in kept}
     docs = {i: t for i, t in docs.items() if not brute_leaks(t, items)[1]}
     frame, kept = spark.read.parquet(f"{d}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES:
