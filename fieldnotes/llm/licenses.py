@@ -6,12 +6,15 @@ looked up among the digests of known licence texts by a hash join.  Entire texts
 first the whole document, then each of its lines, by which a one-line notice is found.
 
 Plan: one scan, no shuffle: the catalogue is a few dozen rows given by the caller, and is broadcast
-only while it has at most ``BROADCAST_ROWS`` rows (it is joined by digest beyond).  Every line is
-canonicalised: no word is common to all notices, less so to those a caller adds.
+only while it has at most ``BROADCAST_ROWS`` rows.  Beyond, digests of texts and lines are joined, with
+128 bits of hash of their text, and only what is found comes back to the documents (broadcast up to
+``BROADCAST_FOUND`` texts).  Every line is canonicalised: no word is common to all notices, less so to
+those a caller adds.
 
 Defined cases: null and empty texts match nothing, and so do texts that are blank in canonical form;
-catalogue rows with one digest are reported together, the names in order; repeated rows each
-get a row.
+catalogue rows with one digest are reported together, the names in order, and rows without a name or
+text count for nothing; repeated rows each get a row; very long texts are taken whole; other columns
+stay, and one that is named as the result is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldnotes.llm import scratch
 from fieldnotes.llm.common import free_name, others, read
 
 BROADCAST_ROWS = 256
+BROADCAST_FOUND = 1_000_000
 
 # Equivalent spellings (pattern, replacement), applied in order to lower-case text.
 SPELLINGS = (
@@ -37,10 +42,8 @@ SPELLINGS = (
     (" & ", " and "),
 )
 
-#: A line that states a copyright: it begins with the word or the sign, and gives a year or a name.
-COPYRIGHT_LINE = r"(?m)^[\x20\t*#/;-]*(copyright|\(c\)|©)[^\n]*$"
-#: Words that most notices hold; only the SQL looks for them, so it misses the CC0 notice as a line.
-TELLING = r"(?i)licen[cs]|public domain|permission|redistribution"
+#: A line that states a copyright: it begins with the word or (c), and gives a sign or a year; or with ©.
+COPYRIGHT_LINE = r"^[\x20\t*#/;-]*(?:(?:copyright|\(c\))[^\n]*(?:\(c\)|©|(?:19|20)[0-9]{2}|\[yyyy\]|<year>)|©)[^\n]*$"
 
 # One-line notices and the short licences' texts, by SPDX identifier.
 NOTICES = (
@@ -70,12 +73,53 @@ NOTICES = (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>",
+    ),
+)
+
+# Digests of the canonical forms of long licence texts, as published.
+DIGESTS = (
+    ("Apache-2.0", "548a8fa0e316cd796a8faf1ecd18b0d1ea567c5214382b6df18975fda2c6f63a"),
+    ("Artistic-1.0-Perl", "47e2286636685f258479ee6196f01ab6a101a914408897b414e52256473076a3"),
+    ("CC0-1.0", "efa01e1f98bc5d90ca373f597e31e8f26b9c2e392a701828ae8cab513d864640"),
+    ("GFDL-1.2-only", "e87e82de2f4e73da9be8f7d9ae0e10e5bc935304244a1059554a27fd785d330d"),
+    ("GFDL-1.3-only", "a7d961295febafeee7dfc0a7e5ec419e496df3b4dffd7d36d090079d93a8fcab"),
+    ("GPL-1.0-only", "e312fb60097a06938bd8731a5b1d9fa9c839885eb08b64989d38306b73c84ef6"),
+    ("GPL-2.0-only", "1f75d008004c6c941c02e481ba115c0d42dfe7595608f51b8a3a5cbd2be4a9cc"),
+    ("GPL-3.0-only", "d8b875f85487f7e0593f037af261b9a47b907c59d8eb18e7b3575d4187bd3eba"),
+    ("LGPL-2.0-only", "1ca6f684a8f18544f0600753b95ea57873514dd300f9cf4a341d7e893bf22692"),
+    ("LGPL-2.1-only", "e9e9c21d8c6f55711331a74397775740756167e8742dea00f8b190dbcda43784"),
+    ("LGPL-3.0-only", "5c596d73ce671bf605bbdee26813192c5526af7efd4a060975bec2c6970dcf0f"),
+    ("MPL-1.1", "ad438d6d86dece2b1c6e99ad434d42e8b8d9610476d06e52f54397b6e59609da"),
+    ("MPL-2.0", "f8bef112ebd628adf6a8059b43ec2ecaeb1ec18b9d0bcc9bf5fbd845fb95379a"),
 )
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
     return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -92,28 +136,33 @@ def line_digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def catalogue(spark: SparkSession, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
-    """(license, text) of the notices known here; a caller may add rows of its own."""
-    return spark.createDataFrame(list(notices), "license string, text string")
+def catalogue(spark: SparkSession, notices: tuple[tuple[str, str], ...] = NOTICES, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """(license, text, digest) of what is known here: texts, or the digests of their canonical forms; a
+    caller may add rows of its own."""
+    rows = [(name, text, None) for name, text in notices] + [(name, None, known) for name, known in digests]
+    return spark.createDataFrame(rows, "license string, text string, digest string")
 
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``licenses``: digest (of the whole text),
-    whole (names, comma-joined, of the licences that the text is; null if none), lines (names of
+def scan(docs: DataFrame, known: DataFrame, into: str = "licenses") -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``licenses`` (or ``into``): digest (of the whole
+    text), whole (names, comma-joined, of the licences that the text is; null if none), lines (names of
     the notices that its lines are, in order and each once) and n_lines (how many lines are one).
+
+    ``known`` has a license and a text, or a digest of a canonical form.
     """
-    names = known.select("license", digest(F.col("text")).alias("known")).filter("known IS NOT NULL AND license IS NOT NULL")
+    given = F.col("digest") if "digest" in known.columns else F.lit(None).cast("string")
+    names = known.select("license", F.coalesce(given, digest(F.col("text"))).alias("known")).filter("known IS NOT NULL AND license IS NOT NULL")
     names = names.groupBy("known").agg(F.array_sort(F.collect_set("license")).alias("names"))
     table = names.agg(F.count("*").alias("n")).first()["n"]
     if table > BROADCAST_ROWS:
-        return _scan_joined(docs, names)
+        return _scan_joined(docs, names, into)
     digests, each, key, whole, table = (free_name(docs, n) for n in ("license_digest", "license_lines", "license_key", "license_whole", "license_table"))
     entire = F.broadcast(names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole)))
     by_digest = names.agg(F.map_from_entries(F.collect_list(F.struct("known", "names")))).scalar()
     marked = docs.withColumn(digests, digest(F.col("text"))).withColumn(each, F.coalesce(F.transform(F.split("text", "\n"), line_digest), F.array().cast("array<string>")))
     joined = marked.join(entire, F.col(digests) == F.col(key), "left").withColumn(table, by_digest)
     found = F.filter(F.transform(each, lambda d: F.try_element_at(F.col(table), d)), lambda x: x.isNotNull())
-    return joined.select(*others(docs, "licenses"), _result(F.col(digests), F.col(whole), found).alias("licenses"))
+    return joined.select(*others(docs, into), _result(F.col(digests), F.col(whole), found).alias(into))
 
 
 def _result(whole_digest: Column, whole: Column, found: Column) -> Column:
@@ -121,17 +170,22 @@ def _result(whole_digest: Column, whole: Column, found: Column) -> Column:
     return F.struct(whole_digest.alias("digest"), whole.alias("whole"), names.alias("lines"), F.size(found).cast("long").alias("n_lines"))
 
 
-def _scan_joined(docs: DataFrame, names: DataFrame) -> DataFrame:
+def _scan_joined(docs: DataFrame, names: DataFrame, into: str) -> DataFrame:
     """The same for a catalogue too large to broadcast: digests are joined, not texts."""
-    digests, row, key, hit, whole, found = (free_name(docs, n) for n in ("license_digest", "license_row", "license_key", "license_hit", "license_whole", "license_found"))
-    rows = docs.withColumn(digests, digest(F.col("text"))).withColumn(row, F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = rows.select(F.col(row).alias("row"), "text").groupBy("row").agg(F.min("text").alias("text"))
-    lines = texts.select("row", F.explode(F.transform(F.split("text", "\n"), line_digest)).alias("known"))
-    hits = lines.join(names, "known").groupBy("row").agg(F.collect_list("names").alias("names")).select(F.col("row").alias(hit), F.col("names").alias(found))
-    entire = names.select(F.col("known").alias(key), F.array_join("names", ",").alias(whole))
-    joined = rows.join(entire, F.col(digests) == F.col(key), "left").join(hits, F.col(row) == F.col(hit), "left")
+    own = [F.xxhash64("text").alias("r1"), F.xxhash64(F.lit("#"), F.col("text")).alias("r2")]
+    # a number for each line, and -1 for the whole text
+    each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), line_digest(x).alias("known")))
+    entire = F.array(F.struct(F.lit(-1).alias("at"), digest(F.col("text")).alias("known")))
+    parts = docs.select(*own, F.explode(F.concat(entire, each)).alias("p")).select("r1", "r2", "p.at", "p.known").filter("known IS NOT NULL")
+    hits = parts.join(names, "known").select("r1", "r2", "at", "names").distinct()
+    hits = hits.groupBy("r1", "r2").agg(F.max(F.when(F.col("at") < 0, F.array_join("names", ","))).alias("whole"), F.collect_list(F.when(F.col("at") >= 0, F.col("names"))).alias("found"))
+    row, one, two, whole, found = (free_name(docs, n) for n in ("license_row", "license_r1", "license_r2", "license_whole", "license_found"))
+    hits = scratch.cut(hits, "found").toDF(one, two, whole, found)
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_FOUND else hits
+    marked = docs.withColumn(row, F.struct(*own))
+    joined = marked.join(hits, (F.col(row)["r1"] == F.col(one)) & (F.col(row)["r2"] == F.col(two)), "left")
     none = F.array().cast("array<array<string>>")
-    return joined.select(*others(docs, "licenses"), _result(F.col(digests), F.col(whole), F.coalesce(found, none)).alias("licenses"))
+    return joined.select(*others(docs, into), _result(digest(F.col("text")), F.col(whole), F.coalesce(found, none)).alias(into))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,25 +200,25 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', ' ', 'g')"
     for spelling, one in SPELLINGS:
         out = f"replace({out}, '{spelling}', '{one}')"
     return rf"trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 
 
 def op6_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in NOTICES)
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)}, NULL)" for name, text in NOTICES)
+    rows = ", ".join([rows, *(f"({quoted(name)}, NULL, {quoted(known)})" for name, known in DIGESTS)])
     return f"""
 WITH known AS (
   SELECT dig, list_sort(list(DISTINCT license)) AS names
-  FROM (SELECT license, sha256({_canonical_sql("text")}) AS dig FROM (VALUES {rows}) AS t(license, text)) GROUP BY dig),
+  FROM (SELECT license, COALESCE(given, sha256({_canonical_sql("text")})) AS dig FROM (VALUES {rows}) AS t(license, text, given)) GROUP BY dig),
 d AS (SELECT doc_id, CASE WHEN {_canonical_sql("text")} <> '' THEN sha256({_canonical_sql("text")}) END AS dig FROM documents),
-held AS (
-  SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE regexp_matches(text, '{TELLING}'))
-  WHERE regexp_matches(l, '{TELLING}')),
+held AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
 hits AS (
   SELECT doc_id, list_sort(list_distinct(flatten(list(names)))) AS names, count(*) AS n
-  FROM held h JOIN known k ON sha256({_canonical_sql("l")}) = k.dig AND {_canonical_sql("l")} <> '' GROUP BY doc_id)
+  FROM held h JOIN known k ON sha256({_canonical_sql("l")}) = k.dig GROUP BY doc_id)
 SELECT d.doc_id, d.dig AS text_digest, array_to_string(k.names, ',') AS whole_license,
   COALESCE(array_to_string(h.names, ','), '') AS line_licenses, CAST(COALESCE(h.n, 0) AS BIGINT) AS n_lines
 FROM d LEFT JOIN known k ON d.dig = k.dig LEFT JOIN hits h ON d.doc_id = h.doc_id"""

@@ -23,9 +23,9 @@ once, and so on (``levels``); a key that is still hot at the last level, by whic
 their characters in two or more places, has its pairs dealt over all tasks by both ends.
 
 Plan: keys are made from one scan in whole-stage code and met by an aggregate with partial results
-(least and greatest line of a key), so a hot key is a row a task; no text is shuffled.  The keys that
-meet are joined to the keys of a second scan (broadcast up to ``BROADCAST_ROWS``, by Spark's own choice
-beyond).  Only lines that meet another fetch their texts and letter counts, by a third scan.
+(least and greatest line of a key), so a hot key is a row a task; no text is shuffled.  The keys that meet are
+joined to the keys of a second scan: broadcast up to ``BROADCAST_ROWS``, with the lines' texts; beyond, by
+Spark's own choice, and a third scan gives the texts of the lines that met.
 Links are between numbers given to those lines; a line is known by 128 bits of hash.
 
 Defined cases: null texts have no lines; blank lines are never removed; rows with one doc_id and one
@@ -115,9 +115,9 @@ def _bounds(length: Column, i: int, parts: int = EDITS + 1) -> tuple[Column, Col
     return (short * i + before).cast("int"), (short + (F.lit(i) >= F.lit(parts) - longer).cast("int")).cast("int")
 
 
-def _part(wide: Column, start: Column, size: Column) -> Column:
-    """Characters of a text in UTF-32, four bytes each, so that a position needs no scan."""
-    return F.substring(wide, start * 4 + 1, size * 4)
+def _part(line: dict[str, Column], start: Column, size: Column) -> Column:
+    """Bytes of some characters of a line; where it is ASCII, a position needs no scan."""
+    return F.when(line["plain"], F.substring(line["bytes"], start + 1, size)).otherwise(F.substring(line["line"], start + 1, size).cast("binary"))
 
 
 def _plan(together: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
@@ -148,17 +148,22 @@ def indexed_keys(together: int) -> int:
     return sum(d == 0 and not any(shifts) for d, _, shifts in _plan(together))
 
 
-def line_keys(wide: Column, length: Column, together: int = 1) -> list[Column]:
-    """A key for each entry of the plan."""
+def line_keys(line: dict[str, Column], together: int = 1) -> list[Column]:
+    """A key for each entry of the plan, of a line as ``parts_of`` gives it."""
     keys, parts = [], EDITS + together
     for d, of, shifts in _plan(together):
-        other = length - d
+        other = line["n"] - d
         spots = [(start + shift, size) for (start, size), shift in zip((_bounds(other, i, parts) for i in of), shifts, strict=True)]
-        inside = [F.when(start >= 0, _part(wide, start, size)) for start, size in spots] if together > 1 else [_part(wide, *spots[0])]
+        inside = [F.when(start >= 0, _part(line, start, size)) for start, size in spots] if together > 1 else [_part(line, *spots[0])]
         keys.append(F.xxhash64(other.cast("int"), F.lit("".join(map(str, (together, *of)))), *inside))
     return keys
 
 
+def parts_of(line: Column) -> dict[str, Column]:
+    """What keys are made from."""
+    return {"line": line, "bytes": line.cast("binary"), "n": F.length(line), "plain": F.length(line) == F.octet_length(line)}
+
+
 def _common(pair: Column) -> Column:
     """A struct that has texts a and b with ``lo``, the length of their common prefix, found by halving.
     All that steps read is in the state: an expression from outside would be computed anew for every
@@ -236,19 +241,21 @@ def line_id(row: Column) -> Column:
     return row.bitwiseAND(-2)
 
 
-def key_rows(coded: DataFrame, together: int) -> DataFrame:
-    """(wide, id) of lines -> (key, row) for all their keys; the lowest bit of id isn't used."""
-    sized = coded.select("wide", (F.octet_length("wide") / 4).cast("int").alias("n"), "id")
+def key_rows(lines: DataFrame, together: int, *carried: str) -> DataFrame:
+    """(line, id) of lines -> (key, row) for all their keys, and columns carried along; the lowest bit of
+    id isn't used."""
+    parts = parts_of(F.col("line"))
+    sized = lines.select("id", *carried, *[c.alias(name) for name, c in parts.items() if name not in carried])
     # keys as columns: a projection shares the expressions they have in common, a generator doesn't
-    keys = line_keys(F.col("wide"), F.col("n"), together)
+    keys = line_keys({name: F.col(name) for name in parts}, together)
     names = [f"key{i}" for i in range(len(keys))]
-    keyed = sized.select(line_id(F.col("id")).alias("id"), *[k.alias(name) for k, name in zip(keys, names, strict=True)])
+    keyed = sized.select(line_id(F.col("id")).alias("id"), *carried, *[k.alias(name) for k, name in zip(keys, names, strict=True)])
     both = F.col("id").bitwiseOR((F.col("at") < indexed_keys(together)).cast("long"))
-    return keyed.select("id", F.posexplode(F.array(*names)).alias("at", "key")).select("key", both.alias("row"))
+    return keyed.select("id", *carried, F.posexplode(F.array(*names)).alias("at", "key")).select("key", both.alias("row"), *carried)
 
 
-def met_rows(rows: DataFrame) -> DataFrame:
-    """The distinct rows of keys by which an indexed line meets another line.
+def met_keys(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The keys by which an indexed line meets another line, and whether they may be broadcast.
 
     A key's least and greatest line tell whether it has two, so that a hot key costs a row a task; the
     rows, nearly all of which stand alone, are made again rather than shuffled with their key.
@@ -256,8 +263,15 @@ def met_rows(rows: DataFrame) -> DataFrame:
     ends = rows.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most"), F.bit_or("row").alias("any"))
     ends = ends.filter((line_id(F.col("least")) != line_id(F.col("most"))) & (F.col("any").bitwiseAND(1) == 1))
     keys = scratch.cut(ends.select("key"), "keys")
-    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    return scratch.cut(rows.join(wanted, "key", "left_semi").distinct(), "met")
+    return keys, keys.count() <= BROADCAST_ROWS
+
+
+def met_rows(lines: DataFrame, together: int, *carried: str) -> tuple[DataFrame, bool]:
+    """The distinct (key, row) of keys that meet, and whether the columns to carry came along: only if
+    keys are broadcast, since they would be shuffled with every key else."""
+    keys, small = met_keys(key_rows(lines, together))
+    rows = key_rows(lines, together, *carried).join(F.broadcast(keys), "key", "left_semi") if small else key_rows(lines, together).join(keys, "key", "left_semi")
+    return scratch.cut(rows.distinct(), "met"), small
 
 
 def meetings(met: DataFrame, texts: DataFrame, by: str, bucket: int) -> tuple[DataFrame, DataFrame | None]:
@@ -346,11 +360,14 @@ def dealt_pairs(many: DataFrame, texts: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame, bucket: int = BUCKET, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) whose components are those of all links, and (node, h1, h2, line) of the lines that
     meet another."""
-    long = lines.filter(F.length("line") >= CHARS)
-    met = met_rows(key_rows(long.select(F.encode("line", "UTF-32").alias("wide"), F.col("h1").alias("id")), 1))
-    ids = scratch.cut(met.select(line_id(F.col("row")).alias("id")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = long.select(line_id(F.col("h1")).alias("id"), "h1", "h2", "line").join(wanted, "id", "left_semi").distinct()
+    long = lines.filter(F.length("line") >= CHARS).select(line_id(F.col("h1")).alias("id"), "h1", "h2", "line")
+    met, small = met_rows(long, 1, "h1", "h2", "line")
+    if small:
+        texts = met.select(line_id(F.col("h1")).alias("id"), "h1", "h2", "line").distinct()
+        met = met.select("key", "row")
+    else:
+        ids = met.select(line_id(F.col("row")).alias("id")).distinct()
+        texts = long.join(ids, "id", "left_semi").distinct()
     # an id may be of several lines; a number is of one
     texts = scratch.cut(texts.select("*", letter_counts(F.col("line")).alias("counts"), (F.monotonically_increasing_id() * 2).alias("node")), "texts")
     by, edges = "id", None
@@ -369,7 +386,7 @@ def near_lines(lines: DataFrame, bucket: int = BUCKET, levels: int = LEVELS) ->
             edges = edges.unionAll(verified(scratch.cut(dealt_pairs(left, texts), "candidates"), texts))
             break
         again = texts.join(left.select("node").distinct(), "node", "left_semi")
-        met, by = met_rows(key_rows(again.select(F.encode("line", "UTF-32").alias("wide"), F.col("node").alias("id")), level + 1)), "node"
+        met, by = met_rows(again.select("line", F.col("node").alias("id")), level + 1)[0], "node"
     return edges.distinct(), texts
 
 
@@ -427,8 +444,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (that count), n_removed, removed_sha256 (numbers of the removed lines)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     gone = _gone(docs)
-    count = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
-    sized = docs.select("doc_id", F.struct(*document(F.col("text"))).alias("row"), F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
+    # lines that aren't blank, by what they begin with
+    count = F.regexp_count("text", F.lit(r"(?md)^[\x20\t\x0B\f\r]*+[^\n\x20\t\x0B\f\r]"))
+    sized = docs.select("doc_id", F.struct(*document(F.col("text"))).alias("row"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
     same = sized["doc_id"].eqNullSafe(gone["gone_id"]) & (sized["row"]["t1"] == gone["gone_t1"]) & (sized["row"]["t2"] == gone["gone_t2"])
     joined = sized.join(gone, same, "left")
     digest = F.sha2(F.coalesce(F.array_join("gone", ","), F.lit("")), 256)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldnotes.llm import graphs, scratch, similar
-from fieldnotes.llm.common import read, small_batches
+from fieldnotes.llm.common import free_name, read, small_batches
 
 BITS = 2
 WORDS = 3
@@ -129,15 +129,17 @@ def keep_one(docs: DataFrame, words: int = similar.WORDS, similarity: tuple[int,
     """The rows of ``docs`` with the least doc_id of their class of near-duplicates (see ``similar``):
     ``WORDS`` and ``BITS`` bind fingerprints alone, which miss most pairs of that similarity.
 
-    Rows with a null id are a class's least only if it has no other; repeated rows of the least id
-    all stay, as one document.
+    Rows without an id come last in their class, and ties of an id go to the lesser hash of the text;
+    repeated rows (of one id and text) are one document, and stay or go together.
     """
     small_batches(docs.sparkSession)
-    texts = scratch.cut(docs.select("doc_id", "text"), "texts")
+    texts = docs.select("doc_id", "text")
     made = similar.prints(texts, words, similarity)
-    marked = made.select("doc_id", "node").join(similar.classes(texts, made, words, similarity), "node")
-    drop = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("drop_id")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["drop_id"]), "left_anti")
+    drop = similar.classes(texts, made, words, similarity).filter("NOT first").select(F.col("doc_id").alias("drop_id"), F.col("spot").alias("drop_spot")).distinct()
+    drop = similar.bounded(scratch.cut(drop, "drop"))
+    gone_id, gone_spot = free_name(docs, "drop_id"), free_name(docs, "drop_spot")
+    drop = drop.toDF(gone_id, gone_spot)
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop[gone_id]) & (similar.spot_of(docs) == drop[gone_spot]), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,13 +97,15 @@ def test_keys_meet_for_all_lines_within_two_edits(spark, together):
         a = "".join(rng.choice("abé ") for _ in range(rng.randrange(10, 30)))
         b = mutate(rng, a, rng.randrange(3))
         pairs.append((a, b) if len(a) <= len(b) else (b, a))
-    keys = lambda c: F.array(*linededup.line_keys(F.encode(c, "UTF-32"), F.length(c), together))
+    keys = lambda c: F.array(*linededup.line_keys(linededup.parts_of(F.col(c)), together))
     n = linededup.indexed_keys(together)
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.arrays_overlap(F.slice(keys("a"), 1, n), keys("b")).alias("met")).collect()
     assert [(r["a"], r["b"]) for r in rows if not r["met"]] == []
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [linededup.BROADCAST_ROWS, 0])
+def test_lines_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", broadcast)
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([8, 9, 10, 12, 19, 20, 24, 45, 60]))) for _ in range(18)]
     docs = []

@@ -1,5 +1,6 @@
 """Near-duplicates by shingle similarity against brute force."""
 
+import collections
 import itertools
 import random
 
@@ -24,11 +25,11 @@ def brute_kept(texts):
     return sorted(i for i, p in part.items() if p == i)
 
 
-@pytest.mark.parametrize(("common", "bucket"), [(similar.COMMON, similar.BUCKET), (10**9, 2)])
-def test_near_copies_equal_brute_force(spark, monkeypatch, common, bucket):
+@pytest.mark.parametrize(("common", "broadcast"), [(similar.COMMON, similar.BROADCAST_ROWS), (10**9, 0)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, common, broadcast):
     """Near copies of some texts, each with a few words changed, and a passage that most texts hold."""
     monkeypatch.setattr(similar, "COMMON", common)
-    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     passage = [f"p{k}" for k in range(30)]
     bases = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 160))] for _ in range(12)]
@@ -38,9 +39,11 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, common, bucket):
         for _ in range(rng.choice((0, 1, 1, 2, 4))):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         texts[i] = " ".join(words + (passage if rng.random() < 0.6 else []))
-    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCS)
-    got = sorted(r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect())
+    rows = [(i, t, "en", "a", 0) for i, t in texts.items()]
+    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).select("doc_id").collect())
     assert got == brute_kept(texts) and len(got) < 150
+    again = collections.Counter(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows + rows[:120], DOCS)).select("doc_id").collect())
+    assert again == {i: 2 if i < 120 else 1 for i in got}  # repeated rows stay with their first
 
 
 def test_near_copies_among_documents(spark):
@@ -48,3 +51,11 @@ def test_near_copies_among_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect())
     assert got == brute_kept(texts)
+
+
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    long = [" ".join(f"w{k}{i}" for i in range(40)) for k in range(3)]
+    rows = [(1, long[0]), (9, long[0]), (9, long[1]), (None, long[1]), (None, long[2]), (None, long[2] + " more"), (9, long[0])]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)).select("doc_id", "text").collect()
+    got = sorted((str(r["doc_id"]), r["text"]) for r in kept)
+    assert got[:2] == [("1", long[0]), ("9", long[1])] and len(got) == 3 and got[2][0] == "None" and got[2][1].startswith(long[2])
