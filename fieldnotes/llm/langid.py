@@ -7,17 +7,20 @@ longer one (exclusion).  Statistics are frozen after training, so the code lengt
 (context, symbol) is a table entry, and the length of a text the sum of its entries: exact, and
 additive over pieces of a long text.  The language that codes a text shortest is predicted.
 
-Training takes about ``SAMPLE`` documents a language (drawn by a hash of the id, at a rate from
-the counts of all documents; a strict bound, ``2 * SAMPLE``, follows).  Byte 4-grams are counted
-by the executors; shorter contexts are their margins.  The trees of all languages lie in one
-table of at most ``TABLE_BYTES``: the most frequent contexts stay, the others escape.
+Training takes ``SAMPLE`` documents a language at most: the first by a hash of the id.  Byte 4-grams are
+counted by the executors; shorter contexts are their margins.  The trees of all languages lie in one
+table with a row for each context, up to ``TABLE_BYTES`` for the most frequent contexts of three bytes.
+The others are kept by what was seen in them: a symbol that was not costs as much as in the shorter
+context, and a constant of the longer (its escape less what exclusion frees).  So both forms give the same
+lengths, and the model grows with the sample's languages alone.
 
 Symbols are the bytes of the lower-cased text, digits and ASCII punctuation taken as blanks; bytes
 never seen in training are one symbol.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ties between languages
-go to the lesser name; rows whose lang is null aren't learned from; without any row to learn
-from, every text is `und`.
+go to the lesser name; rows whose lang is null aren't learned from; repeated rows count as often as they
+are in the sample; without any row to learn from, every text is `und`; very long texts are coded whole, in
+pieces; other columns stay, and where ``into`` names one, it is replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -63,9 +66,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Trees:
-    """Frozen trees of several languages: a row of code lengths for each context kept."""
+    """Frozen trees of several languages: a row of code lengths for each context, or what was seen in it."""
 
-    def __init__(self, counts: pd.DataFrame, table_bytes: int = TABLE_BYTES):
+    def __init__(self, counts: pd.DataFrame, table_bytes: int | None = None):
+        table_bytes = TABLE_BYTES if table_bytes is None else table_bytes
         self.langs = sorted(counts["lang"].unique())
         gram = counts["gram"].to_numpy(np.int64)
         seen = np.unique(np.concatenate([gram >> s & 255 for s in (0, 8, 16, 24)] + [np.array([32])]))
@@ -73,45 +77,77 @@ class Trees:
         symbol = np.full(256, m - 1, np.int64)
         symbol[seen] = np.arange(len(seen))
         self.symbol = symbol
-        digits = [symbol[gram >> s & 255] for s in (24, 16, 8, 0)]
-        lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
-        n, ls = counts["n"].to_numpy(np.float64), len(self.langs)
-        # contexts by order, the most frequent first: (code of the context, of its suffix)
-        room = max(2, table_bytes // (4 * m * ls))
-        rows = [np.full((1, m, ls), 1.0 / m)]
-        index = np.zeros(1, np.int32)
-        base = 0
-        for order in range(ORDER + 1):
-            ctx = np.zeros(len(gram), np.int64)
-            for d in digits[ORDER - order : ORDER]:
-                ctx = ctx * m + d
-            ids, inverse = np.unique(ctx, return_inverse=True)
-            weight = np.bincount(inverse, n)
-            left = room - sum(len(r) for r in rows)
-            keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, left)]) if order else np.arange(1)
-            place = np.full(len(ids), -1)
-            place[keep] = np.arange(len(keep))
-            use = place[inverse] >= 0
-            count = np.zeros((len(keep), m, ls), np.float32)
-            np.add.at(count, (place[inverse[use]], digits[ORDER][use], lang[use]), n[use])
-            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            shorter = index[ids[keep] % m ** max(order - 1, 0)] if order else np.zeros(1, np.int64)
-            low = np.concatenate(rows)[shorter] if order else rows[0]
-            unseen = np.where(count == 0, low, 0.0)
-            spare = unseen.sum(axis=1, keepdims=True)
-            escape = np.where(spare > 0, kinds / np.maximum(total + kinds, 1), 0.0)
-            p = np.where(total > 0, count / np.maximum(total + np.where(spare > 0, kinds, 0), 1) + escape * unseen / np.maximum(spare, 1e-300), low)
-            wide = np.tile(index, m) if order else index  # contexts without a row of their own fall back
-            if order:
-                wide[ids[keep]] = base + np.arange(len(keep), dtype=np.int32)
-            else:
-                wide = np.array([base + 1], np.int32)
-                base += 1
-            rows.append(p)
-            base += len(keep)
-            index = wide
-        self.index = index
-        self.cost = (-np.log2(np.concatenate(rows))).astype(np.float32).reshape(-1, ls)
+        self.digits = [symbol[gram >> s & 255] for s in (24, 16, 8, 0)]
+        self.lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
+        self.n, ls = counts["n"].to_numpy(np.float64), len(self.langs)
+        # probabilities of a context's symbols, from the order below up; index: the row of a context
+        low, index = np.full((1, m, ls), 1.0 / m), np.zeros(1, np.int32)
+        for order in range(ORDER):
+            ids, ctx = self._contexts(order)
+            rows = self._rows(order, ctx, ids, low, index)
+            # contexts without a row of their own fall back
+            wide = np.tile(index, m) if order else np.zeros(1, np.int32)
+            wide[ids] = len(low) + np.arange(len(ids), dtype=np.int32)
+            low, index = np.concatenate([low, rows]), wide
+        ids, ctx = self._contexts(ORDER)
+        order = np.argsort(-np.bincount(np.searchsorted(ids, ctx), self.n), kind="stable")
+        room = max(0, table_bytes // (4 * m * ls) - len(low))
+        dense, rest = np.sort(ids[order[:room]]), np.sort(ids[order[room:]])
+        wide = np.tile(index, m)
+        wide[dense] = len(low) + np.arange(len(dense), dtype=np.int32)
+        self.cost = self._bits(np.concatenate([low, self._rows(ORDER, ctx, dense, low, index)])).reshape(-1, ls)
+        self.index, self.sparse, self.rest = wide, np.zeros(m**ORDER, bool), rest
+        self.sparse[rest] = True
+        self.more, self.gram, self.gram_cost = np.zeros((len(rest), ls), np.float32), np.zeros(0, np.int64), np.zeros((0, ls), np.float32)
+        step = max(1, table_bytes // (32 * m * ls))
+        for lo in range(0, len(rest), step):
+            self._keep(rest[lo : lo + step], lo, ctx, low, index)
+        del self.digits, self.lang, self.n
+
+    @staticmethod
+    def _bits(p: np.ndarray) -> np.ndarray:
+        return (-np.log2(p)).astype(np.float32)
+
+    def _contexts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all contexts of an order, sorted, and of each gram's."""
+        ctx = np.zeros(len(self.n), np.int64)
+        for d in self.digits[ORDER - order : ORDER]:
+            ctx = ctx * self.m + d
+        return np.unique(ctx), ctx
+
+    def _counted(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How often each symbol follows some contexts, by language."""
+        place = np.minimum(np.searchsorted(ids, ctx), max(0, len(ids) - 1))
+        use = ids[place] == ctx if len(ids) else np.zeros(len(ctx), bool)
+        count = np.zeros((len(ids), self.m, len(self.langs)), np.float32)
+        np.add.at(count, (place[use], self.digits[ORDER][use], self.lang[use]), self.n[use])
+        return count
+
+    def _rows(self, order: int, ctx: np.ndarray, ids: np.ndarray, low: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Probabilities of all symbols in some contexts."""
+        count = self._counted(ctx, ids)
+        shorter = low[index[ids % self.m ** max(order - 1, 0)]] if order else np.repeat(low[:1], len(ids), axis=0)
+        total, kinds, spare = self._sums(count, shorter)
+        unseen = np.where(count == 0, shorter, 0.0)
+        escape = np.where(spare > 0, kinds / np.maximum(total + kinds, 1), 0.0)
+        seen = count / np.maximum(total + np.where(spare > 0, kinds, 0), 1)
+        return np.where(total > 0, seen + escape * unseen / np.maximum(spare, 1e-300), shorter)
+
+    @staticmethod
+    def _sums(count: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By context and language: occurrences, kinds of symbols, what the others have in the shorter one."""
+        spare = np.where(count == 0, shorter, 0.0).sum(axis=1, keepdims=True)
+        return count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True), spare
+
+    def _keep(self, ids: np.ndarray, lo: int, ctx: np.ndarray, low: np.ndarray, index: np.ndarray) -> None:
+        """Contexts of the highest order by their symbols seen, and the constant of the others."""
+        count = self._counted(ctx, ids)
+        total, kinds, spare = self._sums(count, low[index[ids % self.m ** (ORDER - 1)]])
+        escape = np.where((total > 0) & (spare > 0), kinds / np.maximum(total + kinds, 1) / np.maximum(spare, 1e-300), 1.0)
+        self.more[lo : lo + len(ids)] = self._bits(escape)[:, 0, :]
+        at, s = np.nonzero(count.any(axis=2))
+        self.gram = np.concatenate([self.gram, ids[at] * self.m + s])
+        self.gram_cost = np.concatenate([self.gram_cost, self._bits(self._rows(ORDER, ctx, ids, low, index)[at, s])])
 
     def lengths(self, pieces: list[bytes]) -> np.ndarray:
         """Code length in bits, a row for each text and a column for each language."""
@@ -137,8 +173,16 @@ class Trees:
         start = _START[given:]
         x = self.symbol[np.frombuffer(b"".join(start + p for p in pieces), np.uint8)]
         m = self.m
-        at = self.index[(x[:-3] * m + x[1:-2]) * m + x[2:-1]].astype(np.int64) * m + x[3:]
-        bits = self.cost[at]
+        ctx = (x[:-3] * m + x[1:-2]) * m + x[2:-1]
+        bits = self.cost[self.index[ctx].astype(np.int64) * m + x[3:]]
+        if len(self.rest):
+            at = np.flatnonzero(self.sparse[ctx])
+            key = ctx[at] * m + x[3:][at]
+            spot = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
+            seen = self.gram[spot] == key
+            other = bits[at] + self.more[np.searchsorted(self.rest, ctx[at])]
+            other[seen] = self.gram_cost[spot[seen]]
+            bits[at] = other
         ends = np.cumsum([len(start) + len(p) for p in pieces])
         sums = np.zeros((len(pieces), len(self.langs)))
         lo = 0
@@ -148,17 +192,14 @@ class Trees:
         return sums
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int = TABLE_BYTES) -> Trees | None:
+def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int | None = None) -> Trees | None:
     """Trees from the rows of ``docs`` that may be learned from; None if there are none."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not sizes:
-        return None
-    draw = uniform(F.lit("langid"), F.col("doc_id"))
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / r["n"])]), F.col("lang"))
-    drawn = rows.filter(draw < rate).withColumn("draw", draw)
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    bounded = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= 2 * sample).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    # twice as many as asked for, so that only those are sorted; a language of fewer gives all
+    drawn = rows.withColumn("draw", uniform(F.lit("langid"), F.col("doc_id"))).join(sizes, "lang").filter(F.col("draw") * F.col("size") < 2 * sample)
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    bounded = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
     grams = bounded.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = grams.toPandas()
     return Trees(counts, table_bytes) if len(counts) else None
