@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python: texts may be long, and a batch is held in memory.
 ARROW_ROWS = 1000
+#: Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,11 @@ def others(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]
 
 
+def bounded(few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table that is cheap to count, to be broadcast while it has at most ``most`` rows."""
+    return F.broadcast(few) if few.count() <= most else few
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the ids that no model may learn from; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2

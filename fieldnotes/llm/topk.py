@@ -2,8 +2,10 @@
 
 A vector's components are floor(``SCALE`` * x), integers; a score is their inner product.  The
 index of a block of vectors quantises the impact |component| into ``LEVELS`` levels.  A posting
-segment holds the postings (vector, component) of one level over all dimensions; segments are
-processed by descending impact, so an accumulator first gets what weighs most.
+segment holds the postings (dimension, vector, component) of one level, without those that are 0;
+segments are processed by descending impact, so an accumulator first gets what weighs most.  A sparse
+segment is added posting by posting; one that holds over ``DENSE`` of all places is a matrix over the
+dimensions and vectors that it has, since a product is then cheaper than a walk along lists.
 
 After each segment, what a vector's score can still change by has a proven bound: the norm of its
 own components not yet processed (known when the index is built) times the query's norm, or the
@@ -13,12 +15,16 @@ once the vectors that still can be are at most ``RESCORE`` a query (or no segmen
 are scored exactly, from all their components.  So the result doesn't depend on where it stops.
 
 Plan: rows are packed, as they are read, into blocks of at most ``BLOCK`` vectors, queries into
-blocks of ``QUERY_BLOCK``; no shuffle of vectors.  Blocks go to tables in the shared folder; every
-block of queries meets every block of vectors, each pair is one row for an Arrow batch, and yields
-at most k rows a query.  The k best of those are kept by a window with a limit before its shuffle.
+blocks of ``QUERY_BLOCK``; no shuffle of vectors one by one.  Blocks go to tables in the shared folder.
+Blocks of vectors are dealt to groups of ``GROUP`` at most, and every block of queries is given to every
+group by number, so that the join has as many even keys as there are groups, whether Spark broadcasts
+the queries or not; each pair of blocks is one row for an Arrow batch, and yields at most k rows a query.
+The k best of those are kept by a window with a limit before its shuffle.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with null
-ids, take no part; vectors of another length than the query's aren't candidates for it; identical rows count once; a query's own id is no candidate; ties go to the smaller id.
+ids, take no part; vectors of another length than the query's aren't candidates for it; identical rows
+count once; a query's own id is no candidate; ties go to the smaller id; an empty table has no result;
+columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ LEVELS = 8
 BLOCK = 4096
 QUERY_BLOCK = 512
 RESCORE = 64
+DENSE = 0.02
+GROUP = 16
 EVERY = 50
 
 
@@ -81,12 +89,34 @@ class ImpactIndex:
         self.exact = np.float64 if top > 2048 or self.x.shape[1] * top * top >= 2**24 else np.float32
         self.segments, high = [], top + 1
         for low in edges:
-            posted = np.where((impact >= low) & (impact < high), self.x, 0)
+            posted = (impact >= max(low, 1)) & (impact < high)
             rest = np.where(impact < low, self.x, 0)
-            most = int(np.abs(rest).max(initial=0))
-            self.segments.append((posted.T.astype(self.exact), np.sqrt((rest.astype(np.float64) ** 2).sum(axis=1)), most))
+            left = np.sqrt((rest.astype(np.float64) ** 2).sum(axis=1))
+            self.segments.append((self._postings(posted), left, int(np.abs(rest).max(initial=0))))
             high = low
 
+    def _postings(self, posted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A segment: its vectors, and a matrix (dimensions used, values) or lists (where each vector's
+        postings begin, dimensions, values)."""
+        vectors, dims = np.flatnonzero(posted.any(axis=1)), np.flatnonzero(posted.any(axis=0))
+        if posted.sum() > DENSE * posted.size:
+            part = np.where(posted[np.ix_(vectors, dims)], self.x[np.ix_(vectors, dims)], 0)
+            return vectors, dims, part.T.astype(self.exact)
+        row, dim = np.nonzero(posted)
+        return vectors, np.searchsorted(row, vectors), dim, self.x[row, dim].astype(self.exact)
+
+    @staticmethod
+    def _add(scores: np.ndarray, q: np.ndarray, segment: tuple[np.ndarray, ...]) -> None:
+        vectors, *lists = segment
+        if not len(vectors):
+            return
+        if len(lists) == 2:
+            dims, values = lists
+            scores[:, vectors] += q[:, dims] @ values
+        else:
+            starts, dims, values = lists
+            scores[:, vectors] += np.add.reduceat(q[:, dims] * values, starts, axis=1)
+
     def search(self, own: np.ndarray, q: np.ndarray, k: int = K, rescore: int = RESCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best (query number, vec_id, score) of a block of queries, best first."""
         n = len(self.ids)
@@ -96,7 +126,7 @@ class ImpactIndex:
         same = own[:, None] == self.ids[None, :]
         possible = ~same
         for posted, left, most in self.segments:
-            scores += qx @ posted
+            self._add(scores, qx, posted)
             slack = np.minimum(norm[:, None] * left[None, :], (total * most)[:, None]) * (1 + 1e-9) + 1e-6
             if n > k:
                 low = np.where(possible, scores - slack, -np.inf)
@@ -131,14 +161,14 @@ def _searcher(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``."""
     x, q = quantised(vectors, scale), quantised(queries, scale)
-    spark = vectors.sparkSession
-    blocks = scratch.cut(x.mapInPandas(_packer(BLOCK), "dim int, ids binary, xs binary"), "blocks")
-    count = q.count()
-    asked = scratch.cut(q.repartition(max(1, -(-count // QUERY_BLOCK))).mapInPandas(_packer(QUERY_BLOCK), "dim int, ids binary, xs binary"), "queries")
-    # blocks against blocks: a few rows, as many as there are pairs of blocks
-    parts = max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
-    few = asked.select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("xs").alias("qs"))
-    pairs = blocks.repartition(parts).crossJoin(few).filter("dim = qdim").drop("qdim")
+    # blocks of vectors are numbered as they are written, so that groups of them are even
+    number = F.monotonically_increasing_id()
+    blocks = scratch.cut(x.mapInPandas(_packer(BLOCK), "dim int, ids binary, xs binary").withColumn("number", number), "blocks")
+    asked = scratch.cut(q.repartition(max(1, -(-q.count() // QUERY_BLOCK))).mapInPandas(_packer(QUERY_BLOCK), "dim int, ids binary, xs binary"), "queries")
+    groups = max(1, -(-blocks.count() // GROUP), min(blocks.count(), vectors.sparkSession.sparkContext.defaultParallelism))
+    dealt = blocks.withColumn("at", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")).drop("number")
+    each = asked.select("dim", F.col("ids").alias("qids"), F.col("xs").alias("qs"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("at"))
+    pairs = dealt.repartition(groups, "at", "dim").join(each, ["at", "dim"]).drop("at")
     found = pairs.mapInPandas(_searcher(k), "query_id long, vec_id long, score long").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -64,14 +64,21 @@ def brute_top(rows, every=50, k=5):
     return out
 
 
-@pytest.mark.parametrize("dim,n", [(3, 30), (16, 400)])
-def test_topk_is_exact(spark, dim, n):
+@pytest.mark.parametrize("dim,n,threshold", [(3, 30, None), (16, 400, None), (16, 400, "-1")])
+def test_topk_is_exact(spark, monkeypatch, dim, n, threshold):
+    if threshold:  # no broadcast, and many blocks
+        monkeypatch.setattr(topk, "BLOCK", 16)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     rng = random.Random(dim)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.gauss(0, 1)]) for _ in range(dim)]) for i in range(n)]
     rows += [(n + 1, None), (n + 2, [None] * dim), (n + 3, [float("nan")] * dim), (n + 4, [float("inf")] * dim), (None, [0.5] * dim), rows[7], rows[0], (n + 5, [0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rows32 = [(i, None if x is None else [None if v is None else float(np.float32(v)) for v in x]) for i, x in rows]
-    got = topk.top_k(df, df.filter("vec_id % 50 = 0")).collect()
+    try:
+        got = topk.top_k(df, df.filter("vec_id % 50 = 0")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {tuple(r) for r in got} == brute_top(rows32) and len(got) == len({tuple(r) for r in got})
 
 
@@ -80,7 +87,9 @@ def test_topk_of_nothing(spark):
     assert topk.top_k(none, none).collect() == []
 
 
-def test_impact_index_stops_early_and_right():
+@pytest.mark.parametrize("dense", [0.0, 0.02, 1.0])
+def test_impact_index_stops_early_and_right(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
     rng = np.random.default_rng(1)
     x = (rng.normal(0, 40, (500, 8)) * (rng.random((500, 1)) > 0.9) + rng.normal(0, 1, (500, 8))).astype(np.int64)
     index = topk.ImpactIndex(np.arange(500), x)
@@ -163,21 +172,25 @@ def brute_leaks(text, items):
         for i in range(len(words) - n + 1):
             if n and tuple(words[i : i + n]) in wins:
                 hit |= set(range(i, i + n))
-                found.add(str(name))
+                found |= set() if name is None else {str(name)}
     return len(words), len(hit), sorted(found)
 
 
-def test_leaks_equal_brute_force_also_in_slices(spark):
+@pytest.mark.parametrize("bits", [decontaminate.BITMAP, 8])
+def test_leaks_equal_brute_force_also_joined(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITMAP", bits)
     rng = random.Random(5)
     vocab = ["a", "b", "c", "É", "d9"]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 7, 9, 10, 12, 25])))) for i in range(25)] + [(90, None), (91, ""), (92, "...")]
-    texts = [" ".join(rng.choice(vocab).upper() for _ in range(rng.randrange(60))) + ", " + rng.choice(items[:25])[1] for _ in range(40)] + [None, "", "\t"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 3, 7, 9, 10, 12, 25])))) for i in range(25)] + [(90, None), (91, ""), (92, "..."), (None, "x1 x2 x3"), (None, " ".join(f"y{i}" for i in range(11)))]
+    texts = [" ".join(rng.choice(vocab).upper() for _ in range(rng.randrange(60))) + ", " + rng.choice(items[:25])[1] for _ in range(40)] + [None, "", "\t", "X1 x2, x3 d9", " ".join(f"y{i}" for i in range(10)), "same", "same"]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_leaks(t, items) for i, t in enumerate(texts)}
     for size in (decontaminate.SLICE_BYTES, 150):
         got = decontaminate.contamination(docs, bench, size).select("doc_id", "leak.*").collect()
-        assert {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in got} == want
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in got} == want and len(got) == len(want)
+        for r in got:
+            assert all(a["hi"] < b["lo"] for a, b in itertools.pairwise(r["hits"]))
 
 
 def test_every_shared_span_shares_a_fingerprint():
