@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldnotes.llm.common import free_name, held_out, read, small_batches, uniform
+from fieldnotes.llm.common import bounded, free_name, held_out, read, small_batches, uniform
 
 ORDER = 3
 SAMPLE = 400
@@ -195,12 +195,12 @@ class Trees:
 def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int | None = None) -> Trees | None:
     """Trees from the rows of ``docs`` that may be learned from; None if there are none."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = bounded(rows.groupBy("lang").agg(F.count("*").alias("size")))
     # twice as many as asked for, so that only those are sorted; a language of fewer gives all
     drawn = rows.withColumn("draw", uniform(F.lit("langid"), F.col("doc_id"))).join(sizes, "lang").filter(F.col("draw") * F.col("size") < 2 * sample)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    bounded = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
-    grams = bounded.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    chosen = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
+    grams = chosen.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = grams.toPandas()
     return Trees(counts, table_bytes) if len(counts) else None
 

@@ -116,51 +116,6 @@ def test_mix_meets_targets_and_bounds(spark):
     assert mixing.emit(mixing.mix(rows)).count() == sum(r["copies"] for r in got)
 
 
-# -- 3 toxicity -------------------------------------------------------------------------------
-def test_forward_backward_is_exact():
-    rng = np.random.default_rng(0)
-    emit, trans = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
-    marg, _ = toxicity.forward_backward(emit, trans, np.ones((1, 5), bool))
-    weight = {y: math.exp(sum(emit[0, i] * t for i, t in enumerate(y)) + sum(trans[a, b] for a, b in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=5)}
-    z = sum(weight.values())
-    for i in range(5):
-        assert math.isclose(marg[0, i], sum(w for y, w in weight.items() if y[i]) / z, rel_tol=1e-9)
-
-
-def toy():
-    rng = random.Random(3)
-    words = ["river", "town", "mill", "road", "hill", "green", "stone"]
-    texts, labels = [], []
-    for i in range(240):
-        t = [rng.choice(words) + rng.choice("abcdefgh") for _ in range(30)]
-        if i % 4 == 0:
-            t[rng.randrange(30)] = "zork" + rng.choice("abcdefgh")
-            t[rng.randrange(30)] = "blargh"
-        texts.append(" ".join(t))
-        labels.append(int(i % 4 == 0))
-    return texts, labels
-
-
-def test_jumps_over_plain_tokens_change_nothing():
-    crf = toxicity.Crf(*toy())
-    text = "river town blargh mill " + "hilla " * 50 + "zorkq zorkb stone"
-    spots, top, total = crf.tag(text)
-    words = text.split()
-    emit = np.array([[crf.bias + (crf.emission(w) or 0.0) for w in words]])
-    marg, _ = toxicity.forward_backward(emit, crf.trans, np.ones_like(emit, bool))
-    want = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if crf.emission(m.group()) is not None]
-    assert [(s, e) for s, e, _ in spots] == want
-    assert np.allclose([p for _, _, p in spots], [marg[0, i] for i, w in enumerate(words) if crf.emission(w) is not None])
-    assert crf.score(top, total) > 0.9 > 0.1 > crf.score(*crf.tag("river town mill")[1:])
-
-
-def test_toxicity_on_held_out_rows(spark):
-    rows = toxicity.op3_toxicity(spark, MID).join(spark.read.parquet(f"{MID}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
-    hit = sum(r["predicted"] and r["toxic"] for r in rows)
-    assert hit / sum(r["toxic"] for r in rows) > 0.7 and hit / sum(r["predicted"] for r in rows) > 0.7
-    assert all(0 <= r["score"] <= 1 for r in rows)
-
-
 # -- 4 decontamination ------------------------------------------------------------------------
 def brute_leaks(text, items):
     words = [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))]
