@@ -64,10 +64,15 @@ def script_sources(html: Column) -> Column:
     return all_of(html, r"(?i)<script\b[^>]*\bsrc=[\"']([^\"']*)[\"']", 1)
 
 
+LD_BLOCK = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
+#: A type, or a list of them, wherever it stands: at the top, in an array or ``@graph``, or nested.
+LD_TYPE = r"\"@type\"\s*:\s*(\"[^\"]*\"|\[[^\]]*\])"
+
+
 def json_ld_types(html: Column) -> Column:
-    blocks = all_of(html, r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>", 1)
-    types = F.transform(blocks, lambda b: F.get_json_object(b, "$.@type"))
-    return sorted_set(F.filter(types, lambda t: t.isNotNull()))
+    """The types of all JSON-LD objects of a page, sorted, each once."""
+    found = F.flatten(F.transform(all_of(html, LD_BLOCK, 1), lambda b: all_of(b, LD_TYPE, 1)))
+    return sorted_set(F.flatten(F.transform(found, lambda t: all_of(t, r"\"([^\"]+)\"", 1))))
 
 
 def markdown(html: Column) -> Column:

@@ -41,14 +41,50 @@ def cost_windows(calls: DataFrame, as_of: Column) -> DataFrame:
     return calls.filter(F.col("occurred_at") <= as_of).agg(part("day").alias("today"), part("week").alias("this_week"), part("month").alias("this_month"))
 
 
+CUTS = 64
+
+
+def percentiles(rows: DataFrame, key: str, value: str, names: dict[str, float]) -> DataFrame:
+    """Exact percentiles of a column by key, interpolated, under the given names; nulls don't count.
+
+    A sketch cuts each key's values into ``CUTS`` ranges; counts by range tell in which the wanted ranks lie,
+    and only the values of those ranges, each with its count, are put in order.  So a task holds a fraction
+    of a key's distinct values, however many rows the key has.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], F.lit(CUTS * 20)).alias("cuts"))
+    above = sum(((F.col("v") > F.get("cuts", i)).cast("int") for i in range(CUTS - 1)), F.lit(0))
+    ranged = rows.join(cuts, key).select(key, "v", above.alias("range"))
+    sizes = ranged.groupBy(key, "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("range")) - F.col("n")  # CUTS rows a key
+    sizes = sizes.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
+    ranks = F.array(*[F.lit(p) * (F.col("all") - 1) for p in names.values()])
+    wanted = F.exists(ranks, lambda r: (F.floor(r) < F.col("before") + F.col("n")) & (F.ceil(r) >= F.col("before")))
+    counts = ranged.join(sizes.filter(wanted).select(key, "range", "before", "all"), [key, "range"]).groupBy(key, "range", "before", "all", "v").agg(F.count("*").alias("n"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy(key, "range").orderBy("v"))
+    placed = counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("last")), F.col("v")))
+
+    out = []
+    for name, p in names.items():
+        r = F.lit(p) * (F.col("all") - 1)
+        out += [value_at(F.floor(r)).alias(f"_low_{name}"), value_at(F.ceil(r)).alias(f"_high_{name}"), F.max(r - F.floor(r)).alias(f"_part_{name}")]
+    mixed = lambda n: F.round(F.col(f"_low_{n}") + F.col(f"_part_{n}") * (F.col(f"_high_{n}") - F.col(f"_low_{n}")), 4).alias(n)
+    return placed.groupBy(key).agg(*out).select(key, *[mixed(n) for n in names])
+
+
 def latency_percentiles(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("agent_name").agg(*[F.round(F.percentile("latency_ms", p), 4).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))])
+    return percentiles(calls, "agent_name", "latency_ms", {"p50": 0.5, "p95": 0.95})
 
 
 def median_cost(calls: DataFrame, target: float) -> DataFrame:
     """One row: the median over companies of their cost, and whether it meets the target."""
-    by_company = calls.groupBy("company_id").agg(F.sum("cost_usd").alias("cost"))
-    return by_company.agg(F.round(F.percentile("cost", 0.5), 4).alias("median_cost"), F.count("*").alias("companies")).withColumn("within_target", F.col("median_cost") <= target)
+    by_company = calls.groupBy("company_id").agg(F.sum("cost_usd").alias("cost")).withColumn("one", F.lit(1))
+    median = percentiles(by_company, "one", "cost", {"median_cost": 0.5}).select(F.max("median_cost").alias("median_cost"))
+    count = by_company.agg(F.count("*")).scalar()
+    return median.select("median_cost", count.alias("companies"), (F.col("median_cost") <= target).alias("within_target"))
 
 
 def retry_rate(calls: DataFrame, alert: float) -> DataFrame:
@@ -79,11 +115,17 @@ def ceiling_breaches(calls: DataFrame, ceilings: DataFrame) -> DataFrame:
     return runs.join(ceilings, "agent_name").filter(F.col("cost_usd") > F.col("ceiling_usd"))
 
 
-def rate_alert_runs(events: DataFrame, p95_over: float, days: int) -> DataFrame:
-    """Runs of at least ``days`` consecutive days whose 95th percentile of events in a second (of the
-    seconds that have events) exceeds the limit: gaps and islands."""
+SECONDS = 86_400
+
+
+def rate_alert_runs(events: DataFrame, p95_over: float = 20.0, days: int = 5) -> DataFrame:
+    """Runs of at least ``days`` consecutive days whose 95th percentile of events in a second, over all
+    seconds of the day, exceeds the limit: gaps and islands."""
     per_second = events.groupBy(F.date_trunc("second", "occurred_at").alias("second")).agg(F.sum("weight").alias("n"))
-    per_day = per_second.groupBy(F.to_date("second").alias("day")).agg(F.percentile("n", 0.95).alias("p95")).filter(F.col("p95") > p95_over)
+    # how many seconds had how many events, and the seconds that had none
+    counts = per_second.groupBy(F.to_date("second").alias("day"), F.col("n").cast("double").alias("n")).agg(F.count("*").alias("seconds"))
+    silent = counts.groupBy("day").agg((F.lit(SECONDS) - F.sum("seconds")).alias("seconds")).select("day", F.lit(0.0).alias("n"), "seconds").filter("seconds > 0")
+    per_day = counts.unionByName(silent).groupBy("day").agg(F.percentile("n", 0.95, F.col("seconds")).alias("p95")).filter(F.col("p95") > p95_over)
     # one row a day: small whatever the number of events
     island = F.date_sub("day", F.row_number().over(Window.orderBy("day")))
     runs = per_day.withColumn("island", island).groupBy("island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days"))

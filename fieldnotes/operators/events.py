@@ -6,10 +6,15 @@ collection of a key's events.  Time is the events' own; ``as_of`` is a parameter
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stages in the order work flows: what a replay of one makes stale.
+from fieldnotes import scratch
+
+# Stages in the order work flows, what a replay of one makes stale.
 STAGES = {
     "crawl": ["extract"],
     "extract": ["seo", "tech", "bizintel"],
@@ -54,18 +59,28 @@ def dedup(log: DataFrame, processed: DataFrame, handler: str) -> DataFrame:
     return once.select("event_id", *[F.col(f"e.{c}") for c in keep]).join(done, "event_id", "left_anti")
 
 
-def causation_roots(spark: SparkSession, log: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root, depth) of every event: its parents followed up; a parent that isn't in the log ends
-    the walk, and so do ``most`` steps.  The walk doubles its stride each round."""
-    ids = log.select(F.col("id").alias("known"))
-    linked = log.join(ids, log["causation_id"] == ids["known"], "left").select("id", F.col("known").alias("up"))
-    state = linked.select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("long").alias("depth"))
-    stride = 1
-    while stride < most:
-        above = state.select(F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"))
-        state = state.join(above, state["root"] == above["a"]).select("id", F.col("a_root").alias("root"), (F.col("depth") + F.col("a_depth")).alias("depth"))
-        stride *= 2
-    return state
+def causation_roots(log: DataFrame) -> DataFrame:
+    """(id, root, depth) of every event: its causes followed up to one that has none in the log.
+
+    Repeated events count once, with their least cause.  Each round doubles the stride of the events that
+    aren't at their root yet, and is written, so a chain of depth d takes log d rounds of one join.  Events
+    whose causes run in a circle have no root: root and depth are null.
+    """
+    once = log.groupBy("id").agg(F.min("causation_id").alias("causation_id"))
+    known = once.select(F.col("id").alias("known"))
+    linked = once.join(known, once["causation_id"] == known["known"], "left")
+    state = linked.select("id", F.coalesce("known", "id").alias("top"), F.col("known").isNotNull().cast("long").alias("depth"), F.col("known").isNull().alias("done"))
+    state = scratch.cut(state, "roots")
+    rounds = state.count().bit_length() + 1
+    for _ in range(rounds):
+        tops = state.select(F.col("id").alias("above"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = state.filter("NOT done").join(tops, F.col("top") == F.col("above"))
+        moved = moved.select("id", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        open_ = moved.filter("NOT done").limit(1).count()
+        state = scratch.cut(state.filter("done").unionAll(moved), "roots")
+        if not open_:
+            break
+    return state.select("id", F.when(F.col("done"), F.col("top")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
 def stale_stages(start: str, graph: dict[str, list[str]] | None = None) -> list[str]:
@@ -107,12 +122,28 @@ def fresh(cache: DataFrame, queries: DataFrame, as_of: Column, key: list[str], d
     return queries.join(live.select(*key), key, "left_semi")
 
 
-def idempotent(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Requests with the one that answers them: the first with their key, for ``ttl`` from it; later
-    ones start anew.  Windows of a key are counted from its first request."""
-    first = requests.groupBy("idempotency_key").agg(F.min("ts").alias("first_at"))
-    span = F.lit(int(ttl.split()[0]) * {"hours": 3600, "minutes": 60, "days": 86400}[ttl.split()[1]])
-    n = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("first_at")) / span)
-    slot = requests.join(first, "idempotency_key").withColumn("slot", n)
-    answer = slot.groupBy("idempotency_key", "slot").agg(F.min_by("request_id", F.struct("ts", "request_id")).alias("answered_by"))
-    return slot.join(answer, ["idempotency_key", "slot"]).select("request_id", "idempotency_key", "answered_by")
+def idempotent(requests: DataFrame, ttl_hours: int = 24) -> DataFrame:
+    """Requests with the one that answers them.  The first with a key is fresh and answers all with it for
+    ``ttl_hours``; the first after that is fresh again.  One without a key answers itself.
+
+    Requests of one key and instant are one row before the shuffle; a key's instants, in order, then pass
+    through a task that holds no more than the request that answers now.
+    """
+    span = ttl_hours * 3_600_000_000
+    at = requests.withColumn("us", F.unix_micros("ts"))
+    instants = at.filter("idempotency_key IS NOT NULL").groupBy("idempotency_key", "us").agg(F.min("request_id").alias("first"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since, answer = None, 0, None
+        for batch in batches:
+            out = []
+            for k, us, first in zip(batch["idempotency_key"], batch["us"], batch["first"], strict=True):
+                if k != key or us >= since + span:
+                    key, since, answer = k, us, first
+                out.append(answer)
+            yield batch[["idempotency_key", "us"]].assign(answered_by=out)
+
+    ordered = instants.repartition("idempotency_key").sortWithinPartitions("idempotency_key", "us")
+    schema = f"idempotency_key string, us long, answered_by {dict(requests.dtypes)['request_id']}"
+    answers = ordered.mapInPandas(fold, schema)
+    return at.join(answers, ["idempotency_key", "us"], "left").select("request_id", "idempotency_key", F.coalesce("answered_by", "request_id").alias("answered_by"))

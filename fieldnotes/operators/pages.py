@@ -87,39 +87,65 @@ def link_scores(pages: DataFrame) -> DataFrame:
     return links.withColumn("score", (score - DEPTH_COST * deep).cast("long"))
 
 
-#: Checks of a page: (name, category, severity if it fails).
+# Schema.org's LocalBusiness and subtypes of it that count as a business's own markup.
+BUSINESS = (
+    "LocalBusiness AnimalShelter AutomotiveBusiness ChildCare Dentist DryCleaningOrLaundry EmergencyService EmploymentAgency EntertainmentBusiness "
+    "FinancialService FoodEstablishment Restaurant GovernmentOffice HealthAndBeautyBusiness BeautySalon HomeAndConstructionBusiness InternetCafe LegalService "
+    "Library LodgingBusiness Hotel MedicalBusiness MedicalClinic ProfessionalService RadioStation RealEstateAgent RecyclingCenter SelfStorage ShoppingCenter "
+    "SportsActivityLocation Store TelevisionStation TouristInformationCenter TravelAgency"
+).split()
+#: Checks of a page: name, category, severity if it fails, title of the finding, how to mend it.
 CHECKS = (
-    ("viewport", "mobile", "high"),
-    ("favicon", "branding", "low"),
-    ("og_image", "social", "medium"),
-    ("schema_org", "structured-data", "medium"),
-    ("https", "security", "high"),
-    ("analytics", "analytics", "medium"),
-    ("cookie_banner", "compliance", "info"),
-    ("contact", "contact", "high"),
-    ("whatsapp", "contact", "low"),
-    ("booking", "conversion", "medium"),
+    ("viewport", "mobile", "high", "Mobile viewport not set", "Add a viewport meta tag with width=device-width"),
+    ("favicon", "branding", "low", "No favicon", "Link an icon in the head"),
+    ("og_image", "social", "medium", "No Open Graph image", "Add an og:image meta tag"),
+    ("schema_org", "structured-data", "medium", "No business markup", "Describe the business as a schema.org LocalBusiness"),
+    ("https", "security", "high", "Page is served without HTTPS", "Serve the site over HTTPS and redirect to it"),
+    ("hsts", "security", "low", "No Strict-Transport-Security header", "Send the header with a max-age of a year"),
+    ("analytics", "analytics", "medium", "No analytics found", "Install an analytics script"),
+    ("cookie_banner", "compliance", "info", "No cookie banner found", "Ask for consent before setting cookies"),
+    ("contact", "contact", "high", "No phone number or e-mail address", "Show a phone number or e-mail address"),
+    ("whatsapp", "contact", "low", "No WhatsApp link", "Add a click-to-chat link"),
+    ("booking", "conversion", "medium", "No way to book", "Offer online booking"),
 )
+#: What is shown of a page as evidence.
+EXCERPT = 80
 
 
 def seo_findings(pages: DataFrame) -> DataFrame:
-    """A row per failed check of a page (url, html); Lighthouse scores and files of the site's root
-    are inputs of the whole audit, not of a page."""
+    """A row per failed check of a page (url, html, and headers, by lower-case name, if there are any:
+    only then is ``hsts`` checked), with the start of the page as evidence.  Lighthouse scores are inputs
+    of the whole audit, not of a page; files of the site's root are in ``site_findings``."""
     html = F.col("html")
+    business = F.array(*[F.lit(t) for t in BUSINESS])
     passed = {
         "viewport": html.rlike(r"(?i)<meta\b[^>]*name=[\"']viewport"),
         "favicon": html.rlike(r"(?i)<link\b[^>]*rel=[\"'](?:shortcut )?icon"),
         "og_image": html.rlike(r"(?i)<meta\b[^>]*property=[\"']og:image"),
-        "schema_org": html.rlike(r"(?i)application/ld\+json"),
+        "schema_org": F.arrays_overlap(x.json_ld_types(html), business),
         "https": F.lower("url").startswith("https://"),
         "analytics": html.rlike(r"(?i)googletagmanager\.com|plausible\.io|google-analytics\.com"),
         "cookie_banner": html.rlike(r"(?i)cookie"),
-        "contact": html.rlike(r"(?i)href=[\"'](?:mailto:|tel:)"),
+        "contact": html.rlike(rf"{x.EMAIL}|{x.PHONE}|(?i)href=[\"']tel:\+?[0-9]{{7,15}}"),
         "whatsapp": html.rlike(x.WHATSAPP),
         "booking": html.rlike(r"(?i)calendly\.com|/book(?:ing)?\b"),
     }
-    failed = F.array(*[F.when(~passed[n], F.struct(F.lit(n).alias("check"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for n, c, s in CHECKS])
-    return pages.select("page_id", F.explode(F.filter(failed, lambda f: f.isNotNull())).alias("f")).select("page_id", "f.check", "f.category", "f.severity")
+    if "headers" in pages.columns:
+        passed["hsts"] = F.exists(F.map_keys(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda k: F.lower(k) == "strict-transport-security")
+    item = lambda n, c, s, t, h: F.struct(F.lit(n).alias("check"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(t).alias("title"), F.lit(h).alias("fix_hint"))
+    failed = F.array(*[F.when(~passed[check[0]], item(*check)) for check in CHECKS if check[0] in passed])
+    rows = pages.select("page_id", F.col("url").alias("evidence_url"), F.substring("html", 1, EXCERPT).alias("evidence_excerpt"), F.explode(F.filter(failed, lambda f: f.isNotNull())).alias("f"))
+    return rows.select("page_id", "f.*", "evidence_url", "evidence_excerpt")
+
+
+def site_findings(pages: DataFrame) -> DataFrame:
+    """(host, check, severity) of crawled sites that lack a file of the root, or a contact page."""
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    sites = pages.select(urls.host_of(F.col("url")).alias("host"), F.lower(path).alias("path")).groupBy("host")
+    checks = (("robots_txt", "low", F.col("path") == "/robots.txt"), ("sitemap_xml", "low", F.col("path") == "/sitemap.xml"), ("contact_page", "medium", F.col("path").contains("contact")))
+    have = sites.agg(*[F.count_if(test).alias(n) for n, _, test in checks])
+    failed = F.array(*[F.when(F.col(n) == 0, F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"))) for n, s, _ in checks])
+    return have.select("host", F.explode(F.filter(failed, lambda f: f.isNotNull())).alias("f")).select("host", "f.*")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

@@ -101,10 +101,50 @@ def prompt_conflicts(prompts: DataFrame) -> DataFrame:
 
 
 def with_default(rows: DataFrame, lookup: DataFrame, key: str, default: str, values: list[str]) -> DataFrame:
-    """Values looked up by key, or else those of the default key."""
-    fallback = lookup.filter(F.col(key) == default).select(*[F.col(v).alias(f"_{v}") for v in values])
-    joined = rows.join(lookup.filter(F.col(key) != default).select(key, *values, F.lit(True).alias("_known")), key, "left").join(F.broadcast(fallback), F.lit(True), "left")
-    return joined.select(*rows.columns, *[F.coalesce(F.col(v), F.col(f"_{v}")).alias(v) for v in values], F.col("_known").isNull().alias("is_default"))
+    """Values looked up by key, or else those of the default key (one row, by scalar subqueries)."""
+    fallback = {v: lookup.filter(F.col(key) == default).agg(F.max(v)).scalar() for v in values}
+    joined = rows.join(lookup.filter(F.col(key) != default).select(key, *values, F.lit(True).alias("_known")), key, "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col(v), fallback[v]).alias(v) for v in values], F.col("_known").isNull().alias("is_default"))
+
+
+def lead_search(leads: DataFrame, known: DataFrame, niche: str, city: str, limit: int = 50) -> DataFrame:
+    """The best ``limit`` leads of a niche and city, once each host, whose host no company has."""
+    wanted = leads.filter((F.lower("niche") == niche.lower()) & (F.lower("city") == city.lower()) & (F.col("host") != ""))
+    once = wanted.groupBy("host").agg(F.max(F.struct("rating", "name")).alias("best")).select("host", "best.*")
+    return once.join(known.select("host").distinct(), "host", "left_anti").orderBy(F.desc("rating"), "host").limit(limit)
+
+
+def timeline(log: DataFrame, company: str = "company_id") -> DataFrame:
+    """A company's events in the order they occurred, numbered, with the seconds since the one before."""
+    w = Window.partitionBy(company).orderBy("occurred_at", "event_id")
+    since = F.unix_timestamp("occurred_at") - F.unix_timestamp(F.lag("occurred_at").over(w))
+    return log.select(company, "event_id", "type", "occurred_at", F.row_number().over(w).cast("long").alias("position"), since.alias("seconds"))
+
+
+def dossier_view(companies: DataFrame, summaries: DataFrame, findings: DataFrame, opportunities: DataFrame, drafts: DataFrame, top: int = 5) -> DataFrame:
+    """The reviewable dossier of each live company: its latest summary, its gravest findings and best
+    opportunities (``top`` of each) and its drafts by kind, lists comma-joined, empty where there are none."""
+
+    def best(rows: DataFrame, order: str, name: str) -> DataFrame:
+        w = Window.partitionBy("company_id").orderBy(F.desc(order), name)
+        kept = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top)
+        return kept.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(name).cast("string").alias("_v")))), lambda x: x["_v"]).alias("list"))
+
+    latest_ = summaries.groupBy("company_id").agg(F.max_by("summary", "version").alias("summary"))
+    kinds = drafts.groupBy("company_id").agg(F.array_sort(F.collect_set("kind")).alias("list"))
+    out = companies.filter(F.col("deleted_at").isNull()).select("company_id", "name").join(latest_, "company_id", "left")
+    for name, rows in (("findings", best(findings, "severity", "check")), ("opportunities", best(opportunities, "score", "id")), ("drafts", kinds)):
+        out = out.join(rows.select("company_id", F.array_join("list", ",").alias(name)), "company_id", "left")
+    return out.fillna("", ["findings", "opportunities", "drafts"])
+
+
+def correlate(jobs: DataFrame, calls: DataFrame, log: DataFrame, key: str = "correlation_id") -> DataFrame:
+    """What happened under each correlation: jobs, model calls with their cost, events with their span.
+    Each side is summed first; a correlation that any of them has gets a row."""
+    j = jobs.groupBy(key).agg(F.count("*").alias("jobs"), F.count_if(F.col("status") == "failed").alias("failed"))
+    c = calls.groupBy(key).agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    e = log.groupBy(key).agg(F.count("*").alias("events"), F.min("occurred_at").alias("first_event"), F.max("occurred_at").alias("last_event"))
+    return j.join(c, key, "full").join(e, key, "full").fillna(0, ["jobs", "failed", "calls", "events"])
 
 
 def recent(rows: DataFrame, column: str, as_of: Column, within: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fieldnotes.functions import text as x
 
 BROADCAST_RULES = 5000
-#: Categories whose absence is worth a pitch.
+# Categories whose absence is worth a pitch.
 GAPS = ("chat", "crm", "booking", "marketing", "reviews")
 
 
@@ -28,6 +28,7 @@ def values(pages: DataFrame) -> DataFrame:
         F.array(
             F.array(entry("html", none, html), entry("meta_generator", none, x.meta(html, "generator"))),
             F.transform(x.script_sources(html), lambda s: entry("script_src", none, s)),
+            F.transform(x.json_ld_types(html), lambda t: entry("json_ld", none, t)),
             F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: entry("header", F.lower(e["key"]), e["value"])),
         )
     )

@@ -15,7 +15,7 @@ OPENS, CLOSES = 9, 18
 def schedule(sequences: DataFrame, cadence: DataFrame) -> DataFrame:
     """(sequence_id, step_index, channel, scheduled_for): start plus the cadence's day offsets."""
     days = F.make_interval(days=F.col("day_offset").cast("int"))
-    return sequences.join(F.broadcast(cadence), "cadence").select("sequence_id", "status", "step_index", "channel", (F.col("started_at") + days).alias("scheduled_for"))
+    return sequences.join(cadence, "cadence").select("sequence_id", "status", "step_index", "channel", (F.col("started_at") + days).alias("scheduled_for"))
 
 
 def in_hours(at: Column, zone: str = ZONE, opens: int = OPENS, closes: int = CLOSES) -> Column:

@@ -108,3 +108,35 @@ def guards(audits: DataFrame) -> DataFrame:
         (F.col("performance") < 50).alias("rebuild"),
         (F.col("seo") < 70).alias("search_fixes"),
     )
+
+
+#: Word caps of a proposal's sections.
+SECTIONS = {"executive_summary": 80, "the_problem": 120, "what_we_propose": 160, "expected_outcome": 120}
+
+
+def proposal_caps(proposals: DataFrame) -> DataFrame:
+    """(draft_id, words of each section, ok): sections within their caps, missing ones having no words."""
+    words = {n: F.coalesce(x.word_count(F.col(n)), F.lit(0).cast("long")) for n in SECTIONS}
+    ok = F.lit(True)
+    for n, most in SECTIONS.items():
+        ok = ok & (words[n] <= most)
+    return proposals.select("draft_id", *[w.alias(n) for n, w in words.items()], ok.alias("ok"))
+
+
+#: Lists of a contract: (least, most) items, and characters an item may have.
+LISTS = {"evidence": (3, None, None), "value_props": (None, 5, 100), "talking_points": (None, 3, None), "objections": (None, 3, None)}
+
+
+def list_contracts(rows: DataFrame) -> DataFrame:
+    """(id, a boolean for each list, longest value proposition, ok); a null list is an empty one."""
+    checks = {}
+    for name, (least, most, chars) in LISTS.items():
+        items = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        ok = F.size(items) >= (least or 0)
+        ok = ok & (F.size(items) <= most) if most is not None else ok
+        checks[f"{name}_ok"] = ok & (F.size(F.filter(items, lambda v: F.length(v) > chars)) == 0) if chars else ok  # noqa: B023
+    longest = F.coalesce(F.array_max(F.transform("value_props", F.length)), F.lit(0)).cast("long")
+    every = F.lit(True)
+    for ok in checks.values():
+        every = every & ok
+    return rows.select("id", *[ok.alias(n) for n, ok in checks.items()], longest.alias("longest_value_prop"), every.alias("ok"))

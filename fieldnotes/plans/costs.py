@@ -21,6 +21,17 @@ def at(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def bursts(s):
+    """Twelve days: 5,000 seconds of 25 events on six of them, of 20 on the next three, and 4,000 of 30."""
+    one = s.range(12 * 5000).select((F.col("id") / 5000).cast("int").alias("day"), (F.col("id") % 5000).cast("int").alias("second"))
+    many = F.when(F.col("day") < 6, 25).when(F.col("day") < 9, 20).when(F.col("second") < 4000, 30)
+    when = F.lit("2023-11-01 00:00:00").cast("timestamp") + F.make_dt_interval(days=F.col("day"), secs=F.col("second").cast("decimal(18,6)"))
+    return one.select(when.alias("occurred_at"), many.cast("long").alias("weight")).filter("weight IS NOT NULL")
+
+
+_BURSTS = """SELECT TIMESTAMP '2023-11-01' + to_days(CAST(d AS INTEGER)) + to_seconds(n) AS occurred_at, CASE WHEN d < 6 THEN 25 WHEN d < 9 THEN 20 ELSE 30 END AS weight
+FROM range(12) a(d), range(5000) b(n) WHERE d < 9 OR n < 4000"""
+
 QUERIES = {
     "cost_daily": lambda s, d: cost.cost_daily(t.llm_calls(s, d)),
     "pipeline_health": lambda s, d: cost.pipeline_health(t.jobs(s, d), at(JOBS_AS_OF)),
@@ -33,7 +44,7 @@ QUERIES = {
     "job_counts": lambda s, d: cost.outcome_counts(t.jobs(s, d)),
     "job_duration_histogram": lambda s, d: cost.histogram(t.jobs(s, d), EDGES),
     "cost_ceiling_breaches": lambda s, d: cost.ceiling_breaches(t.llm_calls(s, d), s.sql(f"SELECT agent_name, CAST(ceiling_usd AS double) AS ceiling_usd FROM {CEILINGS}")),
-    "rate_alert_runs": lambda s, d: cost.rate_alert_runs(t.event_log(s, d).withColumn("weight", F.col("value")), 45.0, 2),
+    "rate_alert_runs": lambda s, d: cost.rate_alert_runs(t.event_log(s, d).select("occurred_at", F.lit(1).cast("long").alias("weight")).unionByName(bursts(s))),
 }
 
 SQL = {
@@ -68,8 +79,10 @@ SELECT r.agent_name, company_id, day, cost_usd, CAST(ceiling_usd AS DOUBLE) AS c
 FROM (SELECT agent_name, company_id, date_trunc('day', occurred_at) AS day, round(sum(cost_usd), 4) AS cost_usd FROM ({CALLS}) GROUP BY 1, 2, 3) r
 JOIN {CEILINGS} ON r.agent_name = c.agent_name WHERE cost_usd > ceiling_usd""",
     "rate_alert_runs": f"""
-WITH s AS (SELECT date_trunc('second', occurred_at) AS second, sum(value) AS n FROM ({LOG}) GROUP BY 1),
-d AS (SELECT CAST(second AS DATE) AS day, quantile_cont(n, 0.95) AS p95 FROM s GROUP BY 1),
-i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d WHERE p95 > 45.0)
-SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM i GROUP BY island HAVING count(*) >= 2""",
+WITH s AS (SELECT date_trunc('second', occurred_at) AS second, sum(weight) AS n FROM (SELECT occurred_at, 1 AS weight FROM ({LOG}) UNION ALL {_BURSTS}) GROUP BY 1),
+days AS (SELECT DISTINCT CAST(second AS DATE) AS day FROM s),
+every AS (SELECT day, CAST(COALESCE(n, 0) AS DOUBLE) AS n FROM (SELECT day, CAST(day AS TIMESTAMP) + to_seconds(k) AS second FROM days, range(86400) r(k)) g LEFT JOIN s ON s.second = g.second),
+d AS (SELECT day, quantile_cont(n, 0.95) AS p95 FROM every GROUP BY 1),
+i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d WHERE p95 > 20.0)
+SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM i GROUP BY island HAVING count(*) >= 5""",
 }

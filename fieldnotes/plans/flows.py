@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from fieldnotes import streaming
+from fieldnotes import scratch, streaming
 from fieldnotes.operators import cost, events as ev, relational, retrieval as rv, sequencer as sq
 from fieldnotes.plans.costs import AS_OF, at
 from fieldnotes.plans.inline import Rows
-from fieldnotes.session import shared_folder
 from fieldnotes.sources import tables as t
 
 LOG = t.EVENT_LOG_SQL
@@ -36,6 +33,13 @@ REQUESTS = Rows(
     ("c", "k1", "2024-01-02 00:00:00"),
     ("d", "k2", "2024-01-01 05:00:00"),
     ("e", "k1", "2024-01-02 10:00:00"),
+    ("f", "k3", "2024-01-01 00:00:00"),
+    ("g", "k3", "2024-01-02 06:00:00"),
+    ("h", "k3", "2024-01-03 02:00:00"),
+    ("i", "k3", "2024-01-03 06:00:00"),
+    ("j", "k3", "2024-01-03 06:00:00"),
+    ("k", None, "2024-01-01 00:00:00"),
+    ("l", None, "2024-01-01 00:00:00"),
     times=("ts",),
 )
 CACHE = Rows("niche string, city string, cached_at string", ("dental", "dubai", "2024-01-14 12:00:00"), ("dental", "paris", "2024-01-13 11:59:59"), ("gym", "dubai", "2024-01-21 00:00:00"), times=("cached_at",))
@@ -62,10 +66,16 @@ DUE_AT = "2024-01-20 07:00:00"
 EVERY = 20
 
 
+CHAIN = 2_000_000_000
+
+
 def caused(s, d):
-    """The log with a parent for each event but every fifth."""
+    """The log with a parent for each event but every fifth, a chain of 100, and repeated deliveries."""
     e = t.table(s, d, "events")
-    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") - 1).alias("causation_id"))
+    log = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") - 1).alias("causation_id"))
+    chain = s.range(CHAIN, CHAIN + 100).select("id", F.when(F.col("id") > CHAIN, F.col("id") - 1).alias("causation_id"))
+    log = log.unionByName(chain)
+    return log.unionByName(log.filter("id % 7 = 0"))
 
 
 def asked(s, d):
@@ -98,9 +108,10 @@ _STEPS = f"""SELECT q.sequence_id, status, step_index, channel, started_at + to_
 FROM ({_SEQUENCES}) q JOIN {CADENCE.sql} c ON q.cadence = c.cadence"""
 
 
-def calls_stream(s, d):
-    """The calls as a stream of the table's file."""
-    e = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(s, f"{d}/events.parquet") else f"{d}/events.parque[t]")
+def calls_stream(s, d, name: str = "events.parquet"):
+    """The calls as a stream of the table's files."""
+    reader = s.readStream.schema(s.read.parquet(f"{d}/{name}").schema)
+    e = reader.parquet(f"{d}/{name}") if _is_folder(s, f"{d}/{name}") else reader.option("pathGlobFilter", name).parquet(d)
     return e.select("event_id", F.col("user_id").alias("company_id"), F.col("event_type").alias("type"), F.col("value").alias("cost_usd"), F.col("ts").cast("timestamp").alias("occurred_at"))
 
 
@@ -110,15 +121,27 @@ def _is_folder(s, path: str) -> bool:
 
 
 def drained(s, stream, name: str, mode: str = "append"):
-    """The rows of a stream over all that its source has; checkpoints go to the shared folder."""
-    unique = f"{name}_{uuid.uuid4().hex[:8]}"
-    return streaming.drain(stream, unique, mode, f"{shared_folder(s)}/{unique}")
+    """The rows of a stream over all that its source has; files and checkpoints go to the shared folder."""
+    return streaming.drain(stream, scratch.folder(s, f"{name}/rows"), scratch.folder(s, f"{name}/checkpoint"), mode)
+
+
+def repeated(s, d):
+    """The log with every fifth event delivered again a moment later."""
+    log = calls_stream(s, d)
+    again = calls_stream(s, d).filter("event_id % 5 = 0").withColumn("occurred_at", F.col("occurred_at") + F.expr("interval 3 seconds"))
+    return log.unionByName(again)
+
 
+def sagas(s, d):
+    return calls_stream(s, d).withColumn("correlation_id", F.concat_ws("/", F.col("company_id").cast("string"), F.date_format("occurred_at", "yyyy-MM-dd")))
+
+
+SAGA_MINUTES = 600
 
 QUERIES = {
     "fan_in_completed": lambda s, d: ev.fan_in(t.event_log(s, d), TYPES),
     "fan_in_timed_out": lambda s, d: ev.fan_in_timed_out(t.event_log(s, d), TYPES, at(AS_OF)),
-    "causation_roots": lambda s, d: ev.causation_roots(s, caused(s, d)),
+    "causation_roots": lambda s, d: ev.causation_roots(caused(s, d)),
     "dedup_events": lambda s, d: ev.dedup(DELIVERED.df(s).withColumnRenamed("ts", "occurred_at"), PROCESSED.df(s), "mailer").select("event_id", "type", "occurred_at"),
     "replay_downstream": lambda s, d: ev.replay_downstream(STAGED.df(s), "tech"),
     "event_upcast": lambda s, d: ev.upcast(t.event_log(s, d).select("event_id", "version", "payload").unionByName(DELIVERED.df(s).select((F.col("event_id") + 1_000_000_000).alias("event_id"), "version", "payload"))),
@@ -139,12 +162,24 @@ QUERIES = {
     "schedule_calendar": lambda s, d: sq.schedule(sequences(s, d), CADENCE.df(s)).select("sequence_id", "step_index", "channel", "scheduled_for"),
     "due_steps": lambda s, d: sq.due(steps(s, d), at(DUE_AT)),
     "stream_cost_daily": lambda s, d: drained(s, streaming.cost_daily(calls_stream(s, d)), "cost_daily", "complete").withColumn("cost_usd", F.round("cost_usd", 4)),
-    "stream_dedup": lambda s, d: drained(s, streaming.dedup(calls_stream(s, d)), "dedup").groupBy("type").agg(F.count("*").alias("events")),
-    "stream_fan_in": lambda s, d: drained(s, streaming.fan_in(calls_stream(s, d).withColumn("correlation_id", F.concat_ws("/", F.col("company_id").cast("string"), F.date_format("occurred_at", "yyyy-MM-dd"))), TYPES, timeout_minutes=1440), "fan_in").filter("NOT timed_out").select("correlation_id", "completed_at"),
+    "stream_dedup": lambda s, d: drained(s, streaming.dedup(repeated(s, d)), "dedup").groupBy("type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids")),
+    "stream_fan_in": lambda s, d: drained(s, streaming.fan_in(sagas(s, d), TYPES), "fan_in"),
+    "stream_fan_in_slow": lambda s, d: drained(s, streaming.fan_in(sagas(s, d), TYPES, timeout_minutes=SAGA_MINUTES), "fan_in_slow"),
 }
 
 _FIRST = f"""SELECT correlation_id, {", ".join(f"min(CASE WHEN type = '{n}' THEN occurred_at END) AS t{i}" for i, n in enumerate(TYPES))}, count(DISTINCT type) AS seen
 FROM ({LOG}) WHERE type IN ({_TYPES}) GROUP BY 1"""
+
+
+def _sagas(minutes: int) -> str:
+    """Completed in time, or timed out before the watermark: ten minutes before the last event."""
+    return f"""
+WITH f AS (SELECT correlation_id, t0, t1, t2, least(t0, t1, t2) + INTERVAL {minutes} MINUTE AS deadline FROM ({_FIRST})),
+w AS (SELECT max(occurred_at) - INTERVAL 10 MINUTE AS watermark FROM ({LOG}) WHERE type IN ({_TYPES})),
+g AS (SELECT *, COALESCE(t0 <= deadline AND t1 <= deadline AND t2 <= deadline, FALSE) AS complete FROM f)
+SELECT correlation_id, CASE WHEN complete THEN greatest(t0, t1, t2) ELSE deadline END AS completed_at, NOT complete AS timed_out FROM g, w WHERE complete OR deadline < watermark"""
+
+
 _NEAR = f"""
 SELECT query_id, rank, vec_id, score, label FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
@@ -157,8 +192,9 @@ SQL = {
 SELECT * FROM (SELECT correlation_id, least(t0, t1, t2) AS began_at, least(t0, t1, t2) + INTERVAL 10 MINUTE AS timed_out_at,
   CAST({" + ".join(f"CASE WHEN t{i} <= least(t0, t1, t2) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END" for i in range(3))} AS BIGINT) AS in_time FROM ({_FIRST}))
 WHERE in_time < 3 AND timed_out_at <= TIMESTAMP '{AS_OF}'""",
-    "causation_roots": """
-WITH RECURSIVE log AS (SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_id - 1 END AS causation_id FROM events),
+    "causation_roots": f"""
+WITH RECURSIVE log AS (SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_id - 1 END AS causation_id FROM events
+  UNION ALL SELECT n, CASE WHEN n > {CHAIN} THEN n - 1 END FROM range({CHAIN}, {CHAIN} + 100) r(n)),
 linked AS (SELECT l.id, p.id AS up FROM log l LEFT JOIN log p ON l.causation_id = p.id),
 walk AS (SELECT id, id AS root, up, CAST(0 AS BIGINT) AS depth FROM linked UNION ALL
   SELECT w.id, l.id, l.up, w.depth + 1 FROM walk w JOIN linked l ON w.up = l.id)
@@ -178,9 +214,13 @@ WHERE COALESCE(n_left, 0) <> COALESCE(n_right, 0)""",
     "merged_streams": f"SELECT type, count(*) AS events, max(event_id) AS last FROM ({LOG}) WHERE type IN ('view', 'error') GROUP BY 1",
     "replayed_events": f"SELECT event_id, type, occurred_at FROM ({LOG}) WHERE occurred_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND occurred_at <= TIMESTAMP '{AS_OF}'",
     "idempotent_requests": f"""
-WITH f AS (SELECT idempotency_key, min(ts) AS first_at FROM {REQUESTS.sql} GROUP BY 1),
-s AS (SELECT r.*, CAST(floor((epoch(r.ts) - epoch(first_at)) / 86400) AS BIGINT) AS slot FROM {REQUESTS.sql} r JOIN f ON r.idempotency_key = f.idempotency_key)
-SELECT request_id, idempotency_key, first_value(request_id) OVER (PARTITION BY idempotency_key, slot ORDER BY ts, request_id) AS answered_by FROM s""",
+WITH RECURSIVE r AS (SELECT * FROM {REQUESTS.sql}),
+fresh AS (
+  SELECT idempotency_key, min(ts) AS ts FROM r WHERE idempotency_key IS NOT NULL GROUP BY 1
+  UNION ALL
+  SELECT f.idempotency_key, (SELECT min(n.ts) FROM r n WHERE n.idempotency_key = f.idempotency_key AND n.ts >= f.ts + INTERVAL 24 HOUR) FROM fresh f WHERE f.ts IS NOT NULL)
+SELECT request_id, idempotency_key, COALESCE((SELECT min(a.request_id) FROM r a WHERE a.idempotency_key = r.idempotency_key
+  AND a.ts = (SELECT max(f.ts) FROM fresh f WHERE f.idempotency_key = r.idempotency_key AND f.ts <= r.ts)), request_id) AS answered_by FROM r""",
     "discovery_cache": f"""
 SELECT niche, city FROM {QUERIES_ASKED.sql} q WHERE EXISTS (SELECT 1 FROM {CACHE.sql} c WHERE c.niche = q.niche AND c.city = q.city
   AND cached_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND cached_at <= TIMESTAMP '{AS_OF}')""",
@@ -203,6 +243,7 @@ SELECT group_id, rank, id, decayed FROM (SELECT *, row_number() OVER (PARTITION
 SELECT sequence_id, step_index, channel, scheduled_for FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY step_index) AS k FROM ({_STEPS}) WHERE status = 'active' AND NOT sent)
 WHERE k = 1 AND scheduled_for <= TIMESTAMP '{DUE_AT}' AND hour(TIMESTAMP '{DUE_AT}' + INTERVAL 4 HOUR) BETWEEN 9 AND 17""",
     "stream_cost_daily": f"SELECT date_trunc('day', occurred_at) AS day, company_id, count(*) AS calls, round(sum(value), 4) AS cost_usd FROM ({LOG}) GROUP BY 1, 2",
-    "stream_dedup": f"SELECT type, count(*) AS events FROM ({LOG}) GROUP BY 1",
-    "stream_fan_in": f"SELECT correlation_id, greatest(t0, t1, t2) AS completed_at FROM ({_FIRST}) WHERE seen = 3",
+    "stream_dedup": f"SELECT type, count(*) AS events, count(DISTINCT event_id) AS ids FROM ({LOG}) GROUP BY 1",
+    "stream_fan_in": _sagas(10),
+    "stream_fan_in_slow": _sagas(SAGA_MINUTES),
 }

@@ -12,10 +12,20 @@ COMPANIES, ARTIFACTS, DEALS, MESSAGES, JOBS = t.COMPANIES_SQL, t.ARTIFACTS_SQL,
 KEY = ["tenant_id", "agent_name", "agent_version", "input_hash"]
 PERMITS = {"agent-0": 8, "agent-1": 4, "agent-2": 16, "agent-3": 4}
 PROMPTS = "(VALUES ('email', 1, 'a'), ('email', 1, 'b'), ('email', 2, 'a'), ('roi', 1, 'c'), ('roi', 1, 'c')) AS p(name, version, body_sha256)"
-SERVICES = (
-    "whatsapp-receptionist website-chatbot lead-qualification-agent review-automation ai-receptionist-voice ai-content-engine "
-    "internal-rag-knowledge image-search-catalog auto-followup-engine smart-website-rebuild seo-audit-fixes"
-).split()
+# The catalogue of services.
+SERVICES = [
+    "whatsapp-receptionist",
+    "website-chatbot",
+    "lead-qualification-agent",
+    "review-automation",
+    "ai-receptionist-voice",
+    "ai-content-engine",
+    "internal-rag-knowledge",
+    "image-search-catalog",
+    "auto-followup-engine",
+    "smart-website-rebuild",
+    "seo-audit-fixes",
+]
 PROPOSED = """(VALUES ('c1', 'website-chatbot', 0.9), ('c1', 'review-automation', 0.9), ('c1', 'time-machine', 0.99), ('c1', 'seo-audit-fixes', 0.4),
   ('c2', 'ai-content-engine', 0.7), ('c2', 'smart-website-rebuild', 0.8), ('c2', 'website-chatbot', 0.8), ('c2', 'internal-rag-knowledge', 0.2), ('c3', 'hologram', 0.5)) AS o(company_id, id, priority_score)"""
 BASELINES = "(VALUES ('building', 0.3, 900.0), ('machinery', 0.2, 1500.0), ('global', 0.1, 500.0)) AS b(industry, uplift, lead_value)"
@@ -60,10 +70,28 @@ def bundle(s, d):
 
 
 def correlated(s, d):
-    jobs = t.jobs(s, d).groupBy("company_id").agg(F.count("*").alias("jobs"))
-    calls = t.llm_calls(s, d).groupBy("company_id").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
-    log = t.event_log(s, d).groupBy("company_id").agg(F.max("occurred_at").alias("last_event"))
-    return jobs.join(calls, "company_id").join(log, "company_id")
+    """Jobs fall on a day of the log's month by their id, so that they share correlations with it."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")), "yyyy-MM-dd")
+    of = lambda day: F.concat_ws("/", F.col("company_id").cast("string"), day)
+    jobs = t.jobs(s, d).select("status", of(day).alias("correlation_id"))
+    calls = t.llm_calls(s, d).select("cost_usd", of(F.date_format("occurred_at", "yyyy-MM-dd")).alias("correlation_id"))
+    return r.correlate(jobs, calls, t.event_log(s, d))
+
+
+def dossiers(s, d):
+    """Summaries are artifacts, findings deals that weren't won, opportunities all deals, drafts what was sent."""
+    deals = t.deals(s, d)
+    summaries = t.artifacts(s, d).select("company_id", F.col("input_hash").alias("summary"), F.col("artifact_id").alias("version"))
+    findings = deals.filter("stage <> 'won'").select("company_id", (F.col("amount_usd") % 4).cast("int").alias("severity"), F.col("deal_id").alias("check"))
+    drafts = t.messages(s, d).filter("direction = 'outbound'").select(F.col("conversation_id").alias("company_id"), F.when(F.col("turn") % 3 == 0, "email").when(F.col("turn") % 3 == 1, "whatsapp").otherwise("proposal").alias("kind"))
+    return r.dossier_view(t.companies(s, d), summaries, findings, deals.select("company_id", F.col("amount_usd").alias("score"), F.col("deal_id").alias("id")), drafts)
+
+
+def found_leads(s, d):
+    """Leads are companies; those with an even id are known already."""
+    c = t.companies(s, d).join(t.table(s, d, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_acctbal").alias("rating")), "company_id")
+    leads = c.select("host", "name", F.col("industry").alias("niche"), "city", "rating")
+    return r.lead_search(leads.unionByName(leads.filter("rating > 0")), c.filter("company_id % 2 = 0"), "Building", "China", 20)
 
 
 CLAIMED = ["id", "agent_name", "status", "priority", "available_at", "leased_until", "started_at", "attempt_count"]
@@ -72,6 +100,9 @@ QUERIES = {
     "company_view_latest": lambda s, d: r.company_view(t.companies(s, d), t.artifacts(s, d)),
     "soft_delete": lambda s, d: t.companies(s, d).groupBy("tenant_id").agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted")),
     "dossier_bundle": bundle,
+    "dossier_view": dossiers,
+    "lead_search": found_leads,
+    "company_timeline": lambda s, d: r.timeline(t.event_log(s, d)),
     "cache_hits": lambda s, d: r.cache_hits(asked(s, d), t.artifacts(s, d)),
     "cache_misses": lambda s, d: r.cache_misses(asked(s, d), t.artifacts(s, d)),
     "dedupe_by_host": hosts,
@@ -137,9 +168,29 @@ SELECT *, TRUE AS created FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM base b WH
 SELECT c.company_id, c.industry, CAST(COALESCE(b.uplift, g.uplift) AS DOUBLE) AS uplift, CAST(COALESCE(b.lead_value, g.lead_value) AS DOUBLE) AS lead_value, b.industry IS NULL AS is_default
 FROM ({COMPANIES}) c LEFT JOIN {BASELINES} ON c.industry = b.industry CROSS JOIN (SELECT * FROM {BASELINES} WHERE industry = 'global') g""",
     "correlate_runs": f"""
-SELECT j.company_id, jobs, calls, cost_usd, last_event FROM (SELECT company_id, count(*) AS jobs FROM ({JOBS}) GROUP BY 1) j
-JOIN (SELECT company_id, count(*) AS calls, round(sum(cost_usd), 4) AS cost_usd FROM ({t.LLM_CALLS_SQL}) GROUP BY 1) c ON j.company_id = c.company_id
-JOIN (SELECT company_id, max(occurred_at) AS last_event FROM ({t.EVENT_LOG_SQL}) GROUP BY 1) e ON j.company_id = e.company_id""",
+WITH j AS (SELECT CAST(company_id AS VARCHAR) || '/' || strftime(DATE '2024-01-01' + CAST(id % 30 AS INTEGER), '%Y-%m-%d') AS correlation_id, count(*) AS jobs, count(*) FILTER (WHERE status = 'failed') AS failed FROM ({JOBS}) GROUP BY 1),
+c AS (SELECT CAST(company_id AS VARCHAR) || '/' || strftime(occurred_at, '%Y-%m-%d') AS correlation_id, count(*) AS calls, round(sum(cost_usd), 4) AS cost_usd FROM ({t.LLM_CALLS_SQL}) GROUP BY 1),
+e AS (SELECT correlation_id, count(*) AS events, min(occurred_at) AS first_event, max(occurred_at) AS last_event FROM ({t.EVENT_LOG_SQL}) GROUP BY 1),
+k AS (SELECT correlation_id FROM j UNION SELECT correlation_id FROM c UNION SELECT correlation_id FROM e)
+SELECT k.correlation_id, COALESCE(jobs, 0) AS jobs, COALESCE(failed, 0) AS failed, COALESCE(calls, 0) AS calls, cost_usd, COALESCE(events, 0) AS events, first_event, last_event
+FROM k LEFT JOIN j ON k.correlation_id = j.correlation_id LEFT JOIN c ON k.correlation_id = c.correlation_id LEFT JOIN e ON k.correlation_id = e.correlation_id""",
+    "dossier_view": f"""
+WITH s AS (SELECT company_id, max_by(input_hash, artifact_id) AS summary FROM ({ARTIFACTS}) GROUP BY 1),
+f AS (SELECT company_id, string_agg(CAST(deal_id AS VARCHAR), ',' ORDER BY k) AS findings FROM (
+  SELECT company_id, deal_id, row_number() OVER (PARTITION BY company_id ORDER BY CAST(trunc(amount_usd % 4) AS INTEGER) DESC, deal_id) AS k FROM ({DEALS}) WHERE stage <> 'won') WHERE k <= 5 GROUP BY 1),
+o AS (SELECT company_id, string_agg(CAST(deal_id AS VARCHAR), ',' ORDER BY k) AS opportunities FROM (
+  SELECT company_id, deal_id, row_number() OVER (PARTITION BY company_id ORDER BY amount_usd DESC, deal_id) AS k FROM ({DEALS})) WHERE k <= 5 GROUP BY 1),
+d AS (SELECT conversation_id AS company_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS drafts FROM (
+  SELECT conversation_id, CASE turn % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'whatsapp' ELSE 'proposal' END AS kind FROM ({MESSAGES}) WHERE direction = 'outbound') GROUP BY 1)
+SELECT c.company_id, name, summary, COALESCE(findings, '') AS findings, COALESCE(opportunities, '') AS opportunities, COALESCE(drafts, '') AS drafts
+FROM ({COMPANIES}) c LEFT JOIN s ON c.company_id = s.company_id LEFT JOIN f ON c.company_id = f.company_id LEFT JOIN o ON c.company_id = o.company_id LEFT JOIN d ON c.company_id = d.company_id
+WHERE deleted_at IS NULL""",
+    "lead_search": f"""
+SELECT host, rating, name FROM (SELECT host, max(c_acctbal) AS rating, max(name) AS name FROM ({COMPANIES}) c JOIN customer ON c_custkey = company_id WHERE industry = 'building' AND city = 'china' AND company_id % 2 = 1 GROUP BY 1)
+ORDER BY rating DESC, host LIMIT 20""",
+    "company_timeline": f"""
+SELECT company_id, event_id, type, occurred_at, row_number() OVER w AS position, CAST(floor(epoch(occurred_at)) - floor(epoch(lag(occurred_at) OVER w)) AS BIGINT) AS seconds
+FROM ({t.EVENT_LOG_SQL}) WINDOW w AS (PARTITION BY company_id ORDER BY occurred_at, event_id)""",
     "artifact_sizes": f"SELECT agent_name, count(DISTINCT input_hash) AS inputs, CAST(sum(payload_bytes) AS BIGINT) AS bytes, max(payload_bytes) AS largest FROM ({ARTIFACTS}) GROUP BY 1",
     "queue_claim": f"SELECT id, agent_name, {_CLAIM} FROM (SELECT * {_FREE} ORDER BY priority, available_at, id LIMIT 4)",
     "queue_claim_permits": f"""

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldnotes.functions import money, text as x, urls
+from fieldnotes import scratch
 from fieldnotes.operators import pages as p, rules, validators as v
 from fieldnotes.plans.inline import Rows
 from fieldnotes.plans.relations import SERVICES
-from fieldnotes.sources import tables as t
+from fieldnotes.sources import files, tables as t
 
 HTML = Rows(
     "page_id long, url string, html string, server string, powered string",
     (
         1,
         "https://Shop.example.com/About?utm_source=x&b=2#top",
-        '<html><head><title> Blue  Shop </title><meta name="viewport" content="w"><meta name="generator" content="WordPress 6"><meta name="description" content="Shoes"><link rel="icon" href="/f.ico"><script src="/wp-includes/a.js"></script><script src="https://www.googletagmanager.com/gtag/js?id=1"></script><script type="application/ld+json">{"@type": "LocalBusiness"}</script></head><body><nav>menu here</nav><h1>Blue <b>Shop</b></h1><p>We sell &amp; mend shoes.</p><table><tr><td>9</td></tr></table><a href="mailto:Hi@Shop.example.com">mail</a><a href="https://wa.me/971500000000">chat</a><a href="https://instagram.com/blueshop">ig</a><a href="/services/repair">repair</a>+971 50 123 4567 cookie<!-- wp-content/ --></body></html>',
+        '<html><head><title> Blue  Shop </title><meta name="viewport" content="w"><meta name="generator" content="WordPress 6"><meta name="description" content="Shoes"><link rel="icon" href="/f.ico"><script src="/wp-includes/a.js"></script><script src="https://www.googletagmanager.com/gtag/js?id=1"></script><script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": ["Organization", "Dentist"]}, {"@type": "WebSite"}]}</script></head><body><nav>menu here</nav><h1>Blue <b>Shop</b></h1><p>We sell &amp; mend shoes.</p><table><tr><td>9</td></tr></table><a href="mailto:Hi@Shop.example.com">mail</a><a href="https://wa.me/971500000000">chat</a><a href="https://instagram.com/blueshop">ig</a><a href="/services/repair">repair</a>+971 50 123 4567 cookie<!-- wp-content/ --></body></html>',
         "cloudflare",
         "PHP/8",
     ),
@@ -79,7 +80,20 @@ ESTIMATES = Rows(
     ("c", 1.0, 50000.0, 60000.0, 9000.0, 50001.0, ["x"]),
     ("d", 1.0, 50001.0, 60000.0, 9000.0, 1.0, ["1", "2", "3", "4", "5", "6"]),
 )
+PROPOSALS = Rows(
+    "draft_id long, executive_summary string, the_problem string, what_we_propose string, expected_outcome string",
+    (1, " ".join(["w"] * 80), " ".join(["w"] * 120), " ".join(["w"] * 160), " ".join(["w"] * 120)),
+    (2, " ".join(["w"] * 81), "a b", "c", ""),
+    (3, None, " ".join(["w"] * 121), " ".join(["w"] * 161), " ".join(["w"] * 121)),
+)
+CONTRACTS = Rows(
+    "id string, evidence array<string>, value_props array<string>, talking_points array<string>, objections array<string>",
+    ("a", ["1", "2", "3"], ["x" * 100], ["t"], []),
+    ("b", ["1", "2"], ["x" * 101, "y"], ["1", "2", "3"], ["1", "2", "3"]),
+    ("c", None, ["1", "2", "3", "4", "5", "6"], ["1", "2", "3", "4"], None),
+)
 OFFERS = Rows("company_id string, id string, priority_score double, evidence long", *[(c, s, round(0.9 - 0.1 * (i % 4), 2), 1 + i % 3) for c, n in (("c1", 11), ("c2", 3), ("c3", 2)) for i, s in enumerate([*SERVICES, "hologram"][-n:])])
+ROI = Rows("opportunity_id string, expected double, assumptions array<string>", *[(x, 400.0 * (i + 1), ["a"] * (i % 3)) for i, x in enumerate(SERVICES[::2])])
 QUOTES = Rows("lead_id string, floor_usd double, ceiling_usd double, ups long, downs long, asked double", ("a", 5000.0, 25000.0, 0, 0, 0.1), ("b", 5000.0, 25000.0, 2, 0, 0.5), ("c", 500.0, 1500.0, 0, 2, -0.1), ("d", 1500.0, 5000.0, 1, 1, 0.2))
 AUDITS = Rows("site string, total_words long, confidence double, performance double, seo double", ("a", 199, 0.5, 49.9, 70.0), ("b", 200, 0.49, 50.0, 69.9), ("c", None, None, 90.0, None))
 BUDGET_PAGES, BUDGET_BYTES = 25, 40_000
@@ -93,6 +107,36 @@ def headed(s):
     return rows.withColumn("headers", named)
 
 
+def crawled(s, d):
+    """The table's pages with headers of their own: a server for each, and of every third the rest."""
+    pages = t.table(s, d, "pages").select("page_id", "url", "html")
+    server = F.when(F.col("page_id") % 2 == 0, "cloudflare").otherwise("nginx")
+    strict = F.when(F.col("page_id") % 3 == 0, "max-age=31536000")
+    named = F.create_map(F.lit("Server"), server, F.lit("Strict-Transport-Security"), strict)
+    return pages.withColumn("headers", F.map_filter(named, lambda k, value: value.isNotNull()))
+
+
+def proposed(s, d):
+    """A proposal from each document: four pieces of its text."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    piece = lambda at, n: F.array_join(F.slice(words, at, n), " ")
+    return t.table(s, d, "documents").select(F.col("doc_id").alias("draft_id"), piece(1, 100).alias("executive_summary"), piece(101, 119).alias("the_problem"), piece(1, 170).alias("what_we_propose"), piece(20, 130).alias("expected_outcome"))
+
+
+def mail_drafts(s, d):
+    """A draft from each turn of a conversation: its first words as subject, the next two as anchors."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    c = t.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("draft_id"), "text", words.alias("w"))
+    return c.select("draft_id", F.array_join(F.slice("w", 1, 6), " ").alias("subject"), F.col("text").alias("body"), F.slice("w", 2, 2).alias("anchors"), F.slice("w", 3, 1).alias("phrases"))
+
+
+def submitted(s, d):
+    """The pages' addresses as a bulk file, read back as a list of URLs."""
+    path = scratch.folder(s, "urls.csv")
+    t.table(s, d, "pages").select("url").write.csv(path, header=True)
+    return files.url_list(s, path).select(urls.normalise(F.col("url")).alias("url")).groupBy("url").agg(F.count("*").alias("submitted")).withColumn("company_id", F.sha2(urls.host_of(F.col("url")), 256))
+
+
 def frontier(s, d):
     pages = t.table(s, d, "pages")
     return pages.select("page_id", (F.col("page_id") % 5).alias("host"), urls.depth(F.col("url")).alias("depth"), F.octet_length("html").cast("long").alias("bytes"))
@@ -126,14 +170,15 @@ def mails(s, d):
 QUERIES = {
     "url_normalise": lambda s, d: t.table(s, d, "pages").select("page_id", urls.normalise(F.col("url")).alias("url")),
     "host_extract": lambda s, d: t.table(s, d, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.slug(urls.host_of(F.col("url"))).alias("slug"), urls.depth(F.col("url")).alias("depth")),
-    "bulk_url_ingest": lambda s, d: t.table(s, d, "pages").select(urls.normalise(F.col("url")).alias("url")).groupBy("url").agg(F.count("*").alias("submitted")).withColumn("company_id", F.sha2(urls.host_of(F.col("url")), 256)),
+    "bulk_url_ingest": submitted,
     "page_facts": lambda s, d: p.page_facts(t.table(s, d, "pages")),
     "page_headings": lambda s, d: p.page_headings(t.table(s, d, "pages")),
     "page_markdown": lambda s, d: t.table(s, d, "pages").select("page_id", "html").unionByName(HTML.df(s).select("page_id", "html")).select("page_id", F.sha2(x.markdown(F.col("html")), 256).alias("markdown_sha256"), F.length(x.markdown(F.col("html"))).cast("long").alias("chars")),
     "site_words": lambda s, d: p.site_words(t.table(s, d, "pages").select("url", "html").unionByName(HTML.df(s).select("url", "html"))),
     "crawl_budget": lambda s, d: p.crawl_budget(frontier(s, d), BUDGET_PAGES, BUDGET_BYTES),
     "seo_findings": lambda s, d: p.seo_findings(HTML.df(s)),
-    "seo_findings_pages": lambda s, d: p.seo_findings(t.table(s, d, "pages")).groupBy("check", "severity").agg(F.count("*").alias("pages")),
+    "seo_findings_pages": lambda s, d: p.seo_findings(crawled(s, d)).groupBy("check", "severity").agg(F.count("*").alias("pages")),
+    "site_findings": lambda s, d: p.site_findings(t.table(s, d, "pages").select("url").unionByName(HTML.df(s).select("url"))),
     "severity_counts": lambda s, d: p.severity_counts(p.seo_findings(HTML.df(s))),
     "top_findings": lambda s, d: p.top_findings(p.seo_findings(HTML.df(s))),
     "contact_facts": lambda s, d: p.as_lists(p.contact_facts(HTML.df(s))),
@@ -143,9 +188,16 @@ QUERIES = {
     "language_skips": skipped,
     "input_hashes": hashes,
     "tech_signals": lambda s, d: rules.detect(headed(s), SIGNALS.df(s)),
+    "tech_signals_pages": lambda s, d: rules.detect(crawled(s, d), SIGNALS.df(s)).groupBy("name", "category", "confidence").agg(F.count("*").alias("pages")),
+    "stack_gaps_pages": lambda s, d: rules.gaps(crawled(s, d), rules.detect(crawled(s, d), SIGNALS.df(s))).groupBy("category").agg(F.count("*").alias("pages")),
+    "contact_facts_pages": lambda s, d: p.as_lists(p.contact_facts(t.table(s, d, "pages"))),
     "stack_gaps": lambda s, d: rules.gaps(headed(s), rules.detect(headed(s), SIGNALS.df(s))),
     "email_compliance": lambda s, d: v.email_compliance(DRAFTS.df(s)),
     "whatsapp_compliance": lambda s, d: v.whatsapp_compliance(DRAFTS.df(s)),
+    "email_compliance_turns": lambda s, d: v.email_compliance(mail_drafts(s, d)),
+    "whatsapp_compliance_turns": lambda s, d: v.whatsapp_compliance(mail_drafts(s, d)),
+    "proposal_caps": lambda s, d: v.proposal_caps(PROPOSALS.df(s).unionByName(proposed(s, d).withColumn("draft_id", F.col("draft_id") + 1_000_000))),
+    "list_contracts": lambda s, d: v.list_contracts(CONTRACTS.df(s)),
     "verbatim_quotes": lambda s, d: v.verbatim_quotes(DRAFTS.df(s)).select("draft_id", "quoted"),
     "contract_sizes": lambda s, d: v.size_rules(DRAFTS.df(s).select("draft_id", "anchors", "phrases"), {"anchors": (1, 2), "phrases": (1, 3)}),
     "threshold_guards": lambda s, d: v.guards(AUDITS.df(s)),
@@ -153,7 +205,7 @@ QUERIES = {
     "roi_bounds": lambda s, d: v.roi_bounds(ESTIMATES.df(s)),
     "price_quote": lambda s, d: QUOTES.df(s).select("lead_id", money.quote(F.col("floor_usd"), F.col("ceiling_usd"), F.col("ups"), F.col("downs")).alias("price"), money.discounted(F.col("ceiling_usd"), F.col("asked")).alias("discounted"), money.convert(F.col("floor_usd"), F.lit(3.6725)).alias("floor_aed")),
     "rank_opportunities": lambda s, d: v.rank_opportunities(OFFERS.df(s), s.createDataFrame([(i,) for i in SERVICES], "id string")),
-    "estimates_for_opportunities": lambda s, d: OFFERS.df(s).withColumn("opportunity_id", F.substring("id", 1, 1)).join(ESTIMATES.df(s), "opportunity_id").select("company_id", "id", "opportunity_id", "expected"),
+    "estimates_for_opportunities": lambda s, d: OFFERS.df(s).join(ROI.df(s).withColumnRenamed("opportunity_id", "id"), "id").select("company_id", "id", "expected", "assumptions"),
     "template_fill": lambda s, d: t.companies(s, d).select("company_id", x.fill(F.lit(TEMPLATE), {"name": F.col("name"), "host": F.col("host"), "city": F.col("city")}).alias("text")),
 }
 
@@ -201,50 +253,94 @@ def _markdown() -> str:
     return rf"trim(regexp_replace(regexp_replace({out}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'))"
 
 
+def _ld_types(html: str) -> str:
+    """The list of types of a page's JSON-LD, with repeats."""
+    blocks = rf"regexp_extract_all({html}, '{_q(x.LD_BLOCK)}', 1)"
+    found = rf"flatten(list_transform({blocks}, lambda k: regexp_extract_all(k, '{_q(x.LD_TYPE)}', 1)))"
+    return rf"""flatten(list_transform({found}, lambda k: regexp_extract_all(k, '"([^"]+)"', 1)))"""
+
+
 _PASSED = {
     "viewport": """regexp_matches(html, '(?i)<meta\\b[^>]*name=["'']viewport')""",
     "favicon": """regexp_matches(html, '(?i)<link\\b[^>]*rel=["''](?:shortcut )?icon')""",
     "og_image": """regexp_matches(html, '(?i)<meta\\b[^>]*property=["'']og:image')""",
-    "schema_org": r"regexp_matches(html, '(?i)application/ld\+json')",
+    "schema_org": f"len(list_filter({_ld_types('html')}, lambda q: q IN ({', '.join(repr(b) for b in p.BUSINESS)}))) > 0",
     "https": "starts_with(lower(url), 'https://')",
     "analytics": r"regexp_matches(html, '(?i)googletagmanager\.com|plausible\.io|google-analytics\.com')",
     "cookie_banner": "regexp_matches(html, '(?i)cookie')",
-    "contact": """regexp_matches(html, '(?i)href=["''](?:mailto:|tel:)')""",
+    "contact": rf"""(regexp_matches(html, '{x.EMAIL}') OR regexp_matches(html, '{x.PHONE}') OR regexp_matches(html, '(?i)href=["'']tel:\+?[0-9]{{7,15}}'))""",
+    "hsts": "page_id % 3 = 0",
     "whatsapp": f"regexp_matches(html, '{_q(x.WHATSAPP)}')",
     "booking": r"regexp_matches(html, '(?i)calendly\.com|/book(?:ing)?\b')",
 }
 
 
-def _findings(pages: str) -> str:
-    return " UNION ALL ".join(f"SELECT page_id, '{n}' AS \"check\", '{c}' AS category, '{g}' AS severity FROM {pages} WHERE NOT {_PASSED[n]}" for n, c, g in p.CHECKS)
+def _findings(pages: str, hsts: bool = False) -> str:
+    return " UNION ALL ".join(
+        f"SELECT page_id, '{n}' AS \"check\", '{c}' AS category, '{g}' AS severity, '{title}' AS title, '{hint}' AS fix_hint, url AS evidence_url, substr(html, 1, {p.EXCERPT}) AS evidence_excerpt FROM {pages} WHERE NOT {_PASSED[n]}"
+        for n, c, g, title, hint in p.CHECKS
+        if hsts or n != "hsts"
+    )
 
 
-def _facts() -> str:
+def _facts(source: str = HTML.sql) -> str:
     parts = [
-        f"SELECT {_HOST} AS host, 'email' AS kind, lower(unnest(regexp_extract_all(html, '{x.EMAIL}'))) AS value FROM {HTML.sql}",
-        f"SELECT {_HOST} AS host, 'phone' AS kind, regexp_replace(unnest(regexp_extract_all(html, '{x.PHONE}')), '[^0-9+]', '', 'g') AS value FROM {HTML.sql}",
-        f"SELECT {_HOST} AS host, 'whatsapp' AS kind, unnest(regexp_extract_all(html, '{_q(x.WHATSAPP)}')) AS value FROM {HTML.sql}",
-        rf"SELECT {_HOST} AS host, 'schema' AS kind, json_extract_string(unnest(regexp_extract_all(html, '(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)), '$.@type') AS value FROM {HTML.sql}",
+        f"SELECT {_HOST} AS host, 'email' AS kind, lower(unnest(regexp_extract_all(html, '{x.EMAIL}'))) AS value FROM {source}",
+        f"SELECT {_HOST} AS host, 'phone' AS kind, regexp_replace(unnest(regexp_extract_all(html, '{x.PHONE}')), '[^0-9+]', '', 'g') AS value FROM {source}",
+        f"SELECT {_HOST} AS host, 'whatsapp' AS kind, unnest(regexp_extract_all(html, '{_q(x.WHATSAPP)}')) AS value FROM {source}",
+        f"SELECT {_HOST} AS host, 'schema' AS kind, unnest({_ld_types('html')}) AS value FROM {source}",
     ]
-    parts += [f"SELECT {_HOST} AS host, '{n}' AS kind, unnest(regexp_extract_all(html, 'https?://(?:[a-z]+\\.)?{q}/[A-Za-z0-9_./-]+')) AS value FROM {HTML.sql}" for n, q in p.NETWORKS.items()]
+    parts += [f"SELECT {_HOST} AS host, '{n}' AS kind, unnest(regexp_extract_all(html, 'https?://(?:[a-z]+\\.)?{q}/[A-Za-z0-9_./-]+')) AS value FROM {source}" for n, q in p.NETWORKS.items()]
     return " UNION ".join(parts)
 
 
-_VALUES = f"""
-SELECT page_id, 'html' AS kind, NULL AS header, html AS value FROM {HTML.sql} UNION ALL
-SELECT page_id, 'meta_generator', NULL, {_META("generator")} FROM {HTML.sql} UNION ALL
-SELECT page_id, 'script_src', NULL, unnest({_SRC}) FROM {HTML.sql} UNION ALL
+def _values(pages: str) -> str:
+    return f"""
+SELECT page_id, 'html' AS kind, NULL AS header, html AS value FROM {pages} UNION ALL
+SELECT page_id, 'meta_generator', NULL, {_META("generator")} FROM {pages} UNION ALL
+SELECT page_id, 'script_src', NULL, unnest({_SRC}) FROM {pages} UNION ALL
+SELECT page_id, 'json_ld', NULL, unnest({_ld_types('html')}) FROM {pages}"""
+
+
+_VALUES = f"""{_values(HTML.sql)} UNION ALL
 SELECT page_id, 'header', 'server', server FROM {HTML.sql} UNION ALL SELECT page_id, 'header', 'x-powered-by', powered FROM {HTML.sql}"""
-_TECH = f"""
+_CRAWLED = f"{_values('pages')} UNION ALL SELECT page_id, 'header', 'server', CASE WHEN page_id % 2 = 0 THEN 'cloudflare' ELSE 'nginx' END FROM pages"
+
+
+def _tech(values: str) -> str:
+    return f"""
 SELECT page_id, name, category, round(least(sum(weight), 1.0), 6) AS confidence, count(*) AS signals FROM (
-  SELECT DISTINCT v.page_id, r.name, r.category, r.kind, r.regex, r.weight FROM ({_VALUES}) v JOIN {SIGNALS.sql} r
+  SELECT DISTINCT v.page_id, r.name, r.category, r.kind, r.regex, r.weight FROM ({values}) v JOIN {SIGNALS.sql} r
   ON v.kind = r.kind AND v.header IS NOT DISTINCT FROM lower(r.header) AND regexp_matches(v.value, r.regex) WHERE v.value <> '')
 GROUP BY 1, 2, 3 HAVING round(least(sum(weight), 1.0), 6) > 0.5"""
+
+
+_TECH = _tech(_VALUES)
 _SCORE = " + ".join(f"CASE WHEN contains(lower(link), '{k}') THEN {w} ELSE 0 END" for k, w in p.KEYWORDS.items())
 _ANCHORS = "CAST(len(list_filter(anchors, lambda q: contains(lower(body), lower(q)))) AS BIGINT)"
 _EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 _BANNED = f"array_to_string(list_filter([{', '.join(repr(b) for b in v.BANNED)}], lambda q: contains(lower(body), q)), ',')"
 
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda q: q <> '')"
+_TURNS = f"""SELECT conv_id * 1000 + turn AS draft_id, array_to_string(list_slice({_WORDS}, 1, 6), ' ') AS subject, text AS body,
+  list_slice({_WORDS}, 2, 3) AS anchors, list_slice({_WORDS}, 3, 3) AS phrases FROM conversations"""
+_PROPOSED = f"""SELECT doc_id AS draft_id, array_to_string(list_slice({_WORDS}, 1, 100), ' ') AS a, array_to_string(list_slice({_WORDS}, 101, 219), ' ') AS b,
+  array_to_string(list_slice({_WORDS}, 1, 170), ' ') AS c, array_to_string(list_slice({_WORDS}, 20, 149), ' ') AS e FROM documents"""
+
+
+def _email(drafts: str) -> str:
+    return rf"""
+SELECT *, words <= 120 AND subject_words <= 7 AND anchors >= 2 AND banned = '' AND emojis = 0 AND NOT bracketed AS ok FROM (
+  SELECT draft_id, {_count("body")} AS words, {_count("subject")} AS subject_words, {_ANCHORS} AS anchors, {_BANNED} AS banned,
+    CAST(len(regexp_extract_all(subject, '{_EMOJI}')) AS BIGINT) AS emojis, regexp_matches(subject, '^\s*\[') AS bracketed FROM {drafts})"""
+
+
+def _whatsapp(drafts: str) -> str:
+    return rf"""
+SELECT *, words <= 40 AND NOT has_url AND emojis <= 1 AND anchors >= 1 AS ok FROM (
+  SELECT draft_id, {_count("body")} AS words, regexp_matches(body, '{v.URL}') AS has_url, CAST(len(regexp_extract_all(body, '{_EMOJI}')) AS BIGINT) AS emojis, {_ANCHORS} AS anchors FROM {drafts})"""
+
+
 SQL = {
     "url_normalise": f"SELECT page_id, {_NORMAL} AS url FROM pages",
     "host_extract": f"SELECT page_id, {_HOST} AS host, replace({_HOST}, '.', '-') AS slug, {_DEPTH} AS depth FROM pages",
@@ -263,7 +359,11 @@ SELECT page_id, host, depth, bytes, rank, CAST(bytes_so_far AS BIGINT) AS bytes_
   FROM (SELECT page_id, page_id % 5 AS host, {_DEPTH} AS depth, CAST(strlen(html) AS BIGINT) AS bytes FROM pages) WINDOW w AS (PARTITION BY host ORDER BY depth, page_id))
 WHERE rank <= {BUDGET_PAGES} AND bytes_so_far <= {BUDGET_BYTES}""",
     "seo_findings": _findings(HTML.sql),
-    "seo_findings_pages": f"SELECT \"check\", severity, count(*) AS pages FROM ({_findings('pages')}) GROUP BY 1, 2",
+    "seo_findings_pages": f"SELECT \"check\", severity, count(*) AS pages FROM ({_findings('pages', True)}) GROUP BY 1, 2",
+    "site_findings": rf"""
+WITH s AS (SELECT {_HOST} AS host, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM (SELECT url FROM pages UNION ALL SELECT url FROM {HTML.sql})),
+h AS (SELECT host, count(*) FILTER (WHERE path = '/robots.txt') AS r, count(*) FILTER (WHERE path = '/sitemap.xml') AS m, count(*) FILTER (WHERE contains(path, 'contact')) AS c FROM s GROUP BY 1)
+SELECT host, 'robots_txt' AS "check", 'low' AS severity FROM h WHERE r = 0 UNION ALL SELECT host, 'sitemap_xml', 'low' FROM h WHERE m = 0 UNION ALL SELECT host, 'contact_page', 'medium' FROM h WHERE c = 0""",
     "severity_counts": f"SELECT severity, count(*) AS findings, count(DISTINCT page_id) AS pages FROM ({_findings(HTML.sql)}) GROUP BY 1",
     "top_findings": f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, "check") AS rank
@@ -284,13 +384,23 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DES
     "stack_gaps": f"""
 SELECT g.page_id, g.category FROM (SELECT page_id, unnest([{', '.join(repr(c) for c in rules.GAPS)}]) AS category FROM {HTML.sql}) g
 WHERE NOT EXISTS (SELECT 1 FROM ({_TECH}) t WHERE t.page_id = g.page_id AND t.category = g.category)""",
-    "email_compliance": rf"""
-SELECT *, words <= 120 AND subject_words <= 7 AND anchors >= 2 AND banned = '' AND emojis = 0 AND NOT bracketed AS ok FROM (
-  SELECT draft_id, {_count("body")} AS words, {_count("subject")} AS subject_words, {_ANCHORS} AS anchors, {_BANNED} AS banned,
-    CAST(len(regexp_extract_all(subject, '{_EMOJI}')) AS BIGINT) AS emojis, regexp_matches(subject, '^\s*\[') AS bracketed FROM {DRAFTS.sql})""",
-    "whatsapp_compliance": rf"""
-SELECT *, words <= 40 AND NOT has_url AND emojis <= 1 AND anchors >= 1 AS ok FROM (
-  SELECT draft_id, {_count("body")} AS words, regexp_matches(body, '{v.URL}') AS has_url, CAST(len(regexp_extract_all(body, '{_EMOJI}')) AS BIGINT) AS emojis, {_ANCHORS} AS anchors FROM {DRAFTS.sql})""",
+    "tech_signals_pages": f"SELECT name, category, confidence, count(*) AS pages FROM ({_tech(_CRAWLED)}) GROUP BY 1, 2, 3",
+    "stack_gaps_pages": f"""
+SELECT g.category, count(*) AS pages FROM (SELECT page_id, unnest([{', '.join(repr(c) for c in rules.GAPS)}]) AS category FROM pages) g
+WHERE NOT EXISTS (SELECT 1 FROM ({_tech(_CRAWLED)}) t WHERE t.page_id = g.page_id AND t.category = g.category) GROUP BY 1""",
+    "contact_facts_pages": f"SELECT host, kind, array_to_string(list_sort(list(value)), ',') AS found, count(*) AS n FROM ({_facts('pages')}) WHERE value IS NOT NULL GROUP BY 1, 2",
+    "email_compliance": _email(DRAFTS.sql),
+    "whatsapp_compliance": _whatsapp(DRAFTS.sql),
+    "email_compliance_turns": _email(f"({_TURNS})"),
+    "whatsapp_compliance_turns": _whatsapp(f"({_TURNS})"),
+    "proposal_caps": f"""
+SELECT *, executive_summary <= 80 AND the_problem <= 120 AND what_we_propose <= 160 AND expected_outcome <= 120 AS ok FROM (
+  SELECT draft_id, {", ".join(f"COALESCE({_count(n)}, 0) AS {n}" for n in v.SECTIONS)} FROM (SELECT * FROM {PROPOSALS.sql} UNION ALL SELECT draft_id + 1000000, a, b, c, e FROM ({_PROPOSED})))""",
+    "list_contracts": f"""
+SELECT *, evidence_ok AND value_props_ok AND talking_points_ok AND objections_ok AS ok FROM (
+  SELECT id, COALESCE(len(evidence), 0) >= 3 AS evidence_ok, COALESCE(len(value_props), 0) <= 5 AND COALESCE(len(list_filter(value_props, lambda q: length(q) > 100)), 0) = 0 AS value_props_ok,
+    COALESCE(len(talking_points), 0) <= 3 AS talking_points_ok, COALESCE(len(objections), 0) <= 3 AS objections_ok,
+    COALESCE(list_max(list_transform(value_props, lambda q: length(q))), 0) AS longest_value_prop FROM {CONTRACTS.sql})""",
     "verbatim_quotes": f"SELECT draft_id, len(list_filter(phrases, lambda q: contains(body, q))) > 0 AS quoted FROM {DRAFTS.sql}",
     "contract_sizes": f"SELECT draft_id, len(anchors) BETWEEN 1 AND 2 AS anchors_ok, len(phrases) BETWEEN 1 AND 3 AS phrases_ok FROM {DRAFTS.sql}",
     "threshold_guards": f"SELECT site, total_words < 200 AS empty_extraction, confidence < 0.5 AS low_confidence, performance < 50 AS rebuild, seo < 70 AS search_fixes FROM {AUDITS.sql}",
@@ -305,6 +415,6 @@ SELECT lead_id, round(greatest(floor_usd * 0.5, least(ceiling_usd * 1.5, (floor_
 SELECT company_id, id, priority_score, evidence, rank, count(*) OVER (PARTITION BY company_id) >= 3 AS enough FROM (
   SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY priority_score DESC, id) AS rank FROM {OFFERS.sql}
   WHERE evidence >= 2 AND id IN ({', '.join(repr(i) for i in SERVICES)})) WHERE rank <= 7""",
-    "estimates_for_opportunities": f"SELECT company_id, id, opportunity_id, expected FROM {OFFERS.sql} o JOIN {ESTIMATES.sql} e ON substr(o.id, 1, 1) = e.opportunity_id",
+    "estimates_for_opportunities": f"SELECT company_id, id, expected, assumptions FROM {OFFERS.sql} o JOIN {ROI.sql} e ON o.id = e.opportunity_id",
     "template_fill": f"SELECT company_id, replace(replace(replace('{TEMPLATE}', '{{{{ name }}}}', name), '{{{{host}}}}', host), '{{{{ city }}}}', city) AS text FROM ({t.COMPANIES_SQL})",
 }

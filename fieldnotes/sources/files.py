@@ -30,11 +30,11 @@ def submit_url(spark: SparkSession, url: str, at: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML rule file, a row per signal; a signal is one of header, html, meta_generator, script_src."""
+    """A YAML rule file, a row per signal; a signal is one of header, html, meta_generator, script_src, json_ld."""
     rows = []
     for rule in yaml.safe_load(Path(path).read_text()) or []:
         for signal in rule.get("signals") or []:
-            kind = next(k for k in ("header", "html", "meta_generator", "script_src") if k in signal)
+            kind = next(k for k in ("header", "html", "meta_generator", "script_src", "json_ld") if k in signal)
             header = signal[kind].lower() if kind == "header" else None
             rows.append((rule["name"], rule["category"], kind, header, signal.get("regex") if header else signal[kind], float(signal.get("weight", DEFAULT_WEIGHT))))
     return spark.createDataFrame(rows, RULE)
@@ -69,3 +69,17 @@ def write_batch(path: str, key: str = "batch_id"):
         batch.withColumn(key, F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
     return write
+
+
+def write_with_event(path: str, events: str, type_: str, key: str = "batch_id"):
+    """A sink for ``foreachBatch`` of (artifact_id, company_id, ...): a batch's artifacts, then an event of a
+    type for each.  Both land in the batch's own partition, so a repeat changes nothing, and an event never
+    comes before its artifact."""
+    artifacts, log = write_batch(path, key), write_batch(events, key)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        artifacts(batch, batch_id)
+        done = batch.sparkSession.read.parquet(path).filter(F.col(key) == batch_id)
+        log(done.select(F.sha2(F.concat_ws("|", F.lit(type_), F.col("artifact_id").cast("string")), 256).alias("id"), F.lit(type_).alias("type"), "artifact_id", "company_id"), batch_id)
+
+    return write

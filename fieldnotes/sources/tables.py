@@ -83,9 +83,9 @@ FROM orders"""
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies, from ``customer`` with its nation (a table of 25 rows)."""
+    """Companies, from ``customer`` with its nation."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    joined = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"])
     return joined.select(
         (F.col("c_custkey") % 5).alias("tenant_id"),
         F.col("c_custkey").alias("company_id"),

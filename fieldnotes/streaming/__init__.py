@@ -1,12 +1,17 @@
-"""Structured Streaming twins of batch operators: the same rows from a growing log."""
+"""Structured Streaming twins of batch operators: the same rows from a growing log.
+
+A stream is followed with a poll interval and a checkpoint, or drained once; either way its rows go to
+Parquet files, never to the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "10 minutes"
@@ -22,11 +27,14 @@ def dedup(events: DataFrame, key: str = "event_id", late: str = WATERMARK) -> Da
     return events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark([key])
 
 
-def fan_in(events: DataFrame, types: list[str], timeout_minutes: int = 10, late: str = WATERMARK) -> DataFrame:
-    """A row per correlation once every type was seen, or one with ``timed_out`` when the watermark
-    passes the timeout from its first event.  State is the types' first times, then a mark that the
-    key is done, kept until the watermark passes it, so a replay within that time isn't emitted again."""
-    need = set(types)
+def fan_in(events: DataFrame, types: list[str], timeout_minutes: int = 10, late: str = WATERMARK, kept_minutes: int = 1440) -> DataFrame:
+    """A row per correlation: at the last of its types' first times if all came within the timeout from the
+    first of them, or else ``timed_out`` at the timeout, once the watermark has passed it.
+
+    State is the types' first times, then a mark that the key is done, kept for ``kept_minutes`` of event
+    time, so that a replay or a late type within that time isn't a new saga.
+    """
+    need, span = set(types), timeout_minutes * 60_000_000
     out = "correlation_id string, completed_at timestamp, timed_out boolean"
     state = "types array<string>, times array<long>, done boolean"
 
@@ -36,30 +44,57 @@ def fan_in(events: DataFrame, types: list[str], timeout_minutes: int = 10, late:
         if s.exists:
             names, times, done = s.get
             first = dict(zip(names, times, strict=True))
+
+        def row(us: int, late: bool) -> pd.DataFrame:
+            return pd.DataFrame({"correlation_id": [key[0]], "completed_at": [pd.Timestamp(us, unit="us")], "timed_out": [late]})
+
         if s.hasTimedOut:
-            s.remove()
-            if not done:
-                at = pd.Timestamp(min(first.values()), unit="us") + pd.Timedelta(minutes=timeout_minutes)
-                yield pd.DataFrame({"correlation_id": [key[0]], "completed_at": [at], "timed_out": [True]})
-            return
-        for batch in batches:
+            if done:
+                s.remove()
+                return
+            yield row(min(first.values()) + span, True)
+            done = True
+        for batch in () if s.hasTimedOut else batches:
             for kind, at in zip(batch["type"], batch["occurred_at"], strict=True):
                 us = pd.Timestamp(at).value // 1000
                 first[kind] = min(first.get(kind, us), us)
-        if not done and need <= first.keys():
+        began = min(first.values())
+        if not done and need == {kind for kind, us in first.items() if us <= began + span}:
             done = True
-            yield pd.DataFrame({"correlation_id": [key[0]], "completed_at": [pd.Timestamp(max(first.values()), unit="us")], "timed_out": [False]})
+            yield row(max(first.values()), False)
         s.update((list(first), list(first.values()), done))
-        deadline = min(first.values()) // 1000 + timeout_minutes * 60_000
-        s.setTimeoutTimestamp(max(deadline, s.getCurrentWatermarkMs() + 1))
+        until = (began + span) // 1000 + (kept_minutes * 60_000 if done else 0)
+        s.setTimeoutTimestamp(max(until, s.getCurrentWatermarkMs() + 1))
 
     wanted = events.filter(F.col("type").isin(types)).select("correlation_id", "type", "occurred_at").withWatermark("occurred_at", late)
     return wanted.groupBy("correlation_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream to the end of what its source has, into a table in memory; for tests and reports."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def _started(stream: DataFrame, path: str, checkpoint: str, mode: str, **trigger) -> StreamingQuery:
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
+    if mode == "append":
+        return writer.outputMode(mode).format("parquet").option("path", path).start()
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        # all groups of a complete result, or the changed ones, each batch in a folder of its own
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}" if mode == "update" else path)
+
+    return writer.outputMode(mode).foreachBatch(replace).start()
+
+
+def follow(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", every: str = "5 seconds") -> StreamingQuery:
+    """Write a stream to Parquet files, polling its source; a restart goes on from the checkpoint."""
+    return _started(stream, path, checkpoint, mode, processingTime=every)
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Write what a stream's source has now to Parquet files, and read them."""
+    _started(stream, path, checkpoint, mode, availableNow=True).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def periodic(spark: SparkSession, step: Callable[[SparkSession, int], None], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
+    """Run ``step(spark, number)`` at an interval, such as a reaper's or a heartbeat's, one at a time; the
+    number goes on after a restart."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, number: step(batch.sparkSession, number)).start()

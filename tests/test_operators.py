@@ -1,12 +1,16 @@
 """Properties and worked cases that the tables don't show."""
 
 import datetime
+import io
 import json
+import pathlib
+import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldnotes import streaming
+from fieldnotes import session, streaming
 from fieldnotes.functions import money, text, urls
 from fieldnotes.operators import cost, events, pages, queue, relational, retrieval, rules, sequencer, validators
 from fieldnotes.plans import costs, inline, web
@@ -152,21 +156,74 @@ def test_fan_in_ignores_order_and_repeats(spark):
     assert {(r["correlation_id"], r["in_time"]) for r in late.collect()} == {("l", 1), ("n", 1)}
 
 
-def test_causation_with_missing_parent_and_depth(spark):
-    log = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "gone")], "id string, causation_id string")
-    assert {tuple(r) for r in events.causation_roots(spark, log).collect()} == {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 3), ("e", "e", 0)}
+def test_causation_with_missing_parent_repeats_depth_and_circles(spark):
+    rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "b"), ("c", "b"), ("d", "c"), ("e", "gone"), ("x", "y"), ("y", "x"), ("z", "x")]
+    rows += [(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(100)]
+    got = [tuple(r) for r in events.causation_roots(spark.createDataFrame(rows, "id string, causation_id string")).collect()]
+    want = {("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "a", 3), ("e", "e", 0), ("x", None, None), ("y", None, None), ("z", None, None)}
+    assert len(got) == len(set(got)) and set(got) == want | {(f"n{i:03}", "n000", i) for i in range(100)}
+    none = spark.createDataFrame([], "id string, causation_id string")
+    assert events.causation_roots(none).collect() == []
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("1", "x", "k", 3), ("2", "y", "k", 1), ("2", "y", "k", 1), ("4", "x", "l", 0), ("6", "x", "n", 0), ("7", "y", "n", 2), ("9", "z", "far", 60 * 24)]
+def test_requests_are_answered_for_a_day_from_the_fresh_one(spark):
+    rows = [("a", "k", m(0)), ("b", "k", m(60 * 30)), ("c", "k", m(60 * 50)), ("d", "k", m(60 * 54)), ("e", "k", m(60 * 24 - 1)), ("f", None, m(0)), ("g", None, m(0)), ("h", "l", m(1)), ("i", "l", m(1))]
+    got = events.idempotent(spark.createDataFrame(rows, "request_id string, idempotency_key string, ts timestamp")).collect()
+    assert {r["request_id"]: r["answered_by"] for r in got} == {"a": "a", "b": "b", "c": "b", "d": "d", "e": "a", "f": "f", "g": "g", "h": "h", "i": "h"}
+
+
+def saga_files(tmp_path):
+    rows = [("1", "x", "k", 3), ("2", "y", "k", 1), ("2", "y", "k", 1), ("4", "x", "l", 0), ("6", "x", "n", 0), ("7", "y", "n", 2), ("8", "x", "o", 0), ("8b", "y", "o", 11), ("9", "x", "far", 60 * 24)]
     for i, (e, kind, key, t) in enumerate(rows):
         (tmp_path / f"{i}.json").write_text(json.dumps({"id": e, "type": kind, "correlation_id": key, "occurred_at": m(t).isoformat()}))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    saga_files(tmp_path)
     stream = files.event_stream(spark, str(tmp_path), ["x", "y"])
-    got = streaming.drain(streaming.fan_in(stream, ["x", "y"]), "fan_in_test").filter("NOT timed_out").select("correlation_id", "completed_at").collect()
+    got = {tuple(r) for r in streaming.drain(streaming.fan_in(stream, ["x", "y"]), f"{tmp_path}/out", f"{tmp_path}/check").collect()}
     batch = events.fan_in(files.replay(spark, str(tmp_path)), ["x", "y"]).collect()
-    assert {tuple(r) for r in got} == {tuple(r) for r in batch} == {("k", m(3)), ("n", m(2))}
-    once = streaming.drain(streaming.dedup(stream, "id"), "dedup_test")
-    assert once.count() == 5
+    late = events.fan_in_timed_out(files.replay(spark, str(tmp_path)), ["x", "y"], at(60 * 24 - 10)).collect()
+    assert {(r["correlation_id"], r["completed_at"], False) for r in batch if r["correlation_id"] != "o"} | {(r["correlation_id"], r["timed_out_at"], True) for r in late} == got
+    assert got == {("k", m(3), False), ("n", m(2), False), ("l", m(10), True), ("o", m(10), True)}
+    once = streaming.drain(streaming.dedup(stream, "id"), f"{tmp_path}/out2", f"{tmp_path}/check2")
+    assert once.count() == 8
+
+
+def test_following_a_log_goes_on_from_its_checkpoint(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+
+    def add(name, rows):
+        (tmp_path / "log" / f"{name}.json").write_text("\n".join(json.dumps({"id": e, "type": "x", "occurred_at": m(t).isoformat()}) for e, t in rows))
+
+    def run():
+        stream = streaming.dedup(files.event_stream(spark, f"{tmp_path}/log"), "id").select("id")
+        query = streaming.follow(stream, f"{tmp_path}/rows", f"{tmp_path}/check", every="1 second")
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+
+    add("a", [("1", 0), ("2", 1), ("1", 2)])
+    assert run() == ["1", "2"]
+    add("b", [("2", 2), ("3", 3)])
+    assert run() == ["1", "2", "3"]
+
+
+def test_periodic_steps_and_artifacts_with_their_events(spark, tmp_path):
+    seen = []
+    query = streaming.periodic(spark, lambda s, number: seen.append(number), f"{tmp_path}/ticks", every="1 second")
+    for _ in range(100):
+        if len(seen) >= 2:
+            break
+        query.awaitTermination(1)
+    query.stop()
+    assert seen[:2] == [0, 1]
+    sink = files.write_with_event(f"{tmp_path}/artifacts", f"{tmp_path}/events", "seo.completed")
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "artifact_id long, company_id long")
+    for _ in range(2):
+        sink(rows, 4)
+    log = spark.read.parquet(f"{tmp_path}/events").collect()
+    assert sorted((r["type"], r["artifact_id"], r["company_id"]) for r in log) == [("seo.completed", 1, 7), ("seo.completed", 2, 8)] and spark.read.parquet(f"{tmp_path}/artifacts").count() == 2
 
 
 def test_stream_times_out(spark, tmp_path):
@@ -200,12 +257,57 @@ def test_sources(spark, tmp_path):
     assert files.submit_url(spark, "http://a.com", "2024-01-01 00:00:00").first()["type"] == "url.submitted"
 
 
-def test_recall_path_by_blocks_equals_broadcast(spark, monkeypatch):
+def test_neighbours_by_blocks_without_broadcast(spark, monkeypatch):
     v = tables.table(spark, SF, "embeddings")
+    odd = spark.createDataFrame([(90001, None, 1), (90002, [0.0] * 64, 1), (90003, [float("nan")] * 64, 2), (90004, [1.0], 3), (None, [0.5] * 64, 1)], "vec_id long, embedding array<float>, label int")
+    v = v.unionByName(odd)
     q = v.filter("vec_id % 100 = 0")
     whole = {tuple(r) for r in retrieval.neighbours(v, q).collect()}
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
-    assert {tuple(r) for r in retrieval.neighbours(v, q, blocks=3).collect()} == whole
+    monkeypatch.setattr(retrieval, "BLOCK", 37)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {tuple(r) for r in retrieval.neighbours(v, q).collect()} == whole and len(whole) == 5 * q.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(1)
+    rows = [("a", float(rng.randrange(50))) for _ in range(500)] + [("b", rng.gauss(0, 1)) for _ in range(801)] + [("c", 3.0), ("d", None)]
+    rows += [("e", 1.0)] * 300 + [("e", 2.0)]
+    got = cost.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()
+    for r in got:
+        have = sorted(v for k, v in rows if k == r["k"])
+        for name, p in (("p0", 0.0), ("p50", 0.5), ("p95", 0.95), ("p100", 1.0)):
+            at_ = p * (len(have) - 1)
+            low, high = have[int(at_)], have[-int(-at_ // 1)]
+            assert abs(r[name] - (low + (at_ - int(at_)) * (high - low))) < 1e-3
+    assert {r["k"] for r in got} == {"a", "b", "c", "e"}
+
+
+def test_types_of_json_ld_wherever_they_stand(spark):
+    html = """<script type="application/ld+json">{"@graph": [{"@type": ["Dentist", "Thing"]}, {"@type": "WebSite"}]}</script><script type="application/ld+json">[{"@type": "Person"}]</script>"""
+    assert spark.range(1).select(text.json_ld_types(F.lit(html)).alias("t")).first()["t"] == ["Dentist", "Person", "Thing", "WebSite"]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "file:/opt/warehouse"}.get(key, default))
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Cluster)
+    Cluster.conf.get = staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "hdfs://n/warehouse/"}.get(key, default))
+    assert session.shared_folder(Cluster) == "hdfs://n/warehouse/_scratch"
+
+
+def test_the_package_is_packed_whole():
+    names = zipfile.ZipFile(io.BytesIO(session.packed(pathlib.Path(session.__file__).parent.parent))).namelist()
+    assert {"fieldnotes/__init__.py", "fieldnotes/session.py", "fieldnotes/plans/flows.py"} <= set(names)
 
 
 def test_costs_around_midnight_and_null_company(spark):
