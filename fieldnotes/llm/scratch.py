@@ -1,39 +1,5 @@
-"""Tables that cut lineage: written once into the shared folder, then read like any input.
+"""Tables that cut lineage, as the engine writes them."""
 
-The folder is ``spark.checkpoint.dir`` of the session (see ``shared_folder`` where that is unset).
-A written table survives the loss of executors.
-"""
+from fieldnotes.scratch import clear, cut, folder
 
-from __future__ import annotations
-
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from fieldnotes.session import shared_folder
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and return a DataFrame that reads the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fieldnotes-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(clear)
-    _made.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete the tables written so far; results that still read them must be consumed first."""
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended; the folder's owner sweeps what is left
-            break
-    _made.clear()
+__all__ = ["clear", "cut", "folder"]
