@@ -9,9 +9,11 @@ its checks), *gazetteer* (top-level domains, calling codes, issuer prefixes, res
 
 Expectation-maximisation estimates each labeler's reliability and each kind's prior from how votes
 agree, without labels.  The result, a posterior for each pattern of votes, trains the final span
-classifier, a logistic model over kind and votes.  Base spans always stay; the classifier decides
-which of the other candidates join them.  Both fits see only the histogram of vote patterns, at most
-4 * 3**4 rows whatever the input, so they run on the driver in plain arithmetic.
+classifier, a logistic model over kind, votes and two marks of the span itself that no labeler sees: how
+many digits it has, and whether it is separated.  Base spans always stay; the classifier decides which of
+the other candidates join them, the likelier of two that overlap.  Both fits see only the histogram of
+votes and marks, at most 4 * 3**4 * 8 rows whatever the input, so they run on the driver in plain
+arithmetic.
 
 Patterns scan left to right without recursion and without quadratic restarts: runs are possessive,
 and a match starts only where its run starts or where the last match ended.  Offsets come from the
@@ -20,8 +22,9 @@ lengths of the pieces between matches, in code points, in one pass.
 Plan: one scan of the texts, no shuffle of documents.  Candidates without text are kept in a table in
 the shared folder; the histogram is a partial aggregate of it, the decision a projection.
 
-Defined cases: null counts as empty; empty texts have no spans; repeated rows each get a row;
-without candidates the classifier adds nothing.
+Defined cases: null counts as empty; empty texts have no spans; repeated rows each get a row; very long
+texts are scanned whole; without candidates the classifier adds nothing; other columns stay, and where
+``into`` names one, it is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import scratch
-from fieldnotes.llm.common import read
+from fieldnotes.llm.common import free_name, read
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context", "shape")
@@ -48,11 +51,11 @@ BASE = {
 }
 WIDE = {
     "email": rf"(?:\G|(?<!{_MAIL})){_MAIL}++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)|00[1-9][0-9]{0,2}|[0-9]{3})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: A text without this has no span of the kind.
-NEEDS = {"email": "@|[\\(\\[]at[\\)\\]]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"[0-9][\x20().-]+[0-9]|\+[0-9]"}
+NEEDS = {"email": "@|[\\(\\[]at[\\)\\]]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"[0-9][\x20().-]+[0-9]|\+[0-9]"}
 
 # Top-level domains that vouch for an address.
 DOMAINS = "com org net edu gov mil int info biz io co ai dev app me example test eu de fr es it nl be at ch uk us ca au nz jp cn in br mx ru pl se no fi dk pt ie cz gr tr ae".split()
@@ -131,6 +134,13 @@ def _gazetteer(kind: str, m: Column) -> Column:
     return _vote(national | abroad, ~(national | abroad))
 
 
+def _marks(m: Column) -> Column:
+    """How many digits a span has (none, under 9, under 13, more), and whether its parts are separated."""
+    n = F.length(_digits(m))
+    some = F.when(n == 0, 0).when(n < 9, 1).when(n < 13, 2).otherwise(3)
+    return F.array(some, m.rlike(r"[0-9][\x20().-]+[0-9]").cast("int"))
+
+
 def _voted(spans: Column, kind: str, base: bool) -> Column:
     """Candidates with their votes; base ones have failed or passed the checks."""
 
@@ -146,13 +156,15 @@ def _voted(spans: Column, kind: str, base: bool) -> Column:
             F.coalesce(ok, F.lit(False)).alias("base"),
             (F.length(_digits(m)).between(13, 19) if kind == "card" else F.lit(True)).alias("fit"),
             F.array(_vote(ok, ~ok) if base else F.lit(0), _gazetteer(kind, m), _vote(before.rlike(FOR[kind]), before.rlike(AGAINST)), _vote(apart, touched)).alias("votes"),
+            _marks(m).alias("marks"),
         )
 
     return F.transform(spans, one)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with an array ``candidates``: kind, start, end, base, votes.
+def candidates(docs: DataFrame, into: str = "candidates") -> DataFrame:
+    """All rows and columns of ``docs`` with an array ``candidates`` (or ``into``): kind, start, end, base,
+    votes, marks.
 
     A match of a base pattern that fails its checks is a candidate for a card only; a wide match
     is one if it touches no base span.
@@ -160,24 +172,31 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     strict = F.flatten(F.array(*[_voted(_all(text, BASE[k], k), k, True) for k in KINDS]))
     wide = F.flatten(F.array(*[_voted(_all(text, WIDE[k], k), k, False) for k in WIDE]))
-    out = docs.withColumn("candidates", F.struct(strict.alias("strict"), wide.alias("wide")))
-    base = F.filter("candidates.strict", lambda s: s["base"])
-    failed = F.filter("candidates.strict", lambda s: ~s["base"] & s["fit"] & (s["kind"] == KINDS.index("card")))
-    out = out.withColumn("candidates", F.struct(base.alias("base"), F.concat(failed, F.col("candidates.wide")).alias("more")))
-    free = F.filter("candidates.more", lambda s: ~F.exists(F.col("candidates.base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    free = F.when(F.size("candidates.more") > 0, free).otherwise(F.col("candidates.more"))
-    return out.withColumn("candidates", F.transform(F.concat(F.col("candidates.base"), free), lambda s: s.dropFields("fit")))
+    out = docs.withColumn(into, F.struct(strict.alias("strict"), wide.alias("wide")))
+    found = F.col(into)
+    base = F.filter(found["strict"], lambda s: s["base"])
+    failed = F.filter(found["strict"], lambda s: ~s["base"] & s["fit"] & (s["kind"] == KINDS.index("card")))
+    out = out.withColumn(into, F.struct(base.alias("base"), F.concat(failed, found["wide"]).alias("more")))
+    free = F.filter(found["more"], lambda s: ~F.exists(found["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.when(F.size(found["more"]) > 0, free).otherwise(found["more"])
+    return out.withColumn(into, F.transform(F.concat(found["base"], free), lambda s: s.dropFields("fit")))
+
+
+Pattern = tuple[int, tuple[int, ...], tuple[int, ...]]
 
 
 class Classifier:
     """Reliabilities by expectation-maximisation, and the logistic model trained on its result."""
 
-    def __init__(self, histogram: dict[tuple[int, tuple[int, ...]], int], rounds: int = 60):
+    def __init__(self, histogram: dict[Pattern, int], rounds: int = 60):
         self.prior = {k: 0.5 for k in range(len(KINDS))}
         self.hit, self.pass_ = [0.8] * len(LABELERS), [0.8] * len(LABELERS)
+        voted: dict[tuple[int, tuple[int, ...]], int] = {}
+        for (kind, votes, _), n in histogram.items():
+            voted[kind, votes] = voted.get((kind, votes), 0) + n
         posterior: dict[tuple[int, tuple[int, ...]], float] = {}
         for _ in range(rounds):
-            for (kind, votes), _n in histogram.items():
+            for kind, votes in voted:
                 yes, no = math.log(self.prior[kind]), math.log(1 - self.prior[kind])
                 for j, v in enumerate(votes):
                     if v:
@@ -185,53 +204,75 @@ class Classifier:
                         no += math.log(1 - self.pass_[j] if v > 0 else self.pass_[j])
                 posterior[kind, votes] = 1 / (1 + math.exp(min(no - yes, 700)))
             for kind in self.prior:
-                n = sum(c for (k, _), c in histogram.items() if k == kind)
-                self.prior[kind] = (1 + sum(c * posterior[k, v] for (k, v), c in histogram.items() if k == kind)) / (2 + n)
+                n = sum(c for (k, _), c in voted.items() if k == kind)
+                self.prior[kind] = (1 + sum(c * posterior[k, v] for (k, v), c in voted.items() if k == kind)) / (2 + n)
             for j in range(len(LABELERS)):
-                good = [(c * posterior[k, v], v[j]) for (k, v), c in histogram.items() if v[j]]
-                bad = [(c * (1 - posterior[k, v]), v[j]) for (k, v), c in histogram.items() if v[j]]
+                good = [(c * posterior[k, v], v[j]) for (k, v), c in voted.items() if v[j]]
+                bad = [(c * (1 - posterior[k, v]), v[j]) for (k, v), c in voted.items() if v[j]]
                 # priors keep a labeler better than chance, so that "personal" stays the tag it means
                 self.hit[j] = min(0.999, max(0.55, (8 + sum(c for c, v in good if v > 0)) / (10 + sum(c for c, _ in good))))
                 self.pass_[j] = min(0.999, max(0.55, (8 + sum(c for c, v in bad if v < 0)) / (10 + sum(c for c, _ in bad))))
         self.posterior = posterior
         self.offset, self.weight = [0.0] * len(KINDS), [1.0] * len(LABELERS)
+        #: By kind and number of digits, and by kind if separated.
+        self.digits, self.parted = [[0.0] * 4 for _ in KINDS], [0.0] * len(KINDS)
         total = sum(histogram.values()) or 1
         for _ in range(400):
             d_offset, d_weight = [-0.001 * x for x in self.offset], [-0.001 * x for x in self.weight]
-            for (kind, votes), n in histogram.items():
-                z = self.offset[kind] + sum(w * v for w, v in zip(self.weight, votes, strict=True))
+            d_digits, d_parted = [[-0.001 * x for x in row] for row in self.digits], [-0.001 * x for x in self.parted]
+            for (kind, votes, (digits, parted)), n in histogram.items():
+                z = self.offset[kind] + self.digits[kind][digits] + self.parted[kind] * parted + sum(w * v for w, v in zip(self.weight, votes, strict=True))
                 error = n / total * (posterior[kind, votes] - 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
                 d_offset[kind] += error
+                d_digits[kind][digits] += error
+                d_parted[kind] += error * parted
                 for j, v in enumerate(votes):
                     d_weight[j] += error * v
             self.offset = [x + 2 * d for x, d in zip(self.offset, d_offset, strict=True)]
             self.weight = [x + 2 * d for x, d in zip(self.weight, d_weight, strict=True)]
+            self.digits = [[x + 2 * d for x, d in zip(row, step, strict=True)] for row, step in zip(self.digits, d_digits, strict=True)]
+            self.parted = [x + 2 * d for x, d in zip(self.parted, d_parted, strict=True)]
 
-    def score(self, kind: Column, votes: Column) -> Column:
+    def score(self, kind: Column, votes: Column, marks: Column) -> Column:
         """The log-odds that a candidate is personal data."""
-        z = F.element_at(F.array(*[F.lit(float(x)) for x in self.offset]), kind + 1)
+        by_kind = lambda values: F.element_at(F.array(*values), kind + 1)
+        number = lambda x: F.lit(float(x))
+        z = by_kind([number(x) for x in self.offset]) + by_kind([number(x) for x in self.parted]) * F.get(marks, 1)
+        z = z + F.element_at(by_kind([F.array(*map(number, row)) for row in self.digits]), F.get(marks, 0) + 1)
         for j, w in enumerate(self.weight):
-            z = z + F.get(votes, j) * F.lit(float(w))
+            z = z + F.get(votes, j) * number(w)
         return z
 
 
-def fit(found: DataFrame) -> Classifier:
-    """A classifier from the vote patterns of all candidates."""
-    one = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n"))
-    return Classifier({(r["kind"], tuple(r["votes"])): r["n"] for r in one.collect()})
+def fit(found: DataFrame, column: str = "candidates") -> Classifier:
+    """A classifier from the votes and marks of all candidates."""
+    one = found.select(F.explode(column).alias("c")).groupBy("c.kind", "c.votes", "c.marks").agg(F.count("*").alias("n"))
+    return Classifier({(r["kind"], tuple(r["votes"]), tuple(r["marks"])): r["n"] for r in one.collect()})
+
+
+def decide(found: DataFrame, model: Classifier, column: str = "candidates", into: str = "spans") -> DataFrame:
+    """The column of candidates becomes ``spans`` (or ``into``): kind, start, end, base, in the order of
+    kinds and starts."""
+    each = F.col(column)
+    scored = F.transform(F.filter(each, lambda s: ~s["base"]), lambda s: F.struct((-model.score(s["kind"], s["votes"], s["marks"])).alias("against"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
+    likely = F.array_sort(F.filter(scored, lambda s: s["against"] <= 0))  # the likeliest first
+    slim = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))
+    none = F.filter(F.transform(each, slim), lambda s: F.lit(False))
 
+    def add(kept: Column, s: Column) -> Column:
+        free = ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        return F.when(free, F.concat(kept, F.array(slim(s)))).otherwise(kept)
 
-def decide(found: DataFrame, model: Classifier) -> DataFrame:
-    """``candidates`` become ``spans``: kind, start, end, base, in the order of kinds and starts."""
-    kept = F.filter("candidates", lambda s: s["base"] | (model.score(s["kind"], s["votes"]) >= 0))
-    spans = F.array_sort(F.transform(kept, lambda s: s.dropFields("votes")))
-    return found.withColumn("spans", spans).drop("candidates")
+    added = F.aggregate(likely, none, add)
+    spans = F.array_sort(F.concat(F.transform(F.filter(each, lambda s: s["base"]), slim), added))
+    return found.withColumn(column, spans) if into == column else found.withColumn(into, spans).drop(column)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with ``spans``; reads the documents twice."""
-    found = candidates(docs)
-    return decide(found, fit(found))
+def find(docs: DataFrame, into: str = "spans") -> DataFrame:
+    """All rows and columns of ``docs`` with ``spans`` (or ``into``); reads the documents twice."""
+    own = free_name(docs, "candidates")
+    found = candidates(docs, own)
+    return decide(found, fit(found, own), own, into)
 
 
 def _count(spans: Column, kind: int) -> Column:

@@ -217,11 +217,27 @@ def test_em_ranks_labelers_by_agreement():
     votes = {}
     for kind in range(4):
         for v, n in {(1, 1, 1, 1): 50, (-1, -1, -1, -1): 50, (1, 1, -1, 1): 20, (-1, -1, 1, -1): 20}.items():
-            votes[kind, v] = n
+            votes[kind, v, (0, 0)] = n
     model = pii.Classifier(votes)
     assert model.hit[2] < model.hit[0] and model.pass_[2] < model.pass_[0] and model.weight[2] < model.weight[0]
 
 
+def test_the_classifier_learns_from_marks_what_no_labeler_says():
+    agreed = {(3, (0, 1, 1, 1), (2, 1)): 80, (3, (0, -1, -1, -1), (1, 0)): 80}
+    model = pii.Classifier(agreed | {(3, (0, 0, 0, 0), (2, 1)): 5, (3, (0, 0, 0, 0), (1, 0)): 5})
+    z = lambda digits, parted: model.offset[3] + model.digits[3][digits] + model.parted[3] * parted
+    assert z(2, 1) > z(1, 0)
+
+
+def test_added_spans_do_not_overlap_and_compressed_addresses_are_found(spark):
+    rows = [(i, f"server address 2001:db8::{i:x} and fe80::1:2 of the host, card 4111 1111 1111 111{2 + i % 7} payment", "kept", "kept") for i in range(40)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string, candidates string, spans string"), into="found").collect()
+    assert all(r["candidates"] == r["spans"] == "kept" for r in found)
+    for r in found:
+        spans = sorted((s["start"], s["end"]) for s in r["found"])
+        assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans)) and (15, 26 if int(r["doc_id"]) < 16 else 27) in spans
+
+
 # -- 6 licences -------------------------------------------------------------------------------
 def test_whole_texts_and_equivalents(spark, monkeypatch):
     mit = next(t for n, t in licenses.NOTICES if n == "MIT" and len(t) > 200)
