@@ -11,7 +11,9 @@ one row per source, kept in the shared folder, and a join of the documents to th
 sources adaptive execution splits, beyond.
 
 Defined cases: a null or empty text has size 0; null is a source of its own, ranked last; a
-source of size 0 has target 0; repeated rows with one id share one draw; a null id draws as ''.
+source of size 0 has target 0; repeated rows with one id share one draw; a null id draws as ''; very long
+texts are counted whole, and copied no more than others; other columns stay, and where ``into`` names one,
+it is replaced; an empty table gives an empty mix.
 """
 
 from __future__ import annotations

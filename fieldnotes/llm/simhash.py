@@ -21,7 +21,9 @@ Plan: texts are read once, in Arrow batches; only (id, fingerprint) is shuffled
 table in the shared folder.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other;
-repeated rows each get a row; a text of one or two words has one shingle, its words.
+repeated rows each get a row; a text of one or two words has one shingle, its words; very long texts are
+taken whole, a slice of shingles at a time; rows without an id give none to a component; columns other
+than id and text are ignored by the join and kept by ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

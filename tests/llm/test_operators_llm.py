@@ -38,11 +38,17 @@ def con():
     return connect(SMALL)
 
 
+CLASHES = (
+    "mix mix_source leak leak_row leak_hits copy language gone gone_id gone_row gone_key gone_parts known license_key license_row licenses drop_id drop_spot "
+    "candidates spans toxicity lm h1 key node text_ spot row"
+).split()
+
+
 @pytest.fixture
 def awkward(spark):
     """Nulls, blanks, long texts, repeated rows and columns whose names clash."""
     df = spark.createDataFrame(AWKWARD, DOCS)
-    for name in ("mix", "leak", "copy", "language", "gone", "gone_id", "known", "license_key", "drop_id", "mix_source", "h1", "key"):
+    for name in CLASHES:
         df = df.withColumn(name, F.lit(name))
     return df
 
@@ -360,28 +366,36 @@ def test_trees_are_distributions_and_pieces_add_up(spark, monkeypatch):
 
 
 # -- all: awkward input -----------------------------------------------------------------------
-def test_awkward_rows_keep_their_columns(spark, awkward):
+def test_awkward_rows_keep_their_columns(spark, awkward, monkeypatch):
     small_batches(spark)
-    n, columns = awkward.count(), set(awkward.columns)
+    rows = lambda df, names: sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+    every, kept = awkward.columns, [c for c in awkward.columns if c not in ("text", "n_chars")]
     bench = spark.createDataFrame([(1, "river runs slowly past the old mill again"), (None, "x"), (2, None)], "item_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)] + [(None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
     own = lmscore.vocabulary(awkward)
     for out in (
-        mixing.mix(awkward, into="plan"),
+        mixing.mix(awkward, into="found"),
         decontaminate.contamination(awkward, bench, into="found"),
-        toxicity.toxicity(awkward, toxicity.train(awkward, labels)),
-        toxicity.toxicity(awkward, None),
-        pii.find(awkward),
-        licenses.scan(awkward, licenses.catalogue(spark)),
-        linededup.dedup_lines(awkward),
-        lmscore.lm_score(awkward, lmscore.train(awkward, own), own),
-        langid.identify(awkward, langid.train(awkward), "tongue"),
+        decontaminate.contamination(awkward, bench, slice_bytes=1, into="found"),
+        toxicity.toxicity(awkward, toxicity.train(awkward, labels), into="found"),
+        toxicity.toxicity(awkward, None, into="found"),
+        pii.find(awkward, into="found"),
+        licenses.scan(awkward, licenses.catalogue(spark), into="found"),
+        lmscore.lm_score(awkward, lmscore.train(awkward, own), own, into="found"),
+        langid.identify(awkward, langid.train(awkward), into="found"),
+        langid.identify(awkward, None, into="found"),
     ):
-        assert columns <= set(out.columns) and len(out.collect()) == n
+        assert set(out.columns) == {*every, "found"} and rows(out, every) == rows(awkward, every)
+    out = linededup.dedup_lines(awkward)
+    assert out.columns == every and rows(out, kept) == rows(awkward, kept)
     found = langid.identify(awkward, langid.train(awkward), "tongue").select("doc_id", "tongue.*").collect()
     assert {r["doc_id"] for r in found if r["lang_pred"] == "und"} == {1, 2, 3, 5}
-    kept = simhash.keep_one(awkward).select("doc_id").collect()
-    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 4, 4, 5, 6, 8]
+    kept = simhash.keep_one(awkward)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 4, 5, 6, 8] and kept.columns == every
+    assert set(map(repr, rows(kept, every))) <= set(map(repr, rows(awkward, every)))
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    out = licenses.scan(awkward, licenses.catalogue(spark), into="found")
+    assert set(out.columns) == {*every, "found"} and rows(out, every) == rows(awkward, every)
 
 
 def test_empty_tables(spark):
