@@ -268,10 +268,13 @@ def test_order_matters_and_pieces_add_up(spark, monkeypatch):
     rng.shuffle(shuffled)
     docs = spark.createDataFrame([*rows, (900, " ".join([line] * 5)), (901, " ".join(shuffled)), (902, None), (903, " \n")], "doc_id long, text string")
     own = lmscore.vocabulary(docs)
-    net = lmscore.train(docs, own, rounds=2, one_in=2)
+    net = lmscore.train(lmscore.encoded(docs, own), rounds=2, one_in=2)
     score = {r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in lmscore.lm_score(docs, net, own).select("doc_id", "lm.*").filter("doc_id >= 900").collect()}
     assert score[900][1] > score[901][1] + 20 and score[902] == score[903] == (0, 0.0)
-    monkeypatch.setattr(lmscore, "PIECE", 7)
+    codes = lmscore.encoded(docs.filter("doc_id >= 900"), own)
+    for r in lmscore.scored(codes, net).collect():
+        assert r["lm"]["n_tokens"] == score[r["doc_id"]][0] and math.isclose(r["lm"]["log_prob"], score[r["doc_id"]][1], rel_tol=1e-4)
+    monkeypatch.setattr(lmscore, "STEP", 7)
     again = {r["doc_id"]: r["log_prob"] for r in lmscore.lm_score(docs, net, own).select("doc_id", "lm.*").filter("doc_id >= 900").collect()}
     assert all(math.isclose(again[k], score[k][1], rel_tol=1e-3) for k in again)
 
@@ -280,7 +283,7 @@ def test_network_gradient():
     net = lmscore.Network(seed=1)
     rng = np.random.default_rng(0)
     near, token = rng.integers(0, lmscore.CLASSES, (64, 4)), rng.integers(0, lmscore.CLASSES, 64)
-    loss = lambda n: float(n.forward(near)[2][np.arange(64), token].mean())
+    loss = lambda n: float(n.forward(near)[np.arange(64), token].mean())
     before = loss(net)
     for _ in range(40):
         net.learn(near, token)
@@ -381,7 +384,7 @@ def test_awkward_rows_keep_their_columns(spark, awkward, monkeypatch):
         toxicity.toxicity(awkward, None, into="found"),
         pii.find(awkward, into="found"),
         licenses.scan(awkward, licenses.catalogue(spark), into="found"),
-        lmscore.lm_score(awkward, lmscore.train(awkward, own), own, into="found"),
+        lmscore.lm_score(awkward, lmscore.train(lmscore.encoded(awkward, own)), own, into="found"),
         langid.identify(awkward, langid.train(awkward), into="found"),
         langid.identify(awkward, None, into="found"),
     ):
@@ -411,7 +414,7 @@ def test_empty_tables(spark):
         pii.find(docs),
         licenses.scan(docs, licenses.catalogue(spark)),
         linededup.dedup_lines(docs),
-        lmscore.lm_score(docs, lmscore.train(docs, own), own),
+        lmscore.lm_score(docs, lmscore.train(lmscore.encoded(docs, own)), own),
         simhash.near_duplicates(prints),
         simhash.keep_one(docs),
         langid.identify(docs, langid.train(docs)),
