@@ -238,6 +238,17 @@ def test_stream_times_out(spark, tmp_path):
     assert ("k", m(10), True) in {tuple(r) for r in spark.table("timeouts").collect()}
 
 
+def test_replay_goes_on_after_an_id(spark, tmp_path):
+    """ULIDs sort as texts in the order of their time, across a change of their first characters too."""
+    ulids = ["01HKABCDEFGHJKMNPQRSTVWXYZ", "01HKABCDEFGHJKMNPQRSTVWXZ0", "01HM0000000000000000000000", "01J00000000000000000000000"]
+    for i, e in enumerate(reversed(ulids)):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"id": e, "type": "x" if i % 2 else "y", "occurred_at": m(len(ulids) - i).isoformat()}))
+    log = files.replay(spark, str(tmp_path)).orderBy("id").collect()
+    assert [r["id"] for r in log] == ulids and [r["occurred_at"] for r in log] == sorted(r["occurred_at"] for r in log)
+    assert sorted(r["id"] for r in files.replay(spark, str(tmp_path), after=ulids[1]).collect()) == ulids[2:]
+    assert [r["id"] for r in files.replay(spark, str(tmp_path), ulids[1], ["x"]).collect()] == ulids[2:3]
+
+
 def test_write_batch_twice_is_once(spark, tmp_path):
     sink = files.write_batch(str(tmp_path / "out"))
     for batch in (0, 1, 1):
