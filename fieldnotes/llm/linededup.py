@@ -42,12 +42,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import graphs, scratch
-from fieldnotes.llm.common import free_name, others, read
+from fieldnotes.llm.common import bounded, free_name, others, read
 
 EDITS = 2
 #: Characters of the shorter line for each edit that may be between linked lines.
 CHARS = 10
 BROADCAST_ROWS = 1_000_000
+#: Documents whose removed lines are broadcast to all.
+BROADCAST_GONE = 250_000
 #: Lines of a key that are paired with each other; the lines of hotter keys are linked without.
 BUCKET = 64
 #: Segments that must match at once, level by level, for lines of hot keys.
@@ -60,12 +62,17 @@ LETTERS = "etaoinsrhludcmgb"
 _SLOT = 1 << 31
 
 
-def normal(line: Column) -> Column:
-    """The line without blanks at its ends, runs of blanks as one."""
-    odd = line.contains("  ")
+def odd_blanks(text: Column) -> Column:
+    """That a text has other blanks than single spaces."""
+    odd = text.contains("  ")
     for blank in "\t\x0b\f\r":
-        odd = odd | line.contains(blank)
-    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+        odd = odd | text.contains(blank)
+    return odd
+
+
+def normal(line: Column, odd: Column) -> Column:
+    """The line without blanks at its ends, runs of blanks as one; ``odd``: if its text has such."""
+    return F.trim(F.when(odd & odd_blanks(line), F.regexp_replace(line, r"\s+", " ")).otherwise(line))
 
 
 def document(text: Column) -> list[Column]:
@@ -76,10 +83,12 @@ def document(text: Column) -> list[Column]:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, line_no, line, h1, h2): the normalised lines that count, with 128 bits of hash of
     their document and of themselves."""
-    one = docs.select("doc_id", *document(F.col("text")), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    # on the raw line, so that normalising isn't done once for the filter and once for the result
-    one = one.filter(F.trim("raw", F.lit(" \t\x0b\f\r")) != "")
-    one = one.select("doc_id", "t1", "t2", "line_no", normal(F.col("raw")).alias("line"))
+    # what is of the text is computed before it is cut, else it would be for each of its lines
+    texts = docs.select("doc_id", *document(F.col("text")), odd_blanks(F.col("text")).alias("odd"), F.split("text", "\n").alias("parts"))
+    one = texts.select("doc_id", "t1", "t2", "odd", F.posexplode("parts").alias("line_no", "raw"))
+    # told from the raw line, so that a filter doesn't normalise it a second time
+    one = one.filter((F.trim("raw") != "") & (~F.col("odd") | F.col("raw").rlike(r"\S")))
+    one = one.select("doc_id", "t1", "t2", "line_no", normal(F.col("raw"), F.col("odd")).alias("line"))
     return one.select("doc_id", "t1", "t2", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("#"), "line").alias("h2"))
 
 
@@ -115,9 +124,9 @@ def _bounds(length: Column, i: int, parts: int = EDITS + 1) -> tuple[Column, Col
     return (short * i + before).cast("int"), (short + (F.lit(i) >= F.lit(parts) - longer).cast("int")).cast("int")
 
 
-def _part(line: dict[str, Column], start: Column, size: Column) -> Column:
-    """Bytes of some characters of a line; where it is ASCII, a position needs no scan."""
-    return F.when(line["plain"], F.substring(line["bytes"], start + 1, size)).otherwise(F.substring(line["line"], start + 1, size).cast("binary"))
+def _part(wide: Column, start: Column, size: Column) -> Column:
+    """Characters of a text in UTF-32, four bytes each, so that a position needs no scan."""
+    return F.substring(wide, start * 4 + 1, size * 4)
 
 
 def _plan(together: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
@@ -148,22 +157,17 @@ def indexed_keys(together: int) -> int:
     return sum(d == 0 and not any(shifts) for d, _, shifts in _plan(together))
 
 
-def line_keys(line: dict[str, Column], together: int = 1) -> list[Column]:
-    """A key for each entry of the plan, of a line as ``parts_of`` gives it."""
+def line_keys(wide: Column, length: Column, together: int = 1) -> list[Column]:
+    """A key for each entry of the plan, of a line in UTF-32."""
     keys, parts = [], EDITS + together
     for d, of, shifts in _plan(together):
-        other = line["n"] - d
+        other = length - d
         spots = [(start + shift, size) for (start, size), shift in zip((_bounds(other, i, parts) for i in of), shifts, strict=True)]
-        inside = [F.when(start >= 0, _part(line, start, size)) for start, size in spots] if together > 1 else [_part(line, *spots[0])]
+        inside = [F.when(start >= 0, _part(wide, start, size)) for start, size in spots] if together > 1 else [_part(wide, *spots[0])]
         keys.append(F.xxhash64(other.cast("int"), F.lit("".join(map(str, (together, *of)))), *inside))
     return keys
 
 
-def parts_of(line: Column) -> dict[str, Column]:
-    """What keys are made from."""
-    return {"line": line, "bytes": line.cast("binary"), "n": F.length(line), "plain": F.length(line) == F.octet_length(line)}
-
-
 def _common(pair: Column) -> Column:
     """A struct that has texts a and b with ``lo``, the length of their common prefix, found by halving.
     All that steps read is in the state: an expression from outside would be computed anew for every
@@ -244,10 +248,9 @@ def line_id(row: Column) -> Column:
 def key_rows(lines: DataFrame, together: int, *carried: str) -> DataFrame:
     """(line, id) of lines -> (key, row) for all their keys, and columns carried along; the lowest bit of
     id isn't used."""
-    parts = parts_of(F.col("line"))
-    sized = lines.select("id", *carried, *[c.alias(name) for name, c in parts.items() if name not in carried])
+    sized = lines.select("id", *carried, F.encode("line", "UTF-32").alias("wide"), F.length("line").alias("n"))
     # keys as columns: a projection shares the expressions they have in common, a generator doesn't
-    keys = line_keys({name: F.col(name) for name in parts}, together)
+    keys = line_keys(F.col("wide"), F.col("n"), together)
     names = [f"key{i}" for i in range(len(keys))]
     keyed = sized.select(line_id(F.col("id")).alias("id"), *carried, *[k.alias(name) for k, name in zip(keys, names, strict=True)])
     both = F.col("id").bitwiseOR((F.col("at") < indexed_keys(together)).cast("long"))
@@ -395,7 +398,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs.select("doc_id", "text"))
     edges, texts = near_lines(lines)
     parts = graphs.components(scratch.cut(edges, "links"))
-    classes = scratch.cut(texts.select("node", "h1", "h2").join(parts, "node").select("h1", "h2", "component"), "classes")
+    classes = bounded(scratch.cut(texts.select("node", "h1", "h2").join(parts, "node").select("h1", "h2", "component"), "classes"))
     number = dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
     own = F.col("t1").bitwiseAND(_SLOT - 1)
     if number:
@@ -412,14 +415,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("first").alias("stays"))
     linked = linked.join(least, "component").select("h1", "h2", "stays")
     single = groups.join(classes, ["h1", "h2"], "left_anti").filter("n > 1").select("h1", "h2", F.col("first").alias("stays"))
-    stays = linked.unionAll(single)
+    stays = bounded(scratch.cut(linked.unionAll(single), "stays"))
     return narrow.join(stays, ["h1", "h2"]).filter(F.col("spot") != F.col("stays")).select("doc_id", "t1", "t2", "line_no")
 
 
 def _gone(docs: DataFrame) -> DataFrame:
     """(gone_id, gone_t1, gone_t2, gone): the removed lines of each document, repeated rows as one."""
     gone = removed_lines(docs).groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-    return gone.select(F.col("doc_id").alias("gone_id"), F.col("t1").alias("gone_t1"), F.col("t2").alias("gone_t2"), "gone")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("t1").alias("gone_t1"), F.col("t2").alias("gone_t2"), "gone")
+    return scratch.cut(gone, "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -428,7 +432,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A text all of whose lines go is empty; its document stays.  A column n_chars follows.
     """
     row, id_, one, two, lines, split = (free_name(docs, n) for n in ("gone_row", "gone_key", "gone_t1", "gone_t2", "gone", "gone_parts"))
-    gone = _gone(docs).toDF(id_, one, two, lines)
+    gone = bounded(_gone(docs).toDF(id_, one, two, lines), BROADCAST_GONE)
     marked = docs.withColumn(row, F.struct(*document(F.col("text"))))
     same = marked["doc_id"].eqNullSafe(gone[id_]) & (marked[row]["t1"] == gone[one]) & (marked[row]["t2"] == gone[two])
     joined = marked.join(gone, same, "left").withColumn(split, F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
@@ -443,7 +447,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (that count), n_removed, removed_sha256 (numbers of the removed lines)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = _gone(docs)
+    gone = bounded(_gone(docs), BROADCAST_GONE)
     # lines that aren't blank, by what they begin with
     count = F.regexp_count("text", F.lit(r"(?md)^[\x20\t\x0B\f\r]*+[^\n\x20\t\x0B\f\r]"))
     sized = docs.select("doc_id", F.struct(*document(F.col("text"))).alias("row"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
