@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,12 @@ def others(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]
 
 
+def fetched(df: DataFrame) -> pd.DataFrame:
+    """A bounded result at the driver, by Arrow whatever the session's settings are: row by row it would
+    take many times the memory."""
+    return df.toArrow().to_pandas()
+
+
 def bounded(few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A table that is cheap to count, to be broadcast while it has at most ``most`` rows."""
     return F.broadcast(few) if few.count() <= most else few

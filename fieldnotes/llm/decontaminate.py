@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import scratch
-from fieldnotes.llm.common import bounded, free_name, read, small_batches
+from fieldnotes.llm.common import bounded, fetched, free_name, read, small_batches
 
 SPAN = 10
 K = 5
@@ -229,7 +229,7 @@ def _joined(docs: DataFrame, items: DataFrame, into: str, power: int) -> DataFra
     sc = docs.sparkSession.sparkContext
     known = scratch.cut(items.select("text").mapInPandas(_item_prints(power), "n int, h long, bit long").distinct(), "prints")
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
-    bits = known.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("v")).toPandas()
+    bits = fetched(known.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("v")))
     bitmap = np.zeros(1 << power - 6, np.int64)
     bitmap[bits["at"].to_numpy(np.int64)] = bits["v"].to_numpy(np.int64)
     shared = sc.broadcast(bitmap)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldnotes.llm.common import bounded, free_name, held_out, read, small_batches, uniform
+from fieldnotes.llm.common import bounded, fetched, free_name, held_out, read, small_batches, uniform
 
 ORDER = 3
 SAMPLE = 400
@@ -201,7 +201,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int | None = None)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     chosen = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
     grams = chosen.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = grams.toPandas()
+    counts = fetched(grams)
     return Trees(counts, table_bytes) if len(counts) else None
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldnotes.llm import scratch
-from fieldnotes.llm.common import held_out, read, small_batches, uniform
+from fieldnotes.llm.common import fetched, held_out, read, small_batches, uniform
 
 SAMPLE = 1500
 #: Clean documents in the sample for each toxic one.
@@ -341,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | Non
             yield pd.DataFrame([(f, *x) for f, x in found.items()], columns=["feature", "bad", "docs", "good"])
 
     counts = rows.mapInPandas(counted, "feature string, bad long, docs long, good long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("bad", "docs", "good")])
-    counts = counts.filter(F.col("docs") >= DOCS).toPandas()
+    counts = fetched(counts.filter(F.col("docs") >= DOCS))
     words = [(f, k) for f, k in zip(counts["feature"], counts["bad"], strict=True) if f[0] not in "<>" and f[-1] != "*"]
     most: Counter = Counter()
     for w, k in words:
@@ -369,12 +369,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | Non
                     out.append((doc, int(toxic), min(WIDTH, len(words) - w * WIDTH), at, cols))
             yield pd.DataFrame(out, columns=["doc", "toxic", "length", "at", "feature"])
 
-    found = rows.mapInPandas(windows, "doc string, toxic int, length int, at array<int>, feature array<int>").toPandas()
+    found = fetched(rows.mapInPandas(windows, "doc string, toxic int, length int, at array<int>, feature array<int>"))
     found = found.sort_values("doc", kind="stable", ignore_index=True)
     params = Chains(found, len(index)).fit(np.array([start[f] for f in sorted(start)])) if len(found) else np.concatenate([np.zeros(len(index)), [-6.0], np.zeros(4)])
     k = len(index)
     crf = Crf({f: float(params[i]) for f, i in index.items()}, float(params[k]), params[k + 1 :].reshape(2, 2))
-    marks = toxicity(rows, crf).select("toxic", "toxicity.top", "toxicity.total").toPandas().sort_values(["toxic", "top", "total"])
+    marks = fetched(toxicity(rows, crf).select("toxic", "toxicity.top", "toxicity.total")).sort_values(["toxic", "top", "total"])
     crf.curve = curve_of(marks["top"].to_numpy(), marks["total"].to_numpy(), marks["toxic"].to_numpy(np.float64))
     return crf
 
