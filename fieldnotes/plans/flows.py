@@ -8,7 +8,7 @@ from fieldnotes import scratch, streaming
 from fieldnotes.operators import cost, events as ev, relational, retrieval as rv, sequencer as sq
 from fieldnotes.plans.costs import AS_OF, at
 from fieldnotes.plans.inline import Rows
-from fieldnotes.sources import tables as t
+from fieldnotes.sources import files, tables as t
 
 LOG = t.EVENT_LOG_SQL
 TYPES = ["view", "click", "purchase"]
@@ -137,6 +137,16 @@ def sagas(s, d):
 
 
 SAGA_MINUTES = 600
+REPLAY_AFTER = 500
+
+
+def replayed(s, d):
+    """The log kept as JSON files, from an event on and of some types; ids sort as texts by time."""
+    path = scratch.folder(s, "log")
+    log = t.event_log(s, d)
+    log.select(F.lpad(F.col("event_id").cast("string"), 20, "0").alias("id"), "type", "correlation_id", "occurred_at").write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    rows = files.replay(s, path, f"{REPLAY_AFTER:020}", ["error", "purchase"])
+    return rows.select(F.col("id").cast("long").alias("event_id"), "type", "occurred_at", "correlation_id")
 
 QUERIES = {
     "fan_in_completed": lambda s, d: ev.fan_in(t.event_log(s, d), TYPES),
@@ -147,7 +157,8 @@ QUERIES = {
     "event_upcast": lambda s, d: ev.upcast(t.event_log(s, d).select("event_id", "version", "payload").unionByName(DELIVERED.df(s).select((F.col("event_id") + 1_000_000_000).alias("event_id"), "version", "payload"))),
     "bus_diff": lambda s, d: ev.bus_diff(DELIVERED.df(s), OTHER_BUS.df(s)),
     "merged_streams": lambda s, d: t.event_log(s, d).filter("type = 'view'").unionByName(t.event_log(s, d).filter("type = 'error'")).groupBy("type").agg(F.count("*").alias("events"), F.max("event_id").alias("last")),
-    "replayed_events": lambda s, d: relational.recent(t.event_log(s, d), "occurred_at", at(AS_OF), "1 hour").select("event_id", "type", "occurred_at"),
+    "recent_events": lambda s, d: relational.recent(t.event_log(s, d), "occurred_at", at(AS_OF), "1 hour").select("event_id", "type", "occurred_at"),
+    "replayed_events": replayed,
     "idempotent_requests": lambda s, d: ev.idempotent(REQUESTS.df(s)),
     "discovery_cache": lambda s, d: ev.fresh(CACHE.df(s), QUERIES_ASKED.df(s), at(AS_OF), ["niche", "city"]),
     "headless_retries": lambda s, d: ev.headless_retries(t.table(s, d, "pages").groupBy((F.col("page_id") % 50).alias("host")).agg((F.sum(F.length("html")) < 40000).alias("is_empty")), s.range(0, 50, 7).select(F.col("id").alias("host"))),
@@ -212,7 +223,8 @@ SELECT COALESCE(a.event_id, b.event_id) AS event_id, COALESCE(n_left, 0) AS n_le
 FROM (SELECT event_id, count(*) AS n_left FROM {DELIVERED.sql} GROUP BY 1) a FULL JOIN (SELECT event_id, count(*) AS n_right FROM {OTHER_BUS.sql} GROUP BY 1) b ON a.event_id = b.event_id
 WHERE COALESCE(n_left, 0) <> COALESCE(n_right, 0)""",
     "merged_streams": f"SELECT type, count(*) AS events, max(event_id) AS last FROM ({LOG}) WHERE type IN ('view', 'error') GROUP BY 1",
-    "replayed_events": f"SELECT event_id, type, occurred_at FROM ({LOG}) WHERE occurred_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND occurred_at <= TIMESTAMP '{AS_OF}'",
+    "replayed_events": f"SELECT event_id, type, occurred_at, correlation_id FROM ({LOG}) WHERE event_id > {REPLAY_AFTER} AND type IN ('error', 'purchase')",
+    "recent_events": f"SELECT event_id, type, occurred_at FROM ({LOG}) WHERE occurred_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND occurred_at <= TIMESTAMP '{AS_OF}'",
     "idempotent_requests": f"""
 WITH RECURSIVE r AS (SELECT * FROM {REQUESTS.sql}),
 fresh AS (

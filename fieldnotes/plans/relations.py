@@ -91,7 +91,7 @@ def found_leads(s, d):
     """Leads are companies; those with an even id are known already."""
     c = t.companies(s, d).join(t.table(s, d, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_acctbal").alias("rating")), "company_id")
     leads = c.select("host", "name", F.col("industry").alias("niche"), "city", "rating")
-    return r.lead_search(leads.unionByName(leads.filter("rating > 0")), c.filter("company_id % 2 = 0"), "Building", "China", 20)
+    return r.lead_search(leads.unionByName(leads.filter("rating > 0")), c.filter("company_id % 2 = 0"), "Building", "Nation_3", 20)
 
 
 CLAIMED = ["id", "agent_name", "status", "priority", "available_at", "leased_until", "started_at", "attempt_count"]
@@ -186,7 +186,7 @@ SELECT c.company_id, name, summary, COALESCE(findings, '') AS findings, COALESCE
 FROM ({COMPANIES}) c LEFT JOIN s ON c.company_id = s.company_id LEFT JOIN f ON c.company_id = f.company_id LEFT JOIN o ON c.company_id = o.company_id LEFT JOIN d ON c.company_id = d.company_id
 WHERE deleted_at IS NULL""",
     "lead_search": f"""
-SELECT host, rating, name FROM (SELECT host, max(c_acctbal) AS rating, max(name) AS name FROM ({COMPANIES}) c JOIN customer ON c_custkey = company_id WHERE industry = 'building' AND city = 'china' AND company_id % 2 = 1 GROUP BY 1)
+SELECT host, rating, name FROM (SELECT host, max(c_acctbal) AS rating, max(name) AS name FROM ({COMPANIES}) c JOIN customer ON c_custkey = company_id WHERE industry = 'building' AND city = 'nation_3' AND company_id % 2 = 1 GROUP BY 1)
 ORDER BY rating DESC, host LIMIT 20""",
     "company_timeline": f"""
 SELECT company_id, event_id, type, occurred_at, row_number() OVER w AS position, CAST(floor(epoch(occurred_at)) - floor(epoch(lag(occurred_at) OVER w)) AS BIGINT) AS seconds
