@@ -38,7 +38,7 @@ from fieldnotes.llm.common import bounded, fetched, free_name, held_out, read, s
 
 ORDER = 3
 SAMPLE = 400
-TABLE_BYTES = 64_000_000
+TABLE_BYTES = 32_000_000
 UNKNOWN = "und"
 _PIECE = 1 << 20
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
