@@ -41,7 +41,7 @@ def cost_windows(calls: DataFrame, as_of: Column) -> DataFrame:
     return calls.filter(F.col("occurred_at") <= as_of).agg(part("day").alias("today"), part("week").alias("this_week"), part("month").alias("this_month"))
 
 
-CUTS = 64
+CUTS = 16
 
 
 def percentiles(rows: DataFrame, key: str, value: str, names: dict[str, float]) -> DataFrame:
@@ -52,7 +52,7 @@ def percentiles(rows: DataFrame, key: str, value: str, names: dict[str, float])
     of a key's distinct values, however many rows the key has.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
-    cuts = rows.groupBy(key).agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], F.lit(CUTS * 20)).alias("cuts"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], F.lit(CUTS * 100)).alias("cuts"))
     above = sum(((F.col("v") > F.get("cuts", i)).cast("int") for i in range(CUTS - 1)), F.lit(0))
     ranged = rows.join(cuts, key).select(key, "v", above.alias("range"))
     sizes = ranged.groupBy(key, "range").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ collection of a key's events.  Time is the events' own; ``as_of`` is a parameter
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,24 +64,25 @@ def causation_roots(log: DataFrame) -> DataFrame:
     """(id, root, depth) of every event: its causes followed up to one that has none in the log.
 
     Repeated events count once, with their least cause.  Each round doubles the stride of the events that
-    aren't at their root yet, and is written, so a chain of depth d takes log d rounds of one join.  Events
-    whose causes run in a circle have no root: root and depth are null.
+    aren't at their root yet, and is written, so a chain of depth d takes log d rounds of one join, each of
+    the events still on their way.  Events whose causes run in a circle have no root: root and depth are null.
     """
     once = log.groupBy("id").agg(F.min("causation_id").alias("causation_id"))
     known = once.select(F.col("id").alias("known"))
     linked = once.join(known, once["causation_id"] == known["known"], "left")
     state = linked.select("id", F.coalesce("known", "id").alias("top"), F.col("known").isNotNull().cast("long").alias("depth"), F.col("known").isNull().alias("done"))
     state = scratch.cut(state, "roots")
-    rounds = state.count().bit_length() + 1
-    for _ in range(rounds):
-        tops = state.select(F.col("id").alias("above"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        moved = state.filter("NOT done").join(tops, F.col("top") == F.col("above"))
-        moved = moved.select("id", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
-        open_ = moved.filter("NOT done").limit(1).count()
-        state = scratch.cut(state.filter("done").unionAll(moved), "roots")
-        if not open_:
+    ended, open_ = [state.filter("done")], state.filter("NOT done")
+    for _ in range(state.count().bit_length() + 1):
+        if not open_.limit(1).count():
             break
-    return state.select("id", F.when(F.col("done"), F.col("top")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+        tops = reduce(DataFrame.unionAll, [*ended, open_])
+        tops = tops.select(F.col("id").alias("above"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        moved = open_.join(tops, F.col("top") == F.col("above")).select("id", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        moved = scratch.cut(moved, "roots")
+        ended, open_ = [*ended, moved.filter("done")], moved.filter("NOT done")
+    roots = reduce(DataFrame.unionAll, ended).select("id", F.col("top").alias("root"), "depth")
+    return roots.unionAll(open_.select("id", F.lit(None).cast(dict(roots.dtypes)["root"]).alias("root"), F.lit(None).cast("long").alias("depth")))
 
 
 def stale_stages(start: str, graph: dict[str, list[str]] | None = None) -> list[str]:
