@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldnotes.functions import text as x
 from fieldnotes.functions import urls
+from fieldnotes.operators.ordered import running
 
 NETWORKS = {"instagram": r"instagram\.com", "facebook": r"facebook\.com", "linkedin": r"linkedin\.com", "tiktok": r"tiktok\.com", "youtube": r"youtube\.com", "x": r"(?:twitter|x)\.com"}
 #: Weights of path keywords and cost of a level of depth; the specification names words, not weights.
@@ -73,8 +74,7 @@ def site_words(pages: DataFrame, least: int = 200) -> DataFrame:
 
 def crawl_budget(candidates: DataFrame, max_pages: int, max_bytes: int) -> DataFrame:
     """Breadth-first within both budgets: pages up to the count, and while the bytes fit."""
-    w = Window.partitionBy("host").orderBy("depth", "page_id")
-    ranked = candidates.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("bytes_so_far", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = running(candidates, "host", ["depth", "page_id"], sums={"bytes_so_far": F.col("bytes")}, rank="rank")
     return ranked.filter((F.col("rank") <= max_pages) & (F.col("bytes_so_far") <= max_bytes))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldnotes.operators.ordered import running
+
 
 def company_list(companies: DataFrame, tenant: int, status: str | None = None, industry: str | None = None, city: str | None = None, q: str | None = None) -> DataFrame:
     """Live companies of a tenant; every given filter is a conjunct, ``q`` matches name or host."""
@@ -61,8 +63,8 @@ def new_by_host(leads: DataFrame, companies: DataFrame, host: str = "host") -> D
 
 def thread(messages: DataFrame) -> DataFrame:
     """Messages in the order of their conversation, with the one before."""
-    w = Window.partitionBy("conversation_id").orderBy("turn")
-    return messages.select("conversation_id", "turn", "direction", F.row_number().over(w).cast("long").alias("position"), F.lag("external_id").over(w).alias("previous_id"))
+    placed = running(messages.select("conversation_id", "turn", "direction", "external_id"), "conversation_id", ["turn"], rank="position", before={"previous_id": "external_id"})
+    return placed.drop("external_id")
 
 
 def replies(messages: DataFrame) -> DataFrame:
@@ -116,9 +118,9 @@ def lead_search(leads: DataFrame, known: DataFrame, niche: str, city: str, limit
 
 def timeline(log: DataFrame, company: str = "company_id") -> DataFrame:
     """A company's events in the order they occurred, numbered, with the seconds since the one before."""
-    w = Window.partitionBy(company).orderBy("occurred_at", "event_id")
-    since = F.unix_timestamp("occurred_at") - F.unix_timestamp(F.lag("occurred_at").over(w))
-    return log.select(company, "event_id", "type", "occurred_at", F.row_number().over(w).cast("long").alias("position"), since.alias("seconds"))
+    placed = running(log.select(company, "event_id", "type", "occurred_at"), company, ["occurred_at", "event_id"], rank="position", before={"_before": "occurred_at"})
+    since = F.unix_timestamp("occurred_at") - F.unix_timestamp("_before")
+    return placed.withColumn("seconds", since).drop("_before")
 
 
 def dossier_view(companies: DataFrame, summaries: DataFrame, findings: DataFrame, opportunities: DataFrame, drafts: DataFrame, top: int = 5) -> DataFrame:
