@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ def fetched(df: DataFrame) -> pd.DataFrame:
     return df.toArrow().to_pandas()
 
 
+def binaries(strings: pa.Array) -> list[bytes]:
+    """The values of an array of large binaries without nulls, many times faster than one by one."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = strings.buffers()[2].to_pybytes() if strings.buffers()[2] else b""
+    return [data[lo:hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def bounded(few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A table that is cheap to count, to be broadcast while it has at most ``most`` rows."""
     return F.broadcast(few) if few.count() <= most else few
