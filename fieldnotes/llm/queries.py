@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.llm import decontaminate, langid, licenses, linededup, lmscore, mixing, pii, simhash, topk, toxicity
+from fieldnotes.llm import alignment, conversations, decontaminate, langid, licenses, linededup, lmscore, mixing, pii, quality, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": topk.op1_topk,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": lmscore.op8_lm_scoring,
     "op9_simhash": simhash.op9_simhash,
     "op10_langid": langid.op10_langid,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_quality": quality.op12_quality,
+    "op13_prefix_trie": conversations.op13_prefix_trie,
 }
 
 SQL: dict[str, Callable[[], str]] = {
@@ -26,6 +29,7 @@ SQL: dict[str, Callable[[], str]] = {
     "op2_mixing": mixing.op2_sql,
     "op4_decontaminate": decontaminate.op4_sql,
     "op6_licenses": licenses.op6_sql,
+    "op13_prefix_trie": conversations.op13_sql,
 }
 
 
