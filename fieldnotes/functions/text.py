@@ -65,14 +65,17 @@ def script_sources(html: Column) -> Column:
 
 
 LD_BLOCK = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
-#: A type, or a list of them, wherever it stands: at the top, in an array or ``@graph``, or nested.
-LD_TYPE = r"\"@type\"\s*:\s*(\"[^\"]*\"|\[[^\]]*\])"
+#: A type, or a list of them, wherever it stands: at the top, in an array or ``@graph``, or nested.  Any other
+#: string is passed over whole, so that what looks like a type within one isn't.
+LD_TYPE = r'"@type"\s*:\s*("(?:[^"\\]|\\.)*"|\[(?:\s*"(?:[^"\\]|\\.)*"\s*,?)*\s*\])|"(?:[^"\\]|\\.)*"'
 
 
 def json_ld_types(html: Column) -> Column:
-    """The types of all JSON-LD objects of a page, sorted, each once."""
-    found = F.flatten(F.transform(all_of(html, LD_BLOCK, 1), lambda b: all_of(b, LD_TYPE, 1)))
-    return sorted_set(F.flatten(F.transform(found, lambda t: all_of(t, r"\"([^\"]+)\"", 1))))
+    """The types of all JSON-LD objects of a page, sorted, each once; a block that isn't JSON has none."""
+    blocks = F.filter(all_of(html, LD_BLOCK, 1), lambda b: F.try_parse_json(b).isNotNull())
+    found = F.filter(F.flatten(F.transform(blocks, lambda b: all_of(b, LD_TYPE, 1))), lambda t: t != "")
+    lists = F.transform(found, lambda t: F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), "array<string>"))
+    return sorted_set(F.flatten(lists))
 
 
 def markdown(html: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.plans import costs, flows, relations, web
+from fieldnotes.plans import costs, extraction, flows, relations, web
 
-MODULES = (costs, relations, web, flows)
+MODULES = (costs, relations, web, flows, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -255,8 +255,8 @@ def _markdown() -> str:
 
 def _ld_types(html: str) -> str:
     """The list of types of a page's JSON-LD, with repeats."""
-    blocks = rf"regexp_extract_all({html}, '{_q(x.LD_BLOCK)}', 1)"
-    found = rf"flatten(list_transform({blocks}, lambda k: regexp_extract_all(k, '{_q(x.LD_TYPE)}', 1)))"
+    blocks = rf"list_filter(regexp_extract_all({html}, '{_q(x.LD_BLOCK)}', 1), lambda k: json_valid(k))"
+    found = rf"list_filter(flatten(list_transform({blocks}, lambda k: regexp_extract_all(k, '{_q(x.LD_TYPE)}', 1))), lambda k: k <> '')"
     return rf"""flatten(list_transform({found}, lambda k: regexp_extract_all(k, '"([^"]+)"', 1)))"""
 
 
