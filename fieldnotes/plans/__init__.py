@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldnotes.plans import costs, extraction, flows, live, relations, web
+from fieldnotes.plans import costs, extraction, flows, live, relations, stores, web
 
-MODULES = (costs, relations, web, flows, extraction, live)
+MODULES = (costs, relations, web, flows, extraction, live, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
