@@ -84,7 +84,7 @@ class ImpactIndex:
         both = np.unique(np.column_stack([ids, xs]), axis=0)  # identical rows count once
         self.ids, self.x = both[:, 0], both[:, 1:]
         impact = np.abs(self.x)
-        top = int(impact.max(initial=0))
+        top = self.top = int(impact.max(initial=0))
         edges = np.unique(np.ceil(top * np.arange(levels) / levels).astype(np.int64))[::-1]
         self.exact = np.float64 if top > 2048 or self.x.shape[1] * top * top >= 2**24 else np.float32
         self.segments, high = [], top + 1
@@ -120,19 +120,22 @@ class ImpactIndex:
     def search(self, own: np.ndarray, q: np.ndarray, k: int = K, rescore: int = RESCORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best (query number, vec_id, score) of a block of queries, best first."""
         n = len(self.ids)
-        qx = q.astype(self.exact if np.abs(q).max(initial=0) <= 2048 else np.float64)
+        # sums must be exact in their type; beyond that too, their error is part of the slack
+        most = self.x.shape[1] * self.top * int(np.abs(q).max(initial=0))
+        qx = q.astype(self.exact if most < 2**24 else np.float64)
+        error = 0.0 if most < 2**53 else most * self.x.shape[1] * 2.0**-52
         norm, total = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)), np.abs(q).sum(axis=1).astype(np.float64)
         scores = np.zeros((len(q), n), qx.dtype)
         same = own[:, None] == self.ids[None, :]
         possible = ~same
-        for posted, left, most in self.segments:
+        for posted, left, rest in self.segments:
             self._add(scores, qx, posted)
-            slack = np.minimum(norm[:, None] * left[None, :], (total * most)[:, None]) * (1 + 1e-9) + 1e-6
+            slack = np.minimum(norm[:, None] * left[None, :], (total * rest)[:, None]) * (1 + 1e-9) + 1e-6 + error
             if n > k:
                 low = np.where(possible, scores - slack, -np.inf)
                 bar = np.partition(low, n - k, axis=1)[:, n - k]
                 possible &= scores + slack >= bar[:, None]
-            if not most or possible.sum(axis=1).max(initial=0) <= rescore:
+            if not rest or possible.sum(axis=1).max(initial=0) <= rescore:
                 break
         rows, cols = np.nonzero(possible)
         exact = np.einsum("ij,ij->i", q[rows], self.x[cols])
