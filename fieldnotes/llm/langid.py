@@ -7,7 +7,8 @@ longer one (exclusion).  Statistics are frozen after training, so the code lengt
 (context, symbol) is a table entry, and the length of a text the sum of its entries: exact, and
 additive over pieces of a long text.  The language that codes a text shortest is predicted.
 
-Training takes ``SAMPLE`` documents a language at most: the first by a hash of the id.  Byte 4-grams are
+Training takes ``SAMPLE`` documents a language at most, the first by a hash of id and text, and the ``LANGUAGES``
+languages with the most rows.  Byte 4-grams are
 counted by the executors; shorter contexts are their margins.  The trees of all languages lie in one
 table with a row for each context, up to ``TABLE_BYTES`` for the most frequent contexts of three bytes.
 The others are kept by what was seen in them: a symbol that was not costs as much as in the shorter
@@ -18,8 +19,8 @@ Symbols are the bytes of the lower-cased text, digits and ASCII punctuation take
 never seen in training are one symbol.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ties between languages
-go to the lesser name; rows whose lang is null aren't learned from; repeated rows count as often as they
-are in the sample; without any row to learn from, every text is `und`; very long texts are coded whole, in
+go to the lesser name; rows whose lang is null aren't learned from; a repeated row (id and text) is
+learned from once; without any row to learn from, every text is `und`; very long texts are coded whole, in
 pieces; other columns stay, and where ``into`` names one, it is replaced; an empty table gives none.
 """
 
@@ -34,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldnotes.llm.common import bounded, fetched, free_name, held_out, read, small_batches, uniform
+from fieldnotes.llm.common import fetched, free_name, held_out, read, small_batches, uniform
 
 ORDER = 3
 SAMPLE = 400
+#: Languages that are learned at most, those with the most rows: the trees of all go to every task.
+LANGUAGES = 256
 TABLE_BYTES = 32_000_000
 UNKNOWN = "und"
 _PIECE = 1 << 20
@@ -195,11 +198,14 @@ class Trees:
 def train(docs: DataFrame, sample: int = SAMPLE, table_bytes: int | None = None) -> Trees | None:
     """Trees from the rows of ``docs`` that may be learned from; None if there are none."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = bounded(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    row = F.xxhash64("doc_id", "text")
+    # distinct rows are drawn, so that rows that share an id or a text don't stand or fall together
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(row, 0.02).alias("size")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     # twice as many as asked for, so that only those are sorted; a language of fewer gives all
-    drawn = rows.withColumn("draw", uniform(F.lit("langid"), F.col("doc_id"))).join(sizes, "lang").filter(F.col("draw") * F.col("size") < 2 * sample)
+    drawn = rows.withColumn("draw", uniform(F.lit("langid"), row)).join(F.broadcast(sizes), "lang").filter(F.col("draw") * F.col("size") < 2 * sample)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    chosen = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
+    once = drawn.select("lang", "draw", "doc_id", "text").dropDuplicates(["lang", "draw", "doc_id", "text"])
+    chosen = once.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "text")
     grams = chosen.mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = fetched(grams)
     return Trees(counts, table_bytes) if len(counts) else None

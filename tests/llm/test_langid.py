@@ -80,3 +80,23 @@ def test_query_equals_a_naive_model(spark, tmp_path, monkeypatch, table_bytes):
         best = min(bits, key=lambda x: (bits[x], x))
         assert got[i]["lang_pred"] == best and math.isclose(got[i]["score"], 1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel_tol=1e-3)
         assert got[i]["held_out"] == (zlib.crc32(str("" if i is None else i).encode()) % 4 == 2)
+
+
+def test_a_language_whose_rows_share_an_id_is_learned(spark):
+    """All rows of English have one id or none, however many they are; whatever the ids are, it is known."""
+    english = [f"the {w} of the house is here and number {i} too" for i, w in enumerate(["cat", "dog", "tree", "river"] * 375)]
+    french = [f"la maison est ouverte et le chat {i} dort" for i in range(100)]
+    for shared in (*(i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 4 != 2), None):
+        rows = [(shared, t, "en") for t in english] + [(10_000 + i, t, "fr") for i, t in enumerate(french)]
+        trees = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert trees.langs == ["en", "fr"]
+        bits = trees.lengths([langid.symbols_of("the dog is here"), langid.symbols_of("le chat dort")])
+        assert bits.argmin(axis=1).tolist() == [0, 1]
+
+
+def test_copies_of_one_row_and_many_languages(spark, monkeypatch):
+    rows = [(1, "the same row again", "en")] * 2000 + [(2 + i, f"un texte {i}", "fr") for i in range(30)] + [(501, "ein text", "de"), (502, "ein text", "de"), (503, "ein text", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs).langs == ["de", "en", "fr"]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert langid.train(docs).langs == ["en", "fr"]
