@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldnotes import scratch
 from fieldnotes.operators import events as ev
 from fieldnotes.plans.flows import CADENCE, calls_stream, drained
-from fieldnotes.sources import tables as t
+from fieldnotes.sources import eventlog, tables as t
 from fieldnotes.streaming import stateful
 
 #: What a stream decides lags behind it by the watermark; queries give what is older than this.
@@ -90,10 +91,45 @@ j AS (SELECT l.event_id AS a, l.at AS la, r.event_id AS b, r.at AS ra FROM l FUL
 SELECT coalesce(a, b) AS event_id, CASE WHEN a IS NULL THEN 'right' ELSE 'left' END AS side, coalesce(la, ra) AS at FROM j
 WHERE (a IS NULL OR b IS NULL) AND coalesce(la, ra) < (SELECT max(ts) FROM events) - INTERVAL {SETTLED}"""
 
+def _logged(s, d):
+    """The log as an event log of three commits."""
+    path = scratch.folder(s, "event_log")
+    nothing = F.lit(None).cast("string")
+    e = t.event_log(s, d).select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), nothing.alias("tenant_id"), "type", F.col("version").cast("int").alias("version"), "correlation_id",
+        nothing.alias("causation_id"), F.col("company_id").cast("string").alias("company_id"), "occurred_at", "payload",
+    )
+    for n in range(3):
+        eventlog.append(e.filter(F.crc32("id") % 3 == n), path)
+    return path
+
+
+TAILED = ["error", "purchase"]
+LOG_AFTER = 400
+
+
+def tailed(s, d):
+    found = drained(s, eventlog.tail(s, _logged(s, d), TAILED), "tail")
+    return found.select(F.col("id").cast("long").alias("event_id"), "type", "occurred_at", "payload")
+
+
+def replayed(s, d):
+    found = eventlog.replay(s, _logged(s, d), TAILED, f"{LOG_AFTER:012}")
+    return found.groupBy("type", "company_id").agg(F.count("*").alias("events"), F.max("id").alias("last"))
+
+
+_TAILED = ", ".join(f"'{x}'" for x in TAILED)
 QUERIES = {
+    "stream_log_tail": tailed,
+    "log_replay": replayed,
     "idempotent_events": lambda s, d: ev.idempotent(_requests(t.event_log(s, d))),
     "stream_idempotent": lambda s, d: drained(s, stateful.idempotent(_requests(calls_stream(s, d))), "idempotent"),
     "stream_due_steps": due,
     "stream_bus_diff": buses,
 }
-SQL = {"idempotent_events": IDEMPOTENT, "stream_idempotent": IDEMPOTENT, "stream_due_steps": DUE, "stream_bus_diff": BUSES}
+SQL = {
+    "stream_log_tail": f"SELECT event_id, event_type AS type, ts AS occurred_at, props AS payload FROM events WHERE event_type IN ({_TAILED})",
+    "log_replay": f"""
+SELECT event_type AS type, CAST(user_id AS VARCHAR) AS company_id, count(*) AS events, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS last
+FROM events WHERE event_type IN ({_TAILED}) AND event_id > {LOG_AFTER} GROUP BY 1, 2""",
+    "idempotent_events": IDEMPOTENT, "stream_idempotent": IDEMPOTENT, "stream_due_steps": DUE, "stream_bus_diff": BUSES}
