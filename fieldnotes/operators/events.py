@@ -85,6 +85,22 @@ def causation_roots(log: DataFrame) -> DataFrame:
     return roots.unionAll(open_.select("id", F.lit(None).cast(dict(roots.dtypes)["root"]).alias("root"), F.lit(None).cast("long").alias("depth")))
 
 
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, depth): what was made of the ids of ``start``, from them or through others, and the least number of
+    steps to it.  ``edges``: (parent, child), repeats and circles do no harm, a child may have many parents.
+
+    Each round takes the children of what the round before found and drops what is known; it is written, so
+    plans don't grow.  There are as many rounds as the longest of the shortest ways.
+    """
+    known = edges.filter("parent <> child").select("parent", "child").distinct()
+    found = [scratch.cut(start.select("id").filter("id IS NOT NULL").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")]
+    while found[-1].limit(1).count():
+        seen = reduce(DataFrame.unionAll, found).select(F.col("id").alias("child"))
+        made = found[-1].join(known, F.col("id") == F.col("parent")).select("child").distinct().join(seen, "child", "left_anti")
+        found.append(scratch.cut(made.select(F.col("child").alias("id"), F.lit(len(found)).cast("long").alias("depth")), "reached"))
+    return reduce(DataFrame.unionAll, found)
+
+
 def stale_stages(start: str, graph: dict[str, list[str]] | None = None) -> list[str]:
     """The stage and all below it, in order of first reach."""
     graph, out = STAGES if graph is None else graph, [start]

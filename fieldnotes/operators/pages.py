@@ -12,6 +12,7 @@ from fieldnotes.functions import text as x
 from fieldnotes.functions import urls
 from fieldnotes.operators.ordered import running
 
+# Hosts of networks, and path keywords.
 NETWORKS = {"instagram": r"instagram\.com", "facebook": r"facebook\.com", "linkedin": r"linkedin\.com", "tiktok": r"tiktok\.com", "youtube": r"youtube\.com", "x": r"(?:twitter|x)\.com"}
 #: Weights of path keywords and cost of a level of depth; the specification names words, not weights.
 KEYWORDS = {"about": 5, "services": 5, "pricing": 5, "contact": 4, "faq": 3, "team": 2, "blog": 1}
@@ -88,12 +89,42 @@ def link_scores(pages: DataFrame) -> DataFrame:
 
 
 # Schema.org's LocalBusiness and subtypes of it that count as a business's own markup.
-BUSINESS = (
-    "LocalBusiness AnimalShelter AutomotiveBusiness ChildCare Dentist DryCleaningOrLaundry EmergencyService EmploymentAgency EntertainmentBusiness "
-    "FinancialService FoodEstablishment Restaurant GovernmentOffice HealthAndBeautyBusiness BeautySalon HomeAndConstructionBusiness InternetCafe LegalService "
-    "Library LodgingBusiness Hotel MedicalBusiness MedicalClinic ProfessionalService RadioStation RealEstateAgent RecyclingCenter SelfStorage ShoppingCenter "
-    "SportsActivityLocation Store TelevisionStation TouristInformationCenter TravelAgency"
-).split()
+BUSINESS = [
+    "LocalBusiness",
+    "AnimalShelter",
+    "AutomotiveBusiness",
+    "ChildCare",
+    "Dentist",
+    "DryCleaningOrLaundry",
+    "EmergencyService",
+    "EmploymentAgency",
+    "EntertainmentBusiness",
+    "FinancialService",
+    "FoodEstablishment",
+    "Restaurant",
+    "GovernmentOffice",
+    "HealthAndBeautyBusiness",
+    "BeautySalon",
+    "HomeAndConstructionBusiness",
+    "InternetCafe",
+    "LegalService",
+    "Library",
+    "LodgingBusiness",
+    "Hotel",
+    "MedicalBusiness",
+    "MedicalClinic",
+    "ProfessionalService",
+    "RadioStation",
+    "RealEstateAgent",
+    "RecyclingCenter",
+    "SelfStorage",
+    "ShoppingCenter",
+    "SportsActivityLocation",
+    "Store",
+    "TelevisionStation",
+    "TouristInformationCenter",
+    "TravelAgency",
+]
 #: Checks of a page: name, category, severity if it fails, title of the finding, how to mend it.
 CHECKS = (
     ("viewport", "mobile", "high", "Mobile viewport not set", "Add a viewport meta tag with width=device-width"),

@@ -110,7 +110,7 @@ def guards(audits: DataFrame) -> DataFrame:
     )
 
 
-#: Word caps of a proposal's sections.
+# Word caps of a proposal's sections.
 SECTIONS = {"executive_summary": 80, "the_problem": 120, "what_we_propose": 160, "expected_outcome": 120}
 
 
@@ -123,7 +123,7 @@ def proposal_caps(proposals: DataFrame) -> DataFrame:
     return proposals.select("draft_id", *[w.alias(n) for n, w in words.items()], ok.alias("ok"))
 
 
-#: Lists of a contract: (least, most) items, and characters an item may have.
+# Lists of a contract: (least, most) items, and characters an item may have.
 LISTS = {"evidence": (3, None, None), "value_props": (None, 5, 100), "talking_points": (None, 3, None), "objections": (None, 3, None)}
 
 

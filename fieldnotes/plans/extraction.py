@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldnotes.functions import html as h
 from fieldnotes.functions import phones, text as x
+from fieldnotes.operators import events as ev, language as lang
 from fieldnotes.sources import tables as t
 
 
@@ -98,5 +99,42 @@ each AS (
   SELECT page_id, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN from_json(v, '["VARCHAR"]') ELSE [v ->> '$'] END) AS type FROM types)
 SELECT DISTINCT page_id, type FROM each"""
 
-QUERIES = {"page_articles": articles, "document_phones": document_phones, "ld_types_pages": ld_types}
-SQL = {"page_articles": ARTICLES, "document_phones": PHONES, "ld_types_pages": LD_TYPES}
+def detected(s, d):
+    """Languages of all documents, by profiles from the half of them with an even id."""
+    docs = t.table(s, d, "documents")
+    return lang.languages(docs, lang.profiles(docs.filter("doc_id % 2 = 0")), "doc_id")
+
+
+_GRAMS = r"""SELECT {k}, unnest(list_transform(range(1, CAST(length(p) - 1 AS BIGINT)), lambda i: substr(p, i, 3))) AS gram
+  FROM (SELECT *, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS p FROM documents WHERE regexp_matches(text, '\p{{L}}') AND {w})"""
+_RANKED = "SELECT {k}, gram, row_number() OVER (PARTITION BY {k} ORDER BY count(*) DESC, gram) AS rank FROM ({g}) GROUP BY {k}, gram QUALIFY rank <= 300"
+DETECTED = f"""
+WITH known AS ({_RANKED.format(k="lang", g=_GRAMS.format(k="lang", w="doc_id % 2 = 0 AND lang IS NOT NULL"))}),
+own AS ({_RANKED.format(k="doc_id", g=_GRAMS.format(k="doc_id", w="true"))}),
+sizes AS (SELECT doc_id, count(*) AS size FROM own GROUP BY 1),
+near AS (SELECT doc_id, lang, count(*) AS shared, sum(abs(own.rank - known.rank)) AS apart FROM own JOIN known ON own.gram = known.gram GROUP BY 1, 2),
+every AS (
+  SELECT s.doc_id, l.lang, coalesce(apart, 0) + 300 * (size - coalesce(shared, 0)) AS distance
+  FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM known) l LEFT JOIN near n ON n.doc_id = s.doc_id AND n.lang = l.lang)
+SELECT doc_id, arg_min(lang, (distance, lang)) AS language, CAST(min(distance) AS BIGINT) AS distance FROM every GROUP BY 1"""
+
+
+def lineage(s, d):
+    """Artifacts are made of one or two earlier ones; some are replayed: what has to follow."""
+    n = F.col("doc_id")
+    a = t.table(s, d, "documents").select("doc_id", F.explode(F.array_compact(F.array(F.when(n > 0, F.floor(n / 2)), F.when((n % 4 == 1) & (n > 0), F.floor(n / 3))))).alias("parent"))
+    start = t.table(s, d, "documents").filter("doc_id % 97 = 5").select(n.alias("id"))
+    return ev.downstream(a.select("parent", n.alias("child")), start).withColumnRenamed("id", "artifact_id")
+
+
+LINEAGE = """
+WITH RECURSIVE e AS (
+  SELECT doc_id // 2 AS parent, doc_id AS child FROM documents WHERE doc_id > 0
+  UNION SELECT doc_id // 3, doc_id FROM documents WHERE doc_id > 0 AND doc_id % 4 = 1),
+r AS (
+  SELECT DISTINCT doc_id AS id, CAST(0 AS BIGINT) AS depth FROM documents WHERE doc_id % 97 = 5
+  UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.id WHERE e.parent <> e.child)
+SELECT id AS artifact_id, min(depth) AS depth FROM r GROUP BY 1"""
+
+QUERIES = {"document_language": detected, "replay_lineage": lineage, "page_articles": articles, "document_phones": document_phones, "ld_types_pages": ld_types}
+SQL = {"document_language": DETECTED, "replay_lineage": LINEAGE, "page_articles": ARTICLES, "document_phones": PHONES, "ld_types_pages": LD_TYPES}

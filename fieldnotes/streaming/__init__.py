@@ -76,8 +76,9 @@ def _started(stream: DataFrame, path: str, checkpoint: str, mode: str, **trigger
         return writer.outputMode(mode).format("parquet").option("path", path).start()
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        # all groups of a complete result, or the changed ones, each batch in a folder of its own
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}" if mode == "update" else path)
+        # all groups of a complete result, or the changed ones, each batch in a folder of its own, so that a
+        # reader of an earlier batch isn't disturbed
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return writer.outputMode(mode).foreachBatch(replace).start()
 
@@ -90,7 +91,17 @@ def follow(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Write what a stream's source has now to Parquet files, and read them."""
     _started(stream, path, checkpoint, mode, availableNow=True).awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return written(stream, path, mode)
+
+
+def written(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream has written by now; of mode ``complete``, its latest batch."""
+    rows = stream.sparkSession.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long"))
+    if mode != "complete":
+        return rows.parquet(path)
+    every = rows.parquet(path)
+    last = every.agg(F.max("batch")).first()[0]  # a value of folders' names
+    return every.filter(F.col("batch") == F.lit(last)).drop("batch")
 
 
 def periodic(spark: SparkSession, step: Callable[[SparkSession, int], None], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
