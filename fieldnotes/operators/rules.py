@@ -4,7 +4,7 @@ Rules are rows (name, category, kind, header, regex, weight).  A signal is teste
 value.  Few rules meet each value of their kind by a broadcast of the rule table.  Many are looked for by an
 automaton of literals that their patterns can't match without: one pass over a value finds all rules whose
 literal it has, and only these, and the rules without a literal, are tested.  Either way the JVM tests the
-patterns, so both give the same rows.  Rule tables over ``MOST_RULES`` are applied in slices.
+patterns, so both give the same rows.  Rule tables over ``BROADCAST_RULES`` are applied in slices.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ except ImportError:  # many rules are then slower
 #: From so many rules on the automaton pays.
 MANY_RULES = 200
 #: Rules that are broadcast at a time.
-MOST_RULES = 50_000
+BROADCAST_RULES = 50_000
 #: A literal of fewer characters is in too many values to be worth looking for.
 LITERAL = 3
 # Categories whose absence is worth a pitch.
@@ -128,7 +128,7 @@ def _matches(found: DataFrame, rules: DataFrame, n: int) -> DataFrame:
     if n < MANY_RULES or ahocorasick is None:
         on = (F.col("kind") == F.col("rule_kind")) & F.col("header").eqNullSafe(F.col("rule_header"))
         return found.join(F.broadcast(rule), on).filter(F.expr("value rlike regex")).select(keep).distinct()
-    rows = sorted(rule.distinct().collect(), key=repr)  # at most MOST_RULES
+    rows = sorted(rule.distinct().collect(), key=repr)  # at most BROADCAST_RULES
     look = _candidates([(i, r["rule_kind"], r["rule_header"], r["regex"]) for i, r in enumerate(rows)])
     numbered = found.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number int, " + ", ".join(f"{c} {t}" for c, t in rule.dtypes))
     near = found.select("page_id", "value", F.explode(look("kind", "header", "value")).alias("number"))
@@ -141,7 +141,7 @@ def detect(pages: DataFrame, rules: DataFrame, least: float = 0.5) -> DataFrame:
     Confidence is the sum of the weights of the signals that match, each counted once, at most 1.
     """
     n = rules.count()
-    slices = max(1, -(-n // MOST_RULES))
+    slices = max(1, -(-n // BROADCAST_RULES))
     found = values(pages)
     numbered = rules.withColumn("slice", F.pmod(F.xxhash64("name", "kind", "regex"), F.lit(slices)))
     matched = reduce(DataFrame.unionByName, [_matches(found, numbered.filter(F.col("slice") == i) if slices > 1 else rules, n) for i in range(slices)])

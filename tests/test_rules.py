@@ -58,7 +58,7 @@ def test_many_rules_equal_few(spark, monkeypatch):
         monkeypatch.setattr(rules, "MANY_RULES", at)
         found[name] = sorted(map(tuple, rules.detect(p, r).collect()))
     monkeypatch.setattr(rules, "MANY_RULES", 1)
-    monkeypatch.setattr(rules, "MOST_RULES", 150)
+    monkeypatch.setattr(rules, "BROADCAST_RULES", 150)
     found["slices"] = sorted(map(tuple, rules.detect(p, r).collect()))
     assert found["automaton"] == found["one by one"] == found["slices"] and len(found["slices"]) > 100
 
