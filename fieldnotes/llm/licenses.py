@@ -1,9 +1,10 @@
 """Licence scans by canonical digest, in DataFrame operations only.
 
-A text is put into canonical form: lower case, lines that state a copyright dropped, equivalent
-spellings made one, punctuation and blanks reduced to single blanks.  The SHA-256 of that form is
-looked up among the digests of known licence texts by a hash join.  Entire texts are compared:
-first the whole document, then each of its lines, by which a one-line notice is found.
+A text is put into canonical form: lower case, lines that state a copyright, reserve all rights or are a
+title of a short licence dropped, punctuation and blanks reduced to single blanks, equivalent spellings
+made one; so neither titles nor line breaks matter.  The SHA-256 of that form is looked up among the
+digests of known licence texts by a hash join.  Entire texts are compared: first the whole document, then
+each of its lines, by which a one-line notice is found.
 
 Plan: one scan, no shuffle: the catalogue is a few dozen rows given by the caller, and is broadcast
 only while it has at most ``BROADCAST_ROWS`` rows.  Beyond, digests of texts and lines are joined, with
@@ -28,22 +29,43 @@ from fieldnotes.llm.common import free_name, others, read
 BROADCAST_ROWS = 256
 BROADCAST_FOUND = 1_000_000
 
-# Equivalent spellings (pattern, replacement), applied in order to lower-case text.
+# Equivalent spellings (words, replacement), applied in order to words between single blanks.
 SPELLINGS = (
-    ("licence", "license"),
     ("licenc", "licens"),
-    ("sub-license", "sublicense"),
-    ("merchantibility", "merchantability"),
-    ("non-infringement", "noninfringement"),
-    ("copyright holders", "copyright owners"),
-    ("copyright holder", "copyright owner"),
-    ("https://", "http://"),
-    ("version ", "v"),
-    (" & ", " and "),
+    (" sub licens", " sublicens"),
+    (" merchantibility ", " merchantability "),
+    (" non infringement ", " noninfringement "),
+    (" copyright holder", " copyright owner"),
+    (" https ", " http "),
+    (" version ", " v"),
 )
 
-#: A line that states a copyright: it begins with the word or (c), and gives a sign or a year; or with ©.
-COPYRIGHT_LINE = r"^[\x20\t*#/;-]*(?:(?:copyright|\(c\))[^\n]*(?:\(c\)|©|(?:19|20)[0-9]{2}|\[yyyy\]|<year>)|©)[^\n]*$"
+#: Statements of copyright within the long texts and the notices that they suggest, wherever lines break.
+STATEMENT = (
+    r"copyright \(c\)\s+(?:[0-9][0-9,\s]*free\s+software\s+foundation,\s+inc\.(?:,|\s+<https?://fsf\.org/>)?"
+    r"|(?:<year>|19yy|year)\s+(?:<name\s+of\s+author>|your\s+name)|_+\s+_+)"
+)
+
+#: A line that states a copyright: it begins with the word or (c), and gives a sign, or a year next or last;
+#: or it begins with ©.
+COPYRIGHT = (
+    r"(?:copyright|\(c\))(?:[\x20\t:,-]*(?:(?:19|20)[0-9]{2}|\[yyyy\]|<year>)[^\n]*|[^\n]*(?:\(c\)|©)[^\n]*"
+    r"|[^\n]*(?:19|20)[0-9]{2}[\x20\t\r.,;]*(?:all rights reserved[\x20\t\r.]*)?)|©[^\n]*"
+)
+
+#: A line that reserves all rights, or the title of a short licence.
+TITLE = (
+    r"(?:all rights reserved"
+    r"|(?:the )?(?:mit|isc|zlib|bsd|(?:new|modified|revised|simplified) bsd|(?:[023]|zero|two|three)[ -]clause bsd"
+    r"|bsd (?:[023]|zero|two|three)[ -]clause(?: \"[a-z]+\"(?: or \"[a-z]+\")?)?|boost software) licen[cs]e(?: \([a-z0-9-]+\))?"
+    r"|zero-clause bsd|boost software licen[cs]e - version 1\.0 - august 17th,[\x20\t]+2003|(?:the )?unlicense)[\x20\t\r.:]*"
+)
+
+#: Lines that say nothing of a licence's terms.
+DROPPED = rf"^[\x20\t*#/;-]*(?:{COPYRIGHT}|{TITLE})$"
+
+#: What stands between words: blanks and punctuation of ASCII, no-break blanks, dashes, curly quotes.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{2010}-\x{201F}\x{2026}]+"
 
 # One-line notices and the short licences' texts, by SPDX identifier.
 NOTICES = (
@@ -102,27 +124,28 @@ NOTICES = (
 # Digests of the canonical forms of long licence texts, as published.
 DIGESTS = (
     ("Apache-2.0", "548a8fa0e316cd796a8faf1ecd18b0d1ea567c5214382b6df18975fda2c6f63a"),
-    ("Artistic-1.0-Perl", "47e2286636685f258479ee6196f01ab6a101a914408897b414e52256473076a3"),
-    ("CC0-1.0", "efa01e1f98bc5d90ca373f597e31e8f26b9c2e392a701828ae8cab513d864640"),
-    ("GFDL-1.2-only", "e87e82de2f4e73da9be8f7d9ae0e10e5bc935304244a1059554a27fd785d330d"),
-    ("GFDL-1.3-only", "a7d961295febafeee7dfc0a7e5ec419e496df3b4dffd7d36d090079d93a8fcab"),
-    ("GPL-1.0-only", "e312fb60097a06938bd8731a5b1d9fa9c839885eb08b64989d38306b73c84ef6"),
-    ("GPL-2.0-only", "1f75d008004c6c941c02e481ba115c0d42dfe7595608f51b8a3a5cbd2be4a9cc"),
-    ("GPL-3.0-only", "d8b875f85487f7e0593f037af261b9a47b907c59d8eb18e7b3575d4187bd3eba"),
-    ("LGPL-2.0-only", "1ca6f684a8f18544f0600753b95ea57873514dd300f9cf4a341d7e893bf22692"),
-    ("LGPL-2.1-only", "e9e9c21d8c6f55711331a74397775740756167e8742dea00f8b190dbcda43784"),
-    ("LGPL-3.0-only", "5c596d73ce671bf605bbdee26813192c5526af7efd4a060975bec2c6970dcf0f"),
-    ("MPL-1.1", "ad438d6d86dece2b1c6e99ad434d42e8b8d9610476d06e52f54397b6e59609da"),
-    ("MPL-2.0", "f8bef112ebd628adf6a8059b43ec2ecaeb1ec18b9d0bcc9bf5fbd845fb95379a"),
+    ("Artistic-1.0-Perl", "66ebbee7f29e04172dca3cccd45e67e4060e0d0df5f4801f57a8afac007d0e04"),
+    ("CC0-1.0", "976b0f9cb0d01a3b180e3acf46433f38d5c43a3bd163e4ddacaf7db20de9d627"),
+    ("GFDL-1.2-only", "a931017a4128bfed0359a7089e01b6edeb0d0a569786efae91fdf2b9d9ecfc6f"),
+    ("GFDL-1.3-only", "4d00f3100897300d5d6fb6fbbcf4f5004873a455a731ec58311d07e6c1348e94"),
+    ("GPL-1.0-only", "8364033a793c915d564d9960f4c1e8c6772405e94db734f5fbc7e39a892aa1a5"),
+    ("GPL-2.0-only", "2ff8b7758bafdb1ae717023b48a28b501aa13e9bb1368a17c78ea93b9a6fb894"),
+    ("GPL-3.0-only", "b9b1219e33d300d1883fb20bd7be5df2aeae9ed390b663dc8b2c8ee39c13b798"),
+    ("LGPL-2.0-only", "190576efcc72209c8ed198ea7a1754307bf384b4cadef7e2fdd10047644cc46e"),
+    ("LGPL-2.1-only", "858cb1153ac332fda4dbc5c82d258956b291a2d6dd374ce5561172295a414843"),
+    ("LGPL-3.0-only", "2afb8c73174cf61997f541127f053814cc8fcbaca9fc4a6e70e12533a804de59"),
+    ("MPL-1.1", "7020319a02564609877b5de2634e07892446709171a35432744b2b4b6670e650"),
+    ("MPL-2.0", "9491984e562193ea5b26edb7a203e80263a87df0539c40d16573c993fb9f8c1e"),
 )
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
-    out = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), "(?md)" + DROPPED, " ")
+    out = F.concat(F.lit(" "), F.regexp_replace(F.replace(out, F.lit("&"), F.lit(" and ")), BETWEEN, " "), F.lit(" "))
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
-    return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
@@ -200,10 +223,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(lower({text}), '{STATEMENT}', ' ', 'g'), '(?m){DROPPED}', ' ', 'g')"
+    out = f"' ' || regexp_replace(replace({out}, '&', ' and '), '{BETWEEN}', ' ', 'g') || ' '"
     for spelling, one in SPELLINGS:
         out = f"replace({out}, '{spelling}', '{one}')"
-    return rf"trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+    return f"trim({out})"
 
 
 def op6_sql() -> str:

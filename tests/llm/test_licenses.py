@@ -1,5 +1,7 @@
 """Every notice is found as a line of a longer text."""
 
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators_llm import DOCS
@@ -53,3 +55,47 @@ def test_repeated_rows_and_clashing_columns(spark, monkeypatch, rows):
     out = licenses.scan(docs, licenses.catalogue(spark), into="terms").collect()
     assert [(r["licenses"], r["license_row"], r["known"]) for r in out] == [("a", "b", "c")] * 4
     assert sorted((r["terms"]["n_lines"], r["terms"]["lines"]) for r in out) == [(0, []), *[(3, ["MIT"])] * 3]
+
+
+TITLES = {
+    "MIT": ["MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License:"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "Zlib": ["zlib License", "The zlib License (Zlib)"],
+    "BSL-1.0": ["", "Boost Software License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
+
+@pytest.mark.parametrize("width", [60, 72, 79])
+def test_titles_reserved_rights_and_line_breaks(spark, width):
+    """As in a file: title, statement, then the text in paragraphs of a width."""
+    long = [(n, t) for n, t in licenses.NOTICES if len(t) > 200]
+    docs, names = [], []
+    for i, (name, text) in enumerate(long):
+        body = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+        for title in TITLES[name]:
+            docs.append(f"{title}\n\nCopyright (c) 2019-2024, A. Person\n{'All rights reserved.' if i % 2 else ''}\n\n{body}\n")
+            docs.append(docs[-1].replace("\n", "\r\n"))
+            names += [name, name]
+    assert [r[0] for r in found(spark, docs)] == names
+
+
+def test_only_whole_lines_are_titles(spark):
+    known = licenses.catalogue(spark, (("Own", "Do as you please."),))
+    texts = ["The MIT License\nDo as you please.", "The MIT License says\nDo as you please.", "Do as you please. All rights reserved.", "MIT License"]
+    assert [r[0] for r in found(spark, texts, known)] == ["Own", None, None, None]
+
+
+def test_spellings_are_words_and_span_lines(spark):
+    form = spark.createDataFrame([("GPL, Version\n3 & on",), ("conversion of",), ("non-\ninfringement; sub-licence, \u201cas is\u201d",)], "text string").select(licenses.canonical(F.col("text"))).collect()
+    assert [r[0] for r in form] == ["gpl v3 and on", "conversion of", "noninfringement sublicense as is"]
+
+
+def test_statements_of_copyright(spark):
+    gone = ["Copyright 2020 X and others", "Copyright: 1999-2003", "Copyright The Regents 1994. All rights reserved.", "(C) 2001, Y", "\u00a9 Z", "# Copyright X (c) Y"]
+    kept = ["Copyright treaty adopted on 20 December 1996, or", "Copyright holders", "(c) You must"]
+    out = spark.createDataFrame([(x,) for x in gone + kept], "text string").select(licenses.canonical(F.col("text"))).collect()
+    assert [bool(r[0]) for r in out] == [False] * len(gone) + [True] * len(kept)
