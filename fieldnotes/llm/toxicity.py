@@ -23,7 +23,7 @@ spectrum: exact, and linear in the few tokens that matter, however long the text
 Training is bounded by ``SAMPLE`` toxic and ``CLEAN * SAMPLE`` clean documents, the first by a hash of the
 id, and takes their whole texts: these are kept in the shared folder and read by the executors, which give
 the driver counts of features, windows of ``WIDTH`` tokens that have one (numbers, no text), and two
-marginals a document.  Scoring reads whole texts, in Arrow batches, without a shuffle.
+marginals a document.  There, marginals are computed for ``BLOCK`` windows at a time.  Scoring reads whole texts, in Arrow batches, without a shuffle.
 
 Defined cases: null and empty texts score like a text without toxic tokens; repeated labels of a
 document count once (the least), and so do repeated rows; labels of no document, null ids and other values
@@ -62,9 +62,14 @@ USES = 4
 #: Tokens of a training chain.
 WIDTH = 64
 STEPS = 150
-#: Weight of the prior, and what a leaning word has beyond its log-odds.
+#: Windows whose marginals are held at once.
+BLOCK = 4096
+#: Weight of the prior, chosen by ``choose_prior`` from rows that may be learned from; and what a leaning word has beyond its log-odds.
 PRIOR = 10.0
 LEAN = 1.0
+#: What ``choose_prior`` tries, and its folds.
+PRIORS = (1.0, 3.0, 10.0, 30.0)
+FOLDS = 3
 CACHE = 400_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -128,43 +133,61 @@ def leaning(bad: dict[str, tuple[int, int, int]], good: dict[str, int], n_bad: i
 
 
 class Chains:
-    """Training chains: windows of tokens by document, with the features active at each token."""
+    """Training chains: windows of tokens by document, with the features active at each token.  They are
+    summed in blocks of whole documents, so that marginals are held for one block alone."""
 
     def __init__(self, windows: pd.DataFrame, features: int):
+        ids, doc = np.unique(windows["doc"].to_numpy(), return_inverse=True)
+        order = np.argsort(doc, kind="stable")
+        windows, self.doc = windows.iloc[order], doc[order]
         self.features, self.length = features, windows["length"].to_numpy(np.int64)
-        b, t = len(windows), int(self.length.max(initial=1))
-        self.shape, self.mask = (b, t), np.arange(t)[None, :] < self.length[:, None]
+        self.width = int(self.length.max(initial=1))
         sizes = np.array([len(x) for x in windows["at"]], np.int64)
-        flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in windows[c]]) if sizes.sum() else np.zeros(0, np.int64)
-        self.rows, self.cols = np.repeat(np.arange(b), sizes) * t + flat("at"), flat("feature")
-        ids, self.doc = np.unique(windows["doc"].to_numpy(), return_inverse=True)
+        flat = lambda c: np.concatenate([np.asarray(x, np.int32) for x in windows[c]]) if sizes.sum() else np.zeros(0, np.int32)
+        self.at, self.cols, self.ends = flat("at"), flat("feature"), np.concatenate([[0], np.cumsum(sizes)])
         self.toxic = np.zeros(len(ids), bool)
         self.toxic[self.doc] = windows["toxic"].to_numpy(bool)
+        firsts = np.searchsorted(self.doc, np.arange(len(ids) + 1))
+        begins = np.flatnonzero(np.diff(firsts[:-1] // BLOCK, prepend=-1))
+        self.blocks = [(lo, hi, firsts[lo], firsts[hi]) for lo, hi in zip(begins, [*begins[1:], len(ids)], strict=True)]
 
     def likelihood(self, params: np.ndarray) -> tuple[float, np.ndarray]:
         """Log-likelihood of the labelled documents and its gradient in the weights, the bias of the toxic
         tag and the transitions."""
-        k, (b, t) = self.features, self.shape
-        emit = np.bincount(self.rows, params[self.cols], b * t).reshape(b, t) + params[k]
+        value, grad = 0.0, np.zeros(self.features + 5)
+        for block in self.blocks:
+            v, g = self._of_block(params, *block)
+            value, grad = value + v, grad + g
+        return value, grad
+
+    def _of_block(self, params: np.ndarray, first: int, last: int, lo: int, hi: int) -> tuple[float, np.ndarray]:
+        """The same of the documents from ``first`` to before ``last``, whose windows are ``lo`` to before ``hi``."""
+        k, b, t = self.features, hi - lo, self.width
+        length, doc, toxic = self.length[lo:hi], self.doc[lo:hi] - first, self.toxic[first:last]
+        spots = slice(self.ends[lo], self.ends[hi])
+        cols, rows = self.cols[spots], np.repeat(np.arange(b), np.diff(self.ends[lo : hi + 1])) * t + self.at[spots]
+        mask = np.arange(t)[None, :] < length[:, None]
         trans = params[k + 1 :].reshape(2, 2)
-        marg, pairs, log_z = forward_backward(emit, trans, self.mask)
-        clean = np.bincount(self.doc, (self.length - 1) * trans[0, 0] - log_z, len(self.toxic))  # log P(no toxic token)
+        emit = np.bincount(rows, params[cols], b * t).reshape(b, t) + params[k]
+        marg, pairs, log_z = forward_backward(emit, trans, mask)
+        clean = np.bincount(doc, (length - 1) * trans[0, 0] - log_z, last - first)  # log P(no toxic token)
         clean = np.minimum(clean, -1e-9)
         log_any = np.log(-np.expm1(clean))
         # a toxic document's expectations given any toxic token, less those without that knowledge
-        pull = np.where(self.toxic, np.exp(clean - log_any), -1.0)[self.doc]
-        error = (marg * self.mask * pull[:, None]).ravel()
-        both = (pairs * self.mask[:, 1:, None, None]).sum(axis=1)
-        both[:, 0, 0] -= self.length - 1  # the clean sequence has only pairs of clean tags
-        grad = np.concatenate([np.bincount(self.cols, error[self.rows], k), [error.sum()], (both * pull[:, None, None]).sum(axis=0).ravel()])
-        return float(np.where(self.toxic, log_any, clean).sum()), grad
-
-    def fit(self, start: np.ndarray, steps: int = STEPS) -> np.ndarray:
-        """Gradient ascent, with a Gaussian prior around where the parameters start."""
+        pull = np.where(toxic, np.exp(clean - log_any), -1.0)[doc]
+        error = (marg * mask * pull[:, None]).ravel()
+        both = (pairs * mask[:, 1:, None, None]).sum(axis=1)
+        both[:, 0, 0] -= length - 1  # the clean sequence has only pairs of clean tags
+        grad = np.concatenate([np.bincount(cols, error[rows], k), [error.sum()], (both * pull[:, None, None]).sum(axis=0).ravel()])
+        return float(np.where(toxic, log_any, clean).sum()), grad
+
+    def fit(self, start: np.ndarray, steps: int = STEPS, weight: float | None = None) -> np.ndarray:
+        """Gradient ascent, with a Gaussian prior of that weight (``PRIOR``) around where the parameters start."""
+        weight = PRIOR if weight is None else weight
         prior = np.concatenate([start, [-6.0], np.zeros(4)])
         params, grad2 = prior.copy(), np.zeros(len(prior))
         for i in range(steps):
-            g = self.likelihood(params)[1] / len(self.toxic) * 100 - PRIOR * (params - prior)
+            g = self.likelihood(params)[1] / len(self.toxic) * 100 - weight * (params - prior)
             grad2 = 0.9 * grad2 + 0.1 * g * g
             params = params + 0.1 / (1 + i / 50) * g / (np.sqrt(grad2) + 1e-3)
         return params
@@ -310,8 +333,29 @@ def drawn(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame | None:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | None:
     """A chain from the labelled rows that may be learned from; None without both labels."""
     rows = drawn(docs, labels, sample)
-    if rows is None:
-        return None
+    return None if rows is None else fitted(rows, *chains_of(rows))
+
+
+def choose_prior(docs: DataFrame, labels: DataFrame, priors: tuple[float, ...] = PRIORS, folds: int = FOLDS, sample: int = SAMPLE) -> dict[float, float]:
+    """The mean log loss of each weight of the prior, over folds of the rows that may be learned from: each
+    fold is scored by chains trained on the others."""
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))), F.lit(folds))
+    losses: dict[float, list[np.ndarray]] = {p: [] for p in priors}
+    for k in range(folds):
+        rows, rest = (drawn(docs, labels.filter(part), sample) for part in (fold != k, fold == k))
+        if rows is None or rest is None:
+            continue
+        start, windows = chains_of(rows)
+        for prior in priors:
+            got = fetched(toxicity(rest, fitted(rows, start, windows, prior)).select("toxic", "toxicity.score"))
+            p = np.clip(got["score"].to_numpy(), 1e-6, 1 - 1e-6)
+            losses[prior].append(-np.log(np.where(got["toxic"] == 1, p, 1 - p)))
+    return {p: float(np.concatenate(x).mean()) for p, x in losses.items() if x}
+
+
+def chains_of(rows: DataFrame) -> tuple[dict[str, float], pd.DataFrame]:
+    """The features that lean to toxic in a sample, with the weights they start from, and its windows, which
+    number the features in order."""
     sc = rows.sparkSession.sparkContext
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,9 +414,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | Non
             yield pd.DataFrame(out, columns=["doc", "toxic", "length", "at", "feature"])
 
     found = fetched(rows.mapInPandas(windows, "doc string, toxic int, length int, at array<int>, feature array<int>"))
-    found = found.sort_values("doc", kind="stable", ignore_index=True)
-    params = Chains(found, len(index)).fit(np.array([start[f] for f in sorted(start)])) if len(found) else np.concatenate([np.zeros(len(index)), [-6.0], np.zeros(4)])
-    k = len(index)
+    return start, found.sort_values("doc", kind="stable", ignore_index=True)
+
+
+def fitted(rows: DataFrame, start: dict[str, float], windows: pd.DataFrame, prior: float | None = None) -> Crf:
+    """A chain from a sample and what ``chains_of`` gives of it."""
+    index = {f: i for i, f in enumerate(sorted(start))}
+    k, at = len(index), np.array([start[f] for f in index])
+    params = Chains(windows, k).fit(at, weight=prior) if len(windows) else np.concatenate([np.zeros(k), [-6.0], np.zeros(4)])
     crf = Crf({f: float(params[i]) for f, i in index.items()}, float(params[k]), params[k + 1 :].reshape(2, 2))
     marks = fetched(toxicity(rows, crf).select("toxic", "toxicity.top", "toxicity.total")).sort_values(["toxic", "top", "total"])
     crf.curve = curve_of(marks["top"].to_numpy(), marks["total"].to_numpy(), marks["toxic"].to_numpy(np.float64))

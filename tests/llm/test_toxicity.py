@@ -138,3 +138,25 @@ def test_held_out_rows(spark):
     print("held out", hit, toxic, said, len(rows))
     assert hit / toxic > 0.9 and hit / said > 0.9
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_blocks_of_documents_change_nothing(monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"d{rng.randrange(40)}", rng.randint(3, 9)) for _ in range(200)]
+    rows = [(d, int(d[-1] in "13"), n, [i for i in range(n) if rng.random() < 0.3]) for d, n in rows]
+    windows = pd.DataFrame([(*r, [rng.randrange(5) for _ in r[3]]) for r in rows], columns=["doc", "toxic", "length", "at", "feature"])
+    params = np.random.default_rng(2).normal(size=10)
+    whole = toxicity.Chains(windows, 5)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    split = toxicity.Chains(windows, 5)
+    assert len(whole.blocks) == 1 and len(split.blocks) > 5 and split.blocks[-1][1] == len(whole.toxic) and split.blocks[-1][3] == 200
+    (a, ga), (b, gb) = whole.likelihood(params), split.likelihood(params)
+    assert math.isclose(a, b, rel_tol=1e-12) and np.allclose(ga, gb, rtol=1e-9)
+
+
+def test_the_prior_is_chosen_without_held_out_rows(spark):
+    rows = toy()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    same = [[(i, 1 - y if turned and zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in rows] for turned in (False, True)]
+    got = [toxicity.choose_prior(docs, spark.createDataFrame(x, "doc_id long, toxic int"), (1.0, 100.0), folds=2) for x in same]
+    assert got[0] == got[1] and list(got[0]) == [1.0, 100.0] and max(got[0].values()) < 0.3
