@@ -65,11 +65,11 @@ STEPS = 150
 #: Windows whose marginals are held at once.
 BLOCK = 4096
 #: Weight of the prior, chosen by ``choose_prior`` from rows that may be learned from; and what a leaning word has beyond its log-odds.
-PRIOR = 10.0
+PRIOR = 100.0
 LEAN = 1.0
 #: What ``choose_prior`` tries, and its folds.
-PRIORS = (1.0, 3.0, 10.0, 30.0)
-FOLDS = 3
+PRIORS = (3.0, 10.0, 30.0, 100.0)
+FOLDS = 2
 CACHE = 400_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
