@@ -24,8 +24,10 @@ their characters in two or more places, has its pairs dealt over all tasks by bo
 
 Plan: keys are made from one scan in whole-stage code and met by an aggregate with partial results
 (least and greatest line of a key), so a hot key is a row a task; no text is shuffled.  The keys that meet are
-joined to the keys of a second scan: broadcast up to ``BROADCAST_ROWS``, with the lines' texts; beyond, by
-Spark's own choice, and a third scan gives the texts of the lines that met.
+joined to the keys of a second scan: broadcast up to ``BROADCAST_ROWS``, with the lines' texts; beyond, by a
+shuffled hash of the keys, and a third scan gives the texts of the lines that met.  Candidates of all levels
+are verified together.  Each table's shuffle files go once it is written (``scratch.cut``), so the disk holds the
+largest shuffle, the one of the keys, and not the sum of all; large sides are hashed against, not sorted.
 Links are between numbers given to those lines; a line is known by 128 bits of hash.
 
 Defined cases: null texts have no lines; blank lines are never removed; rows with one doc_id and one
@@ -37,17 +39,19 @@ lines of a very long text are lines like any other; an empty table stays empty;
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldnotes.llm import graphs, scratch
+from fieldnotes.llm import common, graphs, scratch
 from fieldnotes.llm.common import bounded, free_name, others, read
 
 EDITS = 2
 #: Characters of the shorter line for each edit that may be between linked lines.
 CHARS = 10
-BROADCAST_ROWS = 1_000_000
+#: Keys that meet, of one long each, that may be broadcast.
+BROADCAST_ROWS = 4_000_000
 #: Documents whose removed lines are broadcast to all.
 BROADCAST_GONE = 250_000
 #: Lines of a key that are paired with each other; the lines of hotter keys are linked without.
@@ -62,6 +66,12 @@ LETTERS = "etaoinsrhludcmgb"
 _SLOT = 1 << 31
 
 
+def hashed(few: DataFrame, most: int) -> DataFrame:
+    """A table that is broadcast while it has at most ``most`` rows, else hashed after a shuffle: the other
+    side, which may hold texts, is never sorted on disk."""
+    return F.broadcast(few) if few.count() <= most else few.hint("shuffle_hash")
+
+
 def odd_blanks(text: Column) -> Column:
     """That a text has other blanks than single spaces."""
     odd = text.contains("  ")
@@ -116,7 +126,7 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
-def _bounds(length: Column, i: int, parts: int = EDITS + 1) -> tuple[Column, Column]:
+def _bounds(length: Column, i: int | Column, parts: int = EDITS + 1) -> tuple[Column, Column]:
     """Start (from 0) and length of segment i of a line: the last ones are one longer."""
     short = F.floor(length / parts).cast("int")
     longer = (length % parts).cast("int")
@@ -245,15 +255,33 @@ def line_id(row: Column) -> Column:
     return row.bitwiseAND(-2)
 
 
+def planned_keys(sized: DataFrame, together: int, *carried: str) -> DataFrame:
+    """Lines (id, wide, n) -> (id, at, key), the keys of ``line_keys`` by a table of the plan's entries: an
+    expression for each of the many entries of a plan for two segments takes longer to compile than to run."""
+    parts, plan = EDITS + together, _plan(together)
+    rows = [(at, d, "".join(map(str, (together, *of))), *of, *shifts) for at, (d, of, shifts) in enumerate(plan)]
+    names = [f"{name}{i}" for name in ("of", "shift") for i in range(together)]
+    entries = sized.sparkSession.createDataFrame(rows, "at int, less int, tag string, " + ", ".join(f"{name} int" for name in names))
+    each = sized.crossJoin(F.broadcast(entries)).withColumn("other", F.col("n") - F.col("less"))
+    inside = []
+    for i in range(together):
+        start, size = _bounds(F.col("other"), F.col(f"of{i}"), parts)
+        start = start + F.col(f"shift{i}")
+        inside.append(F.when(start >= 0, _part(F.col("wide"), start, size)))
+    return each.select("id", *carried, "at", F.xxhash64(F.col("other").cast("int"), "tag", *inside).alias("key"))
+
+
 def key_rows(lines: DataFrame, together: int, *carried: str) -> DataFrame:
     """(line, id) of lines -> (key, row) for all their keys, and columns carried along; the lowest bit of
     id isn't used."""
-    sized = lines.select("id", *carried, F.encode("line", "UTF-32").alias("wide"), F.length("line").alias("n"))
+    sized = lines.select(line_id(F.col("id")).alias("id"), *carried, F.encode("line", "UTF-32").alias("wide"), F.length("line").alias("n"))
+    both = F.col("id").bitwiseOR((F.col("at") < indexed_keys(together)).cast("long"))
+    if together > 1:
+        return planned_keys(sized, together, *carried).select("key", both.alias("row"), *carried)
     # keys as columns: a projection shares the expressions they have in common, a generator doesn't
     keys = line_keys(F.col("wide"), F.col("n"), together)
     names = [f"key{i}" for i in range(len(keys))]
-    keyed = sized.select(line_id(F.col("id")).alias("id"), *carried, *[k.alias(name) for k, name in zip(keys, names, strict=True)])
-    both = F.col("id").bitwiseOR((F.col("at") < indexed_keys(together)).cast("long"))
+    keyed = sized.select("id", *carried, *[k.alias(name) for k, name in zip(keys, names, strict=True)])
     return keyed.select("id", *carried, F.posexplode(F.array(*names)).alias("at", "key")).select("key", both.alias("row"), *carried)
 
 
@@ -273,7 +301,7 @@ def met_rows(lines: DataFrame, together: int, *carried: str) -> tuple[DataFrame,
     """The distinct (key, row) of keys that meet, and whether the columns to carry came along: only if
     keys are broadcast, since they would be shuffled with every key else."""
     keys, small = met_keys(key_rows(lines, together))
-    rows = key_rows(lines, together, *carried).join(F.broadcast(keys), "key", "left_semi") if small else key_rows(lines, together).join(keys, "key", "left_semi")
+    rows = key_rows(lines, together, *carried).join(F.broadcast(keys), "key", "left_semi") if small else key_rows(lines, together).join(keys.hint("shuffle_hash"), "key", "left_semi")
     return scratch.cut(rows.distinct(), "met"), small
 
 
@@ -370,26 +398,27 @@ def near_lines(lines: DataFrame, bucket: int = BUCKET, levels: int = LEVELS) ->
         met = met.select("key", "row")
     else:
         ids = met.select(line_id(F.col("row")).alias("id")).distinct()
-        texts = long.join(ids, "id", "left_semi").distinct()
+        texts = long.join(hashed(scratch.cut(ids, "ids"), BROADCAST_ROWS), "id", "left_semi").distinct()
     # an id may be of several lines; a number is of one
     texts = scratch.cut(texts.select("*", letter_counts(F.col("line")).alias("counts"), (F.monotonically_increasing_id() * 2).alias("node")), "texts")
-    by, edges = "id", None
+    by, met_pairs, stars = "id", [], []
     for level in range(1, levels + 1):
         pairs, many = meetings(met, texts, by, bucket)
-        found = verified(scratch.cut(pairs, "candidates"), texts)
-        edges = found if edges is None else edges.unionAll(found)
+        met_pairs.append(pairs)
         if many is None:
             break
         cut = rests(many, texts)
-        edges = edges.unionAll(linked_rests(cut.filter("letters IS NOT NULL")))
+        stars.append(linked_rests(cut.filter("letters IS NOT NULL")))
         left = scratch.cut(cut.filter("letters IS NULL").select("key", "node"), "left")
         if not left.limit(1).count():
             break
         if level == levels:
-            edges = edges.unionAll(verified(scratch.cut(dealt_pairs(left, texts), "candidates"), texts))
+            met_pairs.append(dealt_pairs(left, texts))
             break
         again = texts.join(left.select("node").distinct(), "node", "left_semi")
         met, by = met_rows(again.select("line", F.col("node").alias("id")), level + 1)[0], "node"
+    candidates = scratch.cut(reduce(DataFrame.unionAll, met_pairs).distinct(), "candidates")
+    edges = reduce(DataFrame.unionAll, stars, verified(candidates, texts))
     return edges.distinct(), texts
 
 
@@ -415,7 +444,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     least = linked.groupBy("component").agg(F.min("first").alias("stays"))
     linked = linked.join(least, "component").select("h1", "h2", "stays")
     single = groups.join(classes, ["h1", "h2"], "left_anti").filter("n > 1").select("h1", "h2", F.col("first").alias("stays"))
-    stays = bounded(scratch.cut(linked.unionAll(single), "stays"))
+    stays = hashed(scratch.cut(linked.unionAll(single), "stays"), common.BROADCAST_ROWS)
     return narrow.join(stays, ["h1", "h2"]).filter(F.col("spot") != F.col("stays")).select("doc_id", "t1", "t2", "line_no")
 
 
@@ -432,7 +461,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A text all of whose lines go is empty; its document stays.  A column n_chars follows.
     """
     row, id_, one, two, lines, split = (free_name(docs, n) for n in ("gone_row", "gone_key", "gone_t1", "gone_t2", "gone", "gone_parts"))
-    gone = bounded(_gone(docs).toDF(id_, one, two, lines), BROADCAST_GONE)
+    gone = hashed(_gone(docs).toDF(id_, one, two, lines), BROADCAST_GONE)
     marked = docs.withColumn(row, F.struct(*document(F.col("text"))))
     same = marked["doc_id"].eqNullSafe(gone[id_]) & (marked[row]["t1"] == gone[one]) & (marked[row]["t2"] == gone[two])
     joined = marked.join(gone, same, "left").withColumn(split, F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
@@ -447,7 +476,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (that count), n_removed, removed_sha256 (numbers of the removed lines)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = bounded(_gone(docs), BROADCAST_GONE)
+    gone = hashed(_gone(docs), BROADCAST_GONE)
     # lines that aren't blank, by what they begin with
     count = F.regexp_count("text", F.lit(r"(?md)^[\x20\t\x0B\f\r]*+[^\n\x20\t\x0B\f\r]"))
     sized = docs.select("doc_id", F.struct(*document(F.col("text"))).alias("row"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))

@@ -15,6 +15,10 @@ from fieldnotes.session import shared_folder
 
 _made: list[tuple[SparkSession, str]] = []
 
+#: Shuffle files go as soon as a table is written: else they stay until the driver collects its garbage, and
+#: a job of many tables holds the shuffles of all of them at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, deleted when this process ends."""
@@ -27,9 +31,16 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and return a DataFrame that reads the files."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = folder(spark, name)
+    # for this write alone: a frame of the caller's that runs twice may need its shuffles again
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear() -> None:
