@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +83,22 @@ def opening(us: int, zone: str, opens: int, closes: int) -> int:
     return at.value // 1000 if at.unit == "ns" else int(at.timestamp() * 1_000_000)
 
 
+def openings(us: np.ndarray, zone: str, opens: int, closes: int) -> np.ndarray:
+    """``opening`` of many instants."""
+    at = pd.to_datetime(us, unit="us", utc=True).tz_convert(zone)
+    day = at.normalize()
+    nine, next_nine = (x + pd.Timedelta(hours=opens) for x in (day, (day + pd.Timedelta(days=1)).normalize()))
+    micros = lambda x: x.tz_convert("UTC").tz_localize(None).to_numpy("datetime64[us]").astype(np.int64)
+    return np.where(at.hour < opens, micros(nine), np.where(at.hour >= closes, micros(next_nine), us))
+
+
 class Sequences(StatefulProcessor):
     """A sequence: when it began, the steps that are still to come, and what was done to it since.
 
-    Each step has a timer at the time it is planned for, each resumption one at its first business hour.
-    A timer decides all instants up to its own, for by then nothing earlier can arrive.
+    It has one timer, at the next instant at which one of its steps may be due; when the watermark has passed
+    that, all instants that it has passed are decided at once, for by then nothing earlier can arrive.  What
+    no later instant asks for is forgotten then: of the pauses and resumptions that the watermark has passed
+    the last stays, of the resumptions that are still to take effect the last for each of their openings.
     """
 
     def __init__(self, cadence: list[tuple[int, int, str]], zone: str, opens: int, closes: int):
@@ -100,54 +112,84 @@ class Sequences(StatefulProcessor):
     def _planned(self, began: int, step: int) -> int:
         return opening(began + self.cadence[step][0] * 24 * 60 * MINUTE, *self.hours)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def _held(self) -> tuple[int | None, list[int], np.ndarray, np.ndarray]:
         began, pending, times, kinds = self.state.get() if self.state.exists() else (None, sorted(self.cadence), [], [])
-        log = list(zip(times, kinds, strict=True))
-        first = began
-        for batch in rows:
-            for us, kind in zip(batch["us"].tolist(), batch["kind"], strict=True):
-                if kind == "start":
-                    first = us if first is None else min(first, us)
-                else:
-                    log.append((us, kind))
+        return began, list(pending), np.array(times, np.int64), np.array(kinds, object)
+
+    def _decided(self, began: int | None, pending: list[int], times: np.ndarray, kinds: np.ndarray, upto: int) -> list[tuple[int, int]]:
+        """Settles all before ``upto``: (step, instant) of the steps due; the state and the timer for the rest."""
+        order = np.lexsort((kinds.astype(str), times))
+        times, kinds = times[order], kinds[order]
+        out, waits, opened = [], [], np.zeros(0, np.int64)
+        if began is not None and pending:
+            counts = times > began
+            seen_times, seen_kinds = times[counts], kinds[counts]
+            converts = seen_times[seen_kinds == "convert"]
+            ended = int(converts[0]) if len(converts) else np.iinfo(np.int64).max
+            turns = seen_kinds != "convert"
+            turn_times, paused = seen_times[turns], seen_kinds[turns] == "pause"
+            resumed = turn_times[~paused]
+            opened = openings(resumed, *self.hours)
+            for step in pending:
+                planned = self._planned(began, step)
+                moments = np.unique(np.append(opened[resumed > planned], planned))
+                coming = moments[moments >= upto]
+                moments = moments[(moments < upto) & (moments < ended)]
+                last = np.searchsorted(turn_times, moments, "right") - 1
+                free = moments[(last < 0) | ~paused[last]] if len(paused) else moments
+                if len(free):
+                    out.append((step, int(free[0])))
+                elif len(coming) and coming[0] < ended:
+                    waits.append(int(coming[0]))
+            pending = [step for step in pending if step not in dict(out)]
+        # what has passed: an instant to come sees the last pause or resumption, and the openings still to come
+        passed, turn = times < upto, kinds != "convert"
+        keep = ~passed
+        if began is None or began >= upto:  # what is before a beginning doesn't count
+            pass
+        else:
+            keep |= passed & (kinds == "convert")
+            last_turn = np.flatnonzero(passed & turn)[-1:]
+            keep[last_turn] = True
+            resumes = np.flatnonzero(passed & (kinds == "resume") & (times > began))
+            effect = openings(times[resumes], *self.hours)
+            _, latest = np.unique(effect[::-1], return_index=True)
+            latest = len(effect) - 1 - latest
+            keep[resumes[latest[effect[latest] >= upto]]] = True
+            converts = np.flatnonzero(keep & (kinds == "convert") & (times > began))
+            keep[converts[1:]] = False
+        if not pending:
+            keep[:] = False
+        self.state.update((began, pending, times[keep].tolist(), kinds[keep].tolist()))
+        wanted = {min(waits) // 1000 + 1} if waits else set()
         timers = set(self.handle.listTimers())
-        wanted = {opening(us, *self.hours) // 1000 + 1 for us, kind in log if kind == "resume"}
-        if first is not None:
-            wanted |= {self._planned(first, step) // 1000 + 1 for step in pending}
-            if first != began:
-                for timer in timers - wanted:
-                    self.handle.deleteTimer(timer)
-            for timer in wanted - timers:
-                self.handle.registerTimer(timer)
-        log.sort()
-        self.state.update((first, list(pending), [t for t, _ in log], [k for _, k in log]))
-        return iter(())
+        for timer in timers - wanted:
+            self.handle.deleteTimer(timer)
+        for timer in wanted - timers:
+            self.handle.registerTimer(timer)
+        return out
+
+    def _rows(self, key: Any, out: list[tuple[int, int]]) -> pd.DataFrame:
+        steps = [s for s, _ in out]
+        return pd.DataFrame({"sequence_id": [key[0]] * len(out), "step_index": steps, "channel": [self.cadence[s][1] for s in steps], "due_at": pd.to_datetime([m for _, m in out], unit="us")})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        began, pending, times, kinds = self._held()
+        new = pd.concat([batch[["us", "kind"]] for batch in rows])
+        us, kind = new["us"].to_numpy(np.int64), new["kind"].to_numpy(object)
+        starts = us[kind == "start"]
+        if len(starts):
+            began = int(starts.min()) if began is None else min(began, int(starts.min()))
+        others = kind != "start"
+        out = self._decided(began, pending, np.append(times, us[others]), np.append(kinds, kind[others]), timerValues.getCurrentWatermarkInMs() * 1000)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        began, pending, times, kinds = self.state.get() if self.state.exists() else (None, [], [], [])
-        if began is None or not len(pending):
-            return iter(())
-        log = [(t, k) for t, k in zip(times, kinds, strict=True) if t > began]
-        ended = min((t for t, k in log if k == "convert"), default=None)
-        planned = {step: self._planned(began, step) for step in pending}
-        resumed = [t for t, k in log if k == "resume"]
-        out = []
-        for step, at in planned.items():
-            moments = sorted({at, *(opening(t, *self.hours) for t in resumed if t > at)})
-            for moment in moments:
-                if moment >= upto or (ended is not None and moment >= ended):
-                    break
-                last = [k for t, k in log if t <= moment and k in ("pause", "resume")][-1:]
-                if last != ["pause"]:
-                    out.append((step, moment))
-                    break
+        began, pending, times, kinds = self._held()
+        out = self._decided(began, pending, times, kinds, timerValues.getCurrentWatermarkInMs() * 1000)
         if out:
-            left = [s for s in pending if s not in dict(out)]
-            self.state.update((began, left, list(times) if left else [], list(kinds) if left else []))
-            yield pd.DataFrame(
-                {"sequence_id": [key[0]] * len(out), "step_index": [s for s, _ in out], "channel": [self.cadence[s][1] for s, _ in out], "due_at": pd.to_datetime([m for _, m in out], unit="us")}
-            )
+            yield self._rows(key, out)
 
     def close(self) -> None:
         pass
