@@ -3,23 +3,50 @@
 A profile is the ``RANKS`` most frequent trigrams of a language's texts, in lower case, what isn't a letter being
 one blank.  A text has a profile of its own; its distance from a language is the sum over its trigrams of the
 difference of ranks, ``RANKS`` where the language lacks one.  Profiles are small whatever they are learned from,
-and are broadcast; everything else is counts with partial sums.  A text without any trigram of a letter has no
+and are broadcast.  A row's trigrams are counted and ranked where its text is read, and only a row for each text is
+shuffled; rows that share their key are one text, and are few: their counts alone meet by key.  A text without any trigram of a letter has no
 language; ties go to the lesser name and, among trigrams, to the lesser trigram.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldnotes import scratch
+
 RANKS = 300
+#: Keys of several rows that may be broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
+def ranking(text: str) -> list[tuple[str, int]]:
+    """The trigrams of a plain text with their counts, most frequent first, ties by trigram."""
+    return sorted(Counter(map("".join, zip(text, text[1:], text[2:], strict=False))).items(), key=lambda x: (-x[1], x[0]))
+
+
+def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([[{"gram": g, "n": n} for g, n in ranking(t)] for t in texts])
+
+
+def plain(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
+def lettered(rows: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+    return rows.filter(F.regexp_like("text", F.lit(r"\p{L}")))
 
 
 def trigrams(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, gram, n) of the trigrams of ``text``."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), F.lit(" "))
-    each = F.explode(F.regexp_extract_all(plain, F.lit("(?=(...))"), 1)).alias("gram")
-    return rows.filter(F.regexp_like("text", F.lit(r"\p{L}"))).select(*keys, each).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    each = lettered(rows).select(*keys, F.explode(F.pandas_udf(counted, "array<struct<gram:string,n:long>>")(plain(F.col("text")))).alias("g"))
+    return each.groupBy(*keys, "g.gram").agg(F.sum("g.n").alias("n"))
 
 
 def ranked(grams: DataFrame, key: str, ranks: int = RANKS) -> DataFrame:
@@ -34,12 +61,40 @@ def profiles(rows: DataFrame, ranks: int = RANKS) -> DataFrame:
 
 def languages(rows: DataFrame, known: DataFrame, key: str, ranks: int = RANKS) -> DataFrame:
     """(key, language, distance) of each row with a text that has a trigram."""
-    own = ranked(trigrams(rows, key), key, ranks).withColumnRenamed("rank", "own")
-    sizes = own.groupBy(key).agg(F.count("*").alias("size"))
-    near = own.join(F.broadcast(known), "gram").groupBy(key, "lang").agg(F.count("*").alias("shared"), F.sum(F.abs(F.col("own") - F.col("rank"))).alias("apart"))
-    # a language that shares nothing with a text is no nearer than one that does; the least name stands for those
-    first = known.agg(F.min("lang")).scalar()
-    every = sizes.join(near, key, "left").withColumn("lang", F.coalesce("lang", first))
-    distance = F.coalesce("apart", F.lit(0)) + ranks * (F.col("size") - F.coalesce("shared", F.lit(0)))
-    best = F.min(F.struct(distance.alias("distance"), F.col("lang").alias("language"))).alias("best")
-    return every.groupBy(key).agg(best).select(key, "best.language", "best.distance")
+    profile: dict[str, list[tuple[int, int]]] = {}
+    found = known.toArrow().to_pydict()  # a number of rows for each language
+    names = sorted(set(found["lang"]))
+    for lang, gram, rank in zip(found["lang"], found["gram"], found["rank"], strict=True):
+        profile.setdefault(gram, []).append((names.index(lang), rank))
+    shared = rows.sparkSession.sparkContext.broadcast((names, profile))
+
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        langs, places = shared.value
+        for batch in batches:
+            best = []
+            for grams in batch:
+                apart = [ranks * len(grams)] * len(langs)
+                for own, gram in enumerate(grams, 1):
+                    for lang, rank in places.get(gram, ()):
+                        apart[lang] += abs(own - rank) - ranks
+                best.append(min(zip(apart, langs, strict=True), default=(ranks * len(grams), None)))
+            yield pd.DataFrame({"language": [lang for _, lang in best], "distance": [n for n, _ in best]})
+
+    def nearest_of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return nearest(pd.Series([[g for g, _ in ranking(t)[:ranks]] for t in texts]) for texts in batches)
+
+    kind = "language string, distance long"
+    told = lambda made: made.select(key, "best.language", "best.distance")
+    texts = lettered(rows).select(key, "text")
+    # texts of one key are one text; a null key is one too
+    twice = scratch.cut(texts.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")), "twice")
+    many = twice.count()
+    few = F.broadcast(twice) if many <= BROADCAST_KEYS else twice
+    same = texts[key].eqNullSafe(few["_key"])
+    alone = texts.join(few, same, "left_anti") if many else texts
+    out = told(alone.select(key, F.pandas_udf(nearest_of_texts, kind)(plain(F.col("text"))).alias("best")))
+    if not many:
+        return out
+    own = ranked(trigrams(texts.join(few, same, "left_semi"), key), key, ranks).groupBy(key)
+    grams = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda g: g["gram"])
+    return out.unionAll(told(own.agg(grams.alias("grams")).select(key, F.pandas_udf(nearest, kind)(F.col("grams")).alias("best"))))
