@@ -9,7 +9,8 @@ Tokens are words in lower case.  The ``OWN`` most frequent words of the whole co
 of their own; the others share ``SHARED`` classes by a hash, and a token's probability is its class's
 times the word's share of the class in the corpus: of the ``TABLE`` most frequent words by their own
 counts; what they leave of a class is dealt evenly to its rarer words, of which there are as many as
-were counted.  The shares of a class sum to 1.
+were counted.  The shares of a class sum to 1.  The query gives the rarer words their own counts too: those of
+a text are joined to the table of counts, and the sum of what that changes is added to the text's score.
 
 Training is distributed, and uses what grows with the input: words are counted over all texts
 (combined in each task before the shuffle), and texts are dealt to ``ROUNDS`` rounds by a hash, so
@@ -133,6 +134,8 @@ class Vocabulary(NamedTuple):
     own: dict[str, int]
     share: dict[str, float]
     rare: list[float]
+    #: Logarithm of the mean count of the rare words of each shared class.
+    even: list[float]
 
 
 class Lexicon(dict):
@@ -173,8 +176,8 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.stack([padded[d : d + len(ids)] for d in range(2 * SIDE + 1) if d != SIDE], axis=1)
 
 
-def vocabulary(docs: DataFrame, own: int = OWN, table: int = TABLE) -> Vocabulary:
-    """The most frequent words of all texts (ties by word), numbered, and the shares of all others."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all words of all texts, as a table in the shared folder."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -188,7 +191,13 @@ def vocabulary(docs: DataFrame, own: int = OWN, table: int = TABLE) -> Vocabular
             yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = scratch.cut(counts, "words")
+    return scratch.cut(counts, "words")
+
+
+def vocabulary(docs: DataFrame, own: int = OWN, table: int | None = None, counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words of all texts (ties by word), numbered, and the shares of all others."""
+    counts = word_counts(docs) if counts is None else counts
+    table = TABLE if table is None else table
     top = fetched(counts.orderBy(F.desc("n"), "word").limit(max(own, table))).to_dict("records")
     first = {r["word"]: i for i, r in enumerate(top[:own])}
     at = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED)).cast("int")
@@ -206,23 +215,35 @@ def vocabulary(docs: DataFrame, own: int = OWN, table: int = TABLE) -> Vocabular
         words[place[r["word"]]] -= 1
     share = dict.fromkeys(first, 0.0) | {r["word"]: float(np.log(r["n"] / total[place[r["word"]]])) for r in top[own:]}
     rare = [0.0] * OWN + [float(np.log(left[i] / total[i] / words[i])) if words[i] > 0 else 0.0 for i in range(SHARED)]
-    return Vocabulary(first, share, rare)
+    even = [float(np.log(left[i] / words[i])) if words[i] > 0 else 0.0 for i in range(SHARED)]
+    return Vocabulary(first, share, rare, even)
+
+
+def rare_shares(codes: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
+    """(row, more): what the log-shares of a text's rare words are by their own counts, less what they are
+    if the words of a class are taken to be equally frequent."""
+    words = codes.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    at = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED)).cast("int")
+    more = F.col("times") * (F.log("n") - F.get(F.array(*[F.lit(x) for x in known.even]), at))
+    return words.join(counts, "word").groupBy("row").agg(F.sum(more).alias("more"))
 
 
 def encoded(docs: DataFrame, own: Vocabulary, key: str = "doc_id") -> DataFrame:
-    """(key, at, classes, share) of all rows of ``docs``: the text's classes, a byte a token, the sum of its
-    words' log-shares, and a hash.  It is a table in the shared folder, since training and scoring read it."""
+    """(row, key, at, classes, share, rare) of all rows of ``docs``: a number, a hash, the text's classes, a byte
+    a token, the sum of its words' log-shares, and its words that have no share of their own.  It is a table in the shared folder, since training and scoring read it."""
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(shared.value)
         for texts in batches:
-            found = [lexicon.read(words_of(t)) for t in texts]
-            yield pd.DataFrame({"classes": [ids.astype(np.uint8).tobytes() for ids, _ in found], "share": [x for _, x in found]})
+            split = [words_of(t) for t in texts]
+            found = [lexicon.read(words) for words in split]
+            rare = [[w for w in words if w not in lexicon.known.share] for words in split]
+            yield pd.DataFrame({"classes": [ids.astype(np.uint8).tobytes() for ids, _ in found], "share": [x for _, x in found], "rare": rare})
 
-    code = F.pandas_udf(encode, "classes binary, share double")(F.col("text"))
+    code = F.pandas_udf(encode, "classes binary, share double, rare array<string>")(F.col("text"))
     rows = docs.select(key, F.xxhash64("text", F.lit("lm")).alias("at"), code.alias("code"))
-    return scratch.cut(rows.select(key, "at", "code.classes", "code.share"), "classes")
+    return scratch.cut(rows.select(F.monotonically_increasing_id().alias("row"), key, "at", "code.classes", "code.share", "code.rare"), "classes")
 
 
 def train(codes: DataFrame, rounds: int = ROUNDS, one_in: int | None = None) -> Network:
@@ -315,7 +336,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, log_prob, and the mean per token (null without tokens)."""
     small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    codes = encoded(docs, vocabulary(docs))
-    found = scored(codes, train(codes))
-    mean = F.when(F.col("lm.n_tokens") > 0, F.col("lm.log_prob") / F.col("lm.n_tokens"))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "lm.n_tokens", "lm.log_prob", mean.alias("mean_log_prob"))
+    counts = word_counts(docs)
+    known = vocabulary(docs, counts=counts)
+    codes = encoded(docs, known)
+    found = scored(codes.drop("rare"), train(codes)).select("row", "doc_id", "lm.n_tokens", "lm.log_prob")
+    if counts.count() > len(known.share):
+        more = rare_shares(codes, counts, known)
+        found = found.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "log_prob", mean.alias("mean_log_prob"))
