@@ -10,7 +10,8 @@ of their own; the others share ``SHARED`` classes by a hash, and a token's proba
 times the word's share of the class in the corpus: of the ``TABLE`` most frequent words by their own
 counts; what they leave of a class is dealt evenly to its rarer words, of which there are as many as
 were counted.  The shares of a class sum to 1.  The query gives the rarer words their own counts too: those of
-a text are joined to the table of counts, and the sum of what that changes is added to the text's score.
+a text are joined to the table of counts, and the sum of what that changes is added to the text's score.  Words
+that occur once aren't looked up: the logarithm of their count is 0.
 
 Training is distributed, and uses what grows with the input: words are counted over all texts
 (combined in each task before the shuffle), and texts are dealt to ``ROUNDS`` rounds by a hash, so
@@ -60,9 +61,11 @@ BATCH = 512
 #: Tokens a product of the network takes when scoring: what it makes stays in a core's cache.
 STEP = 2048
 RATE = 0.5
-#: Words that a counter or a lexicon holds before it is emptied.
+#: Words that a counter holds before it is emptied.
 FLUSH = 600_000
 
+_ONES = np.ones(CLASSES, np.float32)
+_SPOTS = np.arange(CLASSES * DIM).reshape(CLASSES, DIM)
 _SHAPES = {"embed": (CLASSES, DIM), "join": (2 * SIDE * DIM, HIDDEN), "offset": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
 
 
@@ -90,13 +93,17 @@ class Network:
         """Joined embeddings and the hidden layer, with a 1 at its end, for rows of neighbour classes."""
         x = self.embed.take(near.ravel(), axis=0).reshape(len(near), -1)
         h = np.ones((len(near), HIDDEN + 1), np.float32)
-        np.tanh(x @ self.join + self.offset, out=h[:, :HIDDEN])
+        inner = x @ self.join
+        inner += self.offset
+        h[:, :HIDDEN] = np.tanh(inner, out=inner)
         return x, h
 
     def exponentials(self, h: np.ndarray) -> np.ndarray:
         """exp(z) of all classes, up to a factor for each row."""
         z = h @ self.last
-        if np.abs(self.last).sum(axis=0).max() > 80:  # else none can overflow, since |h| <= 1
+        most = max(self.last.max(), -self.last.min())  # a cheap bound first
+        # |h| <= 1, so below it neither these nor their sums, times the weights, can overflow
+        if not most * (HIDDEN + 1) <= 60 and not np.abs(self.last).sum(axis=0).max() <= 60:
             z -= z.max(axis=1)[:, None]
         return np.exp(z, out=z)
 
@@ -108,23 +115,28 @@ class Network:
     def chosen(self, near: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Log-probability of each row's token."""
         e = self.exponentials(self.hidden(near)[1])
-        return np.log(e[np.arange(len(token)), token] / e.sum(axis=1))
+        return np.log(e[np.arange(len(token)), token] / (e @ _ONES))
 
     def learn(self, near: np.ndarray, token: np.ndarray, rate: float = RATE) -> None:
         """A step of gradient ascent on a batch."""
         m = len(token)
         x, h = self.hidden(near)
-        z = self.exponentials(h)  # in place from here: what is left is the step of the last layer
-        z *= (-rate / m / z.sum(axis=1))[:, None]
-        z[np.arange(m), token] += rate / m
-        dh = z @ self.out.T
-        dh *= 1 - h[:, :HIDDEN] * h[:, :HIDDEN]
+        e = self.exponentials(h)
+        total = e @ _ONES
+        e[np.arange(m), token] -= total  # the step of the last layer, up to a factor for each row
+        step = (-rate / m / total)[:, None].astype(np.float32)
+        dh = e @ self.out.T
+        slope = h[:, :HIDDEN].copy()
+        slope *= slope
+        np.subtract(1, slope, out=slope)
+        slope *= step
+        dh *= slope
         dx = dh @ self.join.T
-        self.last += h.T @ z
+        h *= step
+        self.last += (e.T @ h).T
         self.join += x.T @ dh
-        self.offset += dh.sum(axis=0)
-        spots = (near[..., None] * DIM + np.arange(DIM)).ravel()
-        self.embed += np.bincount(spots, dx.ravel(), CLASSES * DIM).reshape(self.embed.shape)
+        self.offset += np.ones(m, np.float32) @ dh
+        self.embed += np.bincount(_SPOTS.take(near.ravel(), axis=0).ravel(), dx.ravel(), CLASSES * DIM).reshape(self.embed.shape)
 
 
 class Vocabulary(NamedTuple):
@@ -138,32 +150,34 @@ class Vocabulary(NamedTuple):
     even: list[float]
 
 
+def _shared(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
+
+
 class Lexicon(dict):
-    """Word -> number; ``cls`` and ``share`` by number.  Words are added as they are met."""
+    """Word -> number; ``cls`` and ``share`` by number.  Words without a share of their own aren't stored:
+    those of a class share one number, from ``first`` on."""
 
     def __init__(self, known: Vocabulary):
-        super().__init__()
-        self.known = known
-        self.cls, self.share = np.zeros(1 << 14, np.int64), np.zeros(1 << 14)
+        own = {w: known.share.get(w, known.rare[c]) for w, c in known.own.items()}
+        others = [w for w in known.share if w not in own]
+        super().__init__(zip([*own, *others], range(len(own) + len(others)), strict=True))
+        self.first = len(self)
+        shared = range(OWN, OWN + SHARED)
+        self.cls = np.array([*(known.own[w] for w in own), *(OWN + _shared(w) for w in others), *shared], np.uint8)
+        self.share = np.array([*own.values(), *(known.share[w] for w in others), *known.rare[OWN:]])
+        self.even = np.array(known.even)
 
     def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.cls):
-            self.cls, self.share = np.concatenate([self.cls, self.cls]), np.concatenate([self.share, self.share])
-        c = self.known.own.get(word)
-        if c is None:
-            c = OWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
-        x = self.known.share.get(word)
-        self.cls[n], self.share[n] = c, self.known.rare[c] if x is None else x
-        self[word] = n
-        return n
+        return self.first + _shared(word)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def read(self, words: list[str]) -> tuple[np.ndarray, float]:
         """The words' classes, and the sum of their log-shares of them."""
-        if len(self) > FLUSH:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.cls[at], float(self.share[at].sum())
+        at = self.numbers(words)
+        return self.cls[at].astype(np.int64), float(self.share[at].sum())
 
 
 def words_of(text: str | None) -> list[str]:
@@ -172,8 +186,13 @@ def words_of(text: str | None) -> list[str]:
 
 def windows(ids: np.ndarray) -> np.ndarray:
     """The neighbours of every token, a row each."""
-    padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
-    return np.stack([padded[d : d + len(ids)] for d in range(2 * SIDE + 1) if d != SIDE], axis=1)
+    padded = np.full(len(ids) + 2 * SIDE, PAD)
+    padded[SIDE : SIDE + len(ids)] = ids
+    near = np.empty((len(ids), 2 * SIDE), np.int64)
+    for k in range(2 * SIDE):
+        d = k + (k >= SIDE)
+        near[:, k] = padded[d : d + len(ids)]
+    return near
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -205,7 +224,7 @@ def vocabulary(docs: DataFrame, own: int = OWN, table: int | None = None, counts
     total, left, words = (np.zeros(SHARED) for _ in range(3))
     for i, (n, many) in sums.items():
         total[i], words[i] = n, many
-    place = {r["word"]: zlib.crc32(r["word"].encode("utf-8", "surrogatepass")) % SHARED for r in top}
+    place = {r["word"]: _shared(r["word"]) for r in top}
     for r in top[:own]:  # words of their own are in no shared class
         total[place[r["word"]]] -= r["n"]
         words[place[r["word"]]] -= 1
@@ -219,31 +238,34 @@ def vocabulary(docs: DataFrame, own: int = OWN, table: int | None = None, counts
     return Vocabulary(first, share, rare, even)
 
 
-def rare_shares(codes: DataFrame, counts: DataFrame, known: Vocabulary) -> DataFrame:
-    """(row, more): what the log-shares of a text's rare words are by their own counts, less what they are
-    if the words of a class are taken to be equally frequent."""
-    words = codes.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    at = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED)).cast("int")
-    more = F.col("times") * (F.log("n") - F.get(F.array(*[F.lit(x) for x in known.even]), at))
-    return words.join(counts, "word").groupBy("row").agg(F.sum(more).alias("more"))
+def rare_shares(codes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, more): the sum of the logarithms of the counts of a text's rare words, for rows where it isn't 0.
+    Words are joined as they occur, since few occur twice in a text; none of them is frequent."""
+    words = codes.select("row", F.explode("rare").alias("word"))
+    return words.join(counts.filter("n > 1"), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
 
 
 def encoded(docs: DataFrame, own: Vocabulary, key: str = "doc_id") -> DataFrame:
-    """(row, key, at, classes, share, rare) of all rows of ``docs``: a number, a hash, the text's classes, a byte
-    a token, the sum of its words' log-shares, and its words that have no share of their own.  It is a table in the shared folder, since training and scoring read it."""
-    shared = docs.sparkSession.sparkContext.broadcast(own)
+    """(row, key, at, classes, share, rare, even) of all rows of ``docs``: a number, a hash, the text's classes, a byte
+    a token, the sum of its words' log-shares, its words that have no share of their own, and the sum of what these
+    have for the logarithm of a count.  It is a table in the shared folder, since training and scoring read it."""
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(own))
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
+        lexicon = shared.value
         for texts in batches:
-            split = [words_of(t) for t in texts]
-            found = [lexicon.read(words) for words in split]
-            rare = [[w for w in words if w not in lexicon.known.share] for words in split]
-            yield pd.DataFrame({"classes": [ids.astype(np.uint8).tobytes() for ids, _ in found], "share": [x for _, x in found], "rare": rare})
-
-    code = F.pandas_udf(encode, "classes binary, share double, rare array<string>")(F.col("text"))
+            rows = []
+            for text in texts:
+                words = words_of(text)
+                at = lexicon.numbers(words)
+                beyond = np.flatnonzero(at >= lexicon.first)
+                even = float(lexicon.even[at[beyond] - lexicon.first].sum())
+                rows.append((lexicon.cls[at].tobytes(), float(lexicon.share[at].sum()), [words[i] for i in beyond.tolist()], even))
+            yield pd.DataFrame(rows, columns=["classes", "share", "rare", "even"])
+
+    code = F.pandas_udf(encode, "classes binary, share double, rare array<string>, even double")(F.col("text"))
     rows = docs.select(key, F.xxhash64("text", F.lit("lm")).alias("at"), code.alias("code"))
-    return scratch.cut(rows.select(F.monotonically_increasing_id().alias("row"), key, "at", "code.classes", "code.share", "code.rare"), "classes")
+    return scratch.cut(rows.select(F.monotonically_increasing_id().alias("row"), key, "at", "code.*"), "classes")
 
 
 def train(codes: DataFrame, rounds: int = ROUNDS, one_in: int | None = None) -> Network:
@@ -312,11 +334,11 @@ def scored(codes: DataFrame, net: Network, into: str = "lm") -> DataFrame:
 
 def lm_score(docs: DataFrame, net: Network, own: Vocabulary, into: str = "lm") -> DataFrame:
     """All rows and columns of ``docs`` with a struct ``lm`` (or ``into``), by a model given."""
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat, own))
+    shared = docs.sparkSession.sparkContext.broadcast((net.flat, Lexicon(own)))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        flat, known = shared.value
-        model, lexicon = Network(flat), Lexicon(known)
+        flat, lexicon = shared.value
+        model = Network(flat)
         for texts in batches:
             rows = []
             for text in texts:
@@ -339,9 +361,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = word_counts(docs)
     known = vocabulary(docs, counts=counts)
     codes = encoded(docs, known)
-    found = scored(codes.drop("rare"), train(codes)).select("row", "doc_id", "lm.n_tokens", "lm.log_prob")
+    found = scored(codes.drop("rare"), train(codes)).select("row", "doc_id", "even", "lm.n_tokens", "lm.log_prob")
     if counts.count() > len(known.share):
-        more = rare_shares(codes, counts, known)
-        found = found.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+        more = rare_shares(codes, counts)
+        found = found.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") - F.col("even") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "log_prob", mean.alias("mean_log_prob"))
